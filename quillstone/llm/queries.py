@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, media
 from .exact_dedup import exact_dedup
+from .langid import languages
+from .packing import pack_documents
 from .sharding import byte_shards
 from .simhash import simhash_groups
 from .url_filter import url_verdicts
@@ -32,12 +35,32 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(documents(spark, sf_dir))
 
 
+def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(documents(spark, sf_dir)))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(documents(spark, sf_dir)))
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(documents(spark, sf_dir))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_groups,
         op3_exact_dedup,
         op4_url_verdicts,
         op5_byte_shards,
+        op7_jpeg_media,
+        op8_byte_bpe,
+        op9_languages,
+        op10_packing,
     )
 }
 
