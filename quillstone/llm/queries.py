@@ -12,6 +12,8 @@ from .langid import languages
 from .packing import pack_documents
 from .sharding import byte_shards
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .url_filter import url_verdicts
 
 
@@ -23,6 +25,10 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -35,6 +41,10 @@ def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(documents(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(documents(spark, sf_dir)))
 
@@ -54,9 +64,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_groups,
+        op2_substring_dedup,
         op3_exact_dedup,
         op4_url_verdicts,
         op5_byte_shards,
+        op6_suffix_dedup,
         op7_jpeg_media,
         op8_byte_bpe,
         op9_languages,
@@ -65,6 +77,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        w AS (SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS seq
+              FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM t WHERE len(words) >= 35)),
+        r AS (SELECT doc_id, i FROM w WHERE seq IN (SELECT seq FROM w GROUP BY seq HAVING count(*) > 1)),
+        k AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM r),
+        a AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM t),
+        m AS (SELECT a.doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept FROM a ANTI JOIN k USING (doc_id, p) GROUP BY a.doc_id)
+        SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN m USING (doc_id)
+    """,
+    "op6_suffix_dedup": r"""
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM t WHERE length(h) >= 100)),
+        f AS (SELECT doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1) USING (s) WHERE doc_id > first_id),
+        g AS (SELECT doc_id, i, CASE WHEN i > 50 + max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS cut FROM f),
+        u AS (SELECT doc_id, i, sum(cut) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+        s AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM u GROUP BY doc_id, run),
+        e AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, array_agg(lo ORDER BY lo) AS los, array_agg(hi ORDER BY lo) AS his FROM s GROUP BY doc_id),
+        k AS (SELECT doc_id, h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+                     array_to_string(list_transform(range(1, coalesce(n_spans, 0) + 2), lambda j: substr(h, 2 * coalesce(his[j - 1], 0) + 1,
+                         2 * (coalesce(los[j], length(h) // 2) - coalesce(his[j - 1], 0)))), '') AS kept FROM t LEFT JOIN e USING (doc_id))
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+               sha256(unhex(kept)) AS kept_sha256 FROM k
+    """,
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
