@@ -1,4 +1,9 @@
-"""Corpus pipeline: language, exact, near and passage deduplication, then packing."""
+"""Corpus pipeline: language ID, exact, near and passage deduplication, then packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of documents.  Decisions are joined back by doc_id together
+with a hash of the text, so repeated or null ids don't mix rows up.
+"""
 
 from __future__ import annotations
 
@@ -7,24 +12,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm.exact_dedup import exact_dedup
+from quillstone.llm.exact_dedup import distinct_texts
+from quillstone.llm.langid import UNKNOWN, identify, train
+from quillstone.llm.packing import pack_documents
+from quillstone.llm.simhash import simhash_groups, text_hash
+from quillstone.llm.suffix_dedup import without_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found (null text, or no letter) go; the others stay as they are."""
+    names = tuple(docs.columns)
+    judged = identify(docs, train(docs), keep=names)
+    return judged.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest doc_id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of equal texts the row with the smallest doc_id stays; repeats of that row go too."""
+    return distinct_texts(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays; a group without ids stays whole."""
+    gone = simhash_groups(docs).where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash() == gone["gone_hash"]), "left_anti")
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of passages of 50 bytes or more go; documents of which no word is left go with them."""
+    return without_repeats(docs, length_col="n_chars").where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 1024 tokens, filled with lexical neighbours."""
+    return pack_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", exact)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", language),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("passage dedup", passages),
+    ("packing", packing),
+]
 
-#: Some stages have no SQL form; tests hold the pipeline against a brute-force version.
+#: Fingerprints and tokenisation have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

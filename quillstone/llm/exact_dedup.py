@@ -54,3 +54,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row_id") == F.col("best.row_id")).alias("kept"),
         "text_sha256",
     )
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's rows without later copies: the row with the smallest id of each group of equal texts stays, with all its columns.
+
+    Decisions are joined back by id and digest.  Repeated rows of the id that stays
+    (or null ids, if a group has no other) are kept once.
+    """
+    judged = exact_dedup(docs, id_col, text_col).where("NOT kept")
+    judged = judged.select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeated"))
+    sha = F.sha2(normalised(text_col), 256)
+
+    def same(right: DataFrame) -> F.Column:
+        return docs[id_col].eqNullSafe(right["gone_id"]) & (sha == right["gone_sha"])
+
+    gone, repeated = judged.where("NOT repeated"), judged.where("repeated")
+    if not repeated.limit(1).count():
+        return docs.join(gone, same(gone), "left_anti")
+    once = docs.join(repeated, same(repeated), "left_semi").withColumn("gone_sha", sha).dropDuplicates([id_col, "gone_sha"]).drop("gone_sha")
+    return docs.join(judged, same(judged), "left_anti").unionByName(once)

@@ -155,33 +155,31 @@ def train(docs: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, lang_pred, score, ambiguous, and the `keep` columns unchanged.
+    """One row per input row: doc_id, lang_pred, score, ambiguous, and the `keep` columns as kept_0, kept_1, ...
 
     Whole texts are read.  Null texts and texts without a letter get ``und`` with
     score 0, as does every text if no language was learnt.  Only text is an input.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    kinds = "".join(f", kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    sent = list(dict.fromkeys([id_col, text_col, *keep]))
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in sent}
+    schema = f"doc_id {kinds[id_col]}, lang_pred string, score double, ambiguous boolean" + "".join(f", kept_{i} {kinds[c]}" for i, c in enumerate(keep))
+    names = ["doc_id", "lang_pred", "score", "ambiguous", *(f"kept_{i}" for i in range(len(keep)))]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            names, scores, flags = [], [], []
-            for chunk in text_chunks(batch.column("text"), 1 << 20):
+            found, scores, flags = [], [], []
+            for chunk in text_chunks(batch.column(sent.index(text_col)), 1 << 20):
                 which, score, near = predict(model, histograms(chunk.data, chunk.offsets))
                 known = has_letter(chunk.data, chunk.offsets) & (which >= 0)
-                names += [model.langs[k] if ok else UNKNOWN for k, ok in zip(which.tolist(), known.tolist(), strict=True)]
+                found += [model.langs[k] if ok else UNKNOWN for k, ok in zip(which.tolist(), known.tolist(), strict=True)]
                 scores.append(np.where(known, score, 0.0))
                 flags.append(near | ~known)
-            if names:
+            if found:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(flags)),
-                     *(batch.column(f"kept_{i}") for i in range(len(keep)))],
-                    names=["doc_id", "lang_pred", "score", "ambiguous", *(f"kept_{i}" for i in range(len(keep)))])
+                    [batch.column(sent.index(id_col)), pa.array(found, pa.string()), pa.array(np.concatenate(scores).astype(np.float64)),
+                     pa.array(np.concatenate(flags)), *(batch.column(sent.index(c)) for c in keep)], names=names)
 
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept).mapInArrow(
-        run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean{kinds}")
-    return out
+    return docs.select(*(F.col(c).alias(f"sent_{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
 
 
 def languages(docs: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -163,11 +163,11 @@ def ragged(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(lo - begin, size) + np.arange(int(size.sum()))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, rank, th, text: the rows under the key that all steps use; null text is empty."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, rank, th, text, kept_0...: the rows under the key that all steps use; null text is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"),
-                       F.xxhash64(text).alias("th"), text.alias("text"))
+                       F.xxhash64(text).alias("th"), text.alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
 
 
 def packed(dealt: int, slot: np.ndarray, doc: np.ndarray, rank: np.ndarray, th: np.ndarray, columns: dict[str, np.ndarray],
@@ -431,8 +431,8 @@ def shards(key: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray
 
 
 def removals(docs: DataFrame, spec: Spec, earlier: bool, resolve: Resolver, name: str, id_col: str, text_col: str,
-             shard_bytes: int = 1 << 20) -> DataFrame:
-    """doc_id, text and data: for each input row the windows to remove as (first, number) pairs, null if there are none."""
+             shard_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, data and the kept columns: for each input row the windows to remove as (first, number) pairs, null if there are none."""
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     rows = keyed(docs, id_col, text_col)
@@ -444,7 +444,8 @@ def removals(docs: DataFrame, spec: Spec, earlier: bool, resolve: Resolver, name
     judged = scratch.keep(gather(rows, candidates, frequent, spec, slots, earlier, resolve, shard_bytes))
     scratch.free(seeded)
     found = judged.groupBy("rank", "th").agg(F.collect_list("data").alias("data"))
-    return rows.join(found, ["rank", "th"], "left").select("doc_id", "text", "data")
+    kept = [f"kept_{i}" for i in range(len(keep))]
+    return keyed(docs, id_col, text_col, keep).join(found, ["rank", "th"], "left").select("doc_id", "text", "data", *kept)
 
 
 def covered(pairs: list[bytes] | None, window: int) -> tuple[np.ndarray, np.ndarray]:

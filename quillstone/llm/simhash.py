@@ -199,9 +199,14 @@ def link_shard(points: np.ndarray, resident: np.ndarray, reach: int, leaf: int =
     return root
 
 
+def text_hash(text_col: str = "text") -> F.Column:
+    """Tells rows of equal id apart; null text as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 2,
                    shard_size: int = 4096, sample_size: int = 65536) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, text_hash (XXH64 of the text).
 
     Fingerprints link at `reach` or fewer differing bits; component_id is the
     smallest doc_id reachable.  Null, empty and blank texts have fingerprint zero
@@ -216,9 +221,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches(rows):
             fp = pa.array(fingerprints_of(t.column("text"), shingle).view(np.int64))
-            yield from pa.table({"doc_id": t.column("doc_id"), "fp": fp}).to_batches()
+            yield from pa.table({"doc_id": t.column("doc_id"), "text_hash": t.column("text_hash"), "fp": fp}).to_batches()
 
-    signed = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(sign, f"doc_id {kind}, fp bigint"))
+    signed = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+                          .mapInArrow(sign, f"doc_id {kind}, text_hash bigint, fp bigint"))
     classes = scratch.keep(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     n = classes.count()
     nodes: list[Node] = []
@@ -250,4 +256,4 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = scratch.keep(joined)
     least = scratch.keep(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
     members = scratch.keep(named.join(least, "root").select("fp", "component_id"))
-    return signed.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return signed.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytesops import words8
 from .passages import Group, Spec, covered, ragged, removals
@@ -72,8 +71,8 @@ def resolve(group: Group, spec: Spec) -> np.ndarray:
     return longest_previous(*suffix_order(group.blob, start, spec.window), np.repeat(group.rank, group.n))
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), and the `keep` columns as kept_0, ...
 
     Each byte covered by a `window`-byte string that also starts in a document of
     smaller id goes.  Null texts count as empty; null ids are larger than all
@@ -81,7 +80,8 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     Texts shorter than the window stay whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    found = removals(docs, Spec(False, window, 16), True, resolve, "suffix", id_col, text_col)
+    found = removals(docs, Spec(False, window, 16), True, resolve, "suffix", id_col, text_col, keep=keep)
+    names = [f"kept_{i}" for i in range(len(keep))]
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -95,12 +95,37 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
             if out:
                 n, removed, spans, sha, kept = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()),
+                     *(batch.column(c) for c in names)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
 
-    return found.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    kept_kinds = "".join(f", kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return found.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary{kept_kinds}")
 
 
-def remaining_text(kept: str = "kept") -> F.Column:
+def remaining_text(kept: bytes) -> str:
     """The remaining bytes as text, without the parts of characters that a cut has split."""
-    return F.decode(F.col(kept), F.lit("utf-8"))
+    return kept.decode("utf-8", "ignore")
+
+
+def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The input's rows and columns with repeated passages cut from the text, and length_col, if given, set to its characters.
+
+    Rows nothing was cut from stay as they are, null texts included.  Parts of characters that a cut has split go.
+    """
+    names = tuple(docs.columns)
+    found = suffix_dedup(docs, window, id_col, text_col, names)
+    schema = ", ".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+
+    def put(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            columns = {c: batch.column(f"kept_{i}") for i, c in enumerate(names)}
+            cut = batch.column("n_removed").to_numpy() > 0
+            if cut.any():
+                texts = [remaining_text(k) if c else t for k, c, t in zip(batch.column("kept").to_pylist(), cut.tolist(), columns[text_col].to_pylist(), strict=True)]
+                columns[text_col] = pa.array(texts, columns[text_col].type)
+                if length_col is not None:
+                    sizes = [len(t) if c else n for t, c, n in zip(texts, cut.tolist(), columns[length_col].to_pylist(), strict=True)]
+                    columns[length_col] = pa.array(sizes, columns[length_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=[f"kept_{i}" for i in range(len(names))])
+
+    return found.select("n_removed", "kept", *(f"kept_{i}" for i in range(len(names)))).mapInArrow(put, schema).toDF(*names)
