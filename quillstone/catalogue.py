@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quillstone.plans import entity, extensions, governance, ingest, retrieval
+from quillstone.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "entity", "extensions", "governance", "ingest", "retrieval"]
