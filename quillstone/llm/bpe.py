@@ -55,7 +55,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, id_col: s
         for batch in rows:
             texts = batch.column("text")
             for chunk in text_chunks(texts):
-                each = [pieces.ids(t or "") for t in texts.slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()]
+                each = pieces.all_ids([t or "" for t in texts.slice(chunk.lo, chunk.hi - chunk.lo).to_pylist()])
                 sizes = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 flat = np.concatenate([*each, np.zeros(0, "<u4")]).astype(np.int32)
                 columns = [batch.column("doc_id").slice(chunk.lo, chunk.hi - chunk.lo), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]

@@ -140,7 +140,7 @@ def pack_documents(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTER
         for table in batches(rows):
             for lo in range(0, table.num_rows, shard_docs):
                 part = table.slice(lo, shard_docs)
-                each = [np.concatenate([pieces.ids(t or ""), close]) for t in part.column("text").to_pylist()]
+                each = [np.concatenate([ids, close]) for ids in pieces.all_ids([t or "" for t in part.column("text").to_pylist()])]
                 cut = list(pack(each, window))
                 doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*cut, strict=True))
                 crc = [zlib.crc32(each[d][s:s + n].tobytes()) for d, s, n, _, _ in cut]

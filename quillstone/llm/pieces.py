@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -52,37 +53,46 @@ def ranks_tokenizer(path: str) -> Tokenizer:
 
 
 class Pieces(dict):
-    """Maps a piece of text to its ids as little-endian uint32 bytes; misses go to the tokenizer."""
+    """Maps a piece of text to its ids as little-endian uint32 bytes; misses go to the tokenizer's model."""
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, most: int = 400_000) -> None:
+    def __init__(self, tokenizer: Tokenizer, pattern: str, most: int = 800_000) -> None:
         super().__init__()
-        self.model = Tokenizer(tokenizer.model)  # pieces are mapped here, so the model alone is asked
+        self.model = tokenizer.model  # pieces are mapped here, so the model alone is asked
+        self.vocab = tokenizer.get_vocab(with_added_tokens=False)
         self.plain, self.full = splitters(pattern)
         self.table = dict(enumerate(byte_to_char()))
         self.most = most
 
     def __missing__(self, piece: str) -> bytes:
         shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-        ids = np.array(self.model.encode(shown, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         if len(piece) <= 128:
             if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
 
+    def all_ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, each pattern match encoded separately."""
+        out = []
+        for text in texts:
+            pieces = self.split(text)
+            found = itemgetter(*pieces)(self) if len(pieces) > 1 else [self[p] for p in pieces]
+            out.append(np.frombuffer(b"".join(found), "<u4"))
+        return out
+
     def split(self, text: str) -> list[str]:
         if self.plain is not None and PLAIN.fullmatch(text):
             return self.plain.findall(text)
         return self.full.findall(text)
 
     def ids(self, text: str) -> np.ndarray:
-        """Ids of a text, each pattern match encoded separately."""
-        return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), "<u4")
+        """Ids of one text."""
+        return self.all_ids([text])[0]
 
     def lengths(self) -> np.ndarray:
         """UTF-8 bytes of each id."""
-        vocab = self.model.get_vocab()
-        out = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
+        out = np.zeros(max(self.vocab.values()) + 1, np.int64)
+        for token, i in self.vocab.items():
             out[i] = len(token)
         return out
