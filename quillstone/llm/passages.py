@@ -5,11 +5,12 @@ fixed number of them.  Each window chooses an anchor, the k-gram in it with the
 least hash, so equal windows choose equal anchors; windows with the same anchor
 occurrence form a piece.  Four steps lead to the windows to remove:
 
-1. ``seeds``: anchors are dealt out by hash, packed in arrays, each hash once a
-   batch; an anchor that occurs once in the corpus can't belong to a repeat.
-2. ``gather``: pieces of the other anchors are dealt out with their content,
-   equal pieces of a batch collapsed.  Anchors with a very large share of all
-   occurrences are dealt window by window instead, so no group fills a task.
+1. ``seeds``: pieces are dealt out by anchor hash, packed in arrays, equal ones of
+   a batch once.  Copies of a whole piece are settled here, as equal texts would
+   be; an anchor with one piece needs no more.
+2. ``gather``: of the pieces that share an anchor with different ones, one copy
+   each is dealt out with its content.  Anchors with a very large share of all
+   distinct pieces are dealt window by window instead, so no group fills a task.
 3. A resolver (suffix array or suffix automaton) judges each group of pieces.
 4. ``removals`` brings the judged windows back to their documents.
 
@@ -19,6 +20,7 @@ text, so repeated rows get equal results.  No step caps a group or drops a row.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -28,12 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import P1, P2, Chunk, batches, mix, rotl, split_words, text_chunks, words8, xxh64
+from .bytesops import P1, P2, Chunk, arrow_map, batches, mix, rotl, split_words, text_chunks, words8, xxh64
 from .scratch import Scratch, parts
 
 LAST = (1 << 63) - 1
 LOW = np.uint64(0xFFFFFFFF)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 class Spec(NamedTuple):
@@ -59,14 +62,13 @@ class Units(NamedTuple):
 
 
 class Pieces(NamedTuple):
-    """Pieces of a chunk: document, first window (unit in chunk), windows, anchor hash, content hash, number within the document."""
+    """Pieces of a chunk: document, first window (unit in chunk), windows, anchor hash, content hash."""
 
     doc: np.ndarray
     lo: np.ndarray
     n: np.ndarray
     h: np.ndarray
     ph: np.ndarray
-    number: np.ndarray
 
 
 def units_of(chunk: Chunk, spec: Spec) -> Units:
@@ -92,19 +94,27 @@ def gram_hashes(units: Units, k: int) -> np.ndarray:
         return mix(g)
 
 
+@functools.lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2 to the 64th."""
+    with np.errstate(over="ignore"):
+        both = []
+        for x in (int(BASE), pow(int(BASE), -1, 1 << 64)):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            both.append(np.multiply.accumulate(p))
+        return both[0], both[1]
+
+
 class Contents:
     """Polynomial hashes of unit ranges, from prefix sums."""
 
     def __init__(self, value: np.ndarray) -> None:
         with np.errstate(over="ignore"):
-            power = np.full(len(value) + 1, BASE, np.uint64)
-            power[0] = 1
-            self.power = np.multiply.accumulate(power)
-            inverse = np.full(len(value) + 1, np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64)
-            inverse[0] = 1
-            self.inverse = np.multiply.accumulate(inverse)
+            power, self.inverse = powers(1 << (len(value) + 1).bit_length())
             self.total = np.zeros(len(value) + 1, np.uint64)
-            np.cumsum(mix(value.astype(np.uint64) + np.uint64(1)) * self.power[:-1], out=self.total[1:])
+            each = BYTE_VALUES[value] if value.dtype == np.uint8 else mix(value)
+            np.cumsum(each * power[:len(value)], out=self.total[1:])
 
     def hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -115,7 +125,7 @@ def pieces_of(units: Units, spec: Spec) -> tuple[Pieces, Contents | None]:
     """Group each document's windows by the leftmost least k-gram in them."""
     n, none = len(units.value), np.zeros(0, np.int64)
     if n < spec.window:
-        return Pieces(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none), None
+        return Pieces(none, none, none, none.astype(np.uint64), none.astype(np.uint64)), None
     g = gram_hashes(units, spec.gram)
     least = (g & ~LOW) | np.arange(n, dtype=np.uint64)
     wide, span = spec.window - spec.gram + 1, 1
@@ -131,7 +141,7 @@ def pieces_of(units: Units, spec: Spec) -> tuple[Pieces, Contents | None]:
     np.add.at(open_, units.first[1:][long] - spec.window + 1, -1)
     at = np.flatnonzero(np.cumsum(open_[:len(least)]))
     if not len(at):
-        return Pieces(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none), None
+        return Pieces(none, none, none, none.astype(np.uint64), none.astype(np.uint64)), None
     anchor = (least[at] & LOW).astype(np.int64)
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
@@ -139,8 +149,7 @@ def pieces_of(units: Units, spec: Spec) -> tuple[Pieces, Contents | None]:
     lo, count = at[head], np.diff(np.append(head, len(at)))
     doc = np.searchsorted(units.first, lo, "right") - 1
     contents = Contents(units.value)
-    number = np.arange(len(lo)) - np.searchsorted(doc, doc)
-    return Pieces(doc, lo, count, g[anchor[head]], contents.hash(lo, lo + count + spec.window - 1), number), contents
+    return Pieces(doc, lo, count, g[anchor[head]], contents.hash(lo, lo + count + spec.window - 1)), contents
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +180,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (
 
 
 def packed(dealt: int, slot: np.ndarray, doc: np.ndarray, rank: np.ndarray, th: np.ndarray, columns: dict[str, np.ndarray],
-           known: bool, blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows for each slot, with each column's values as one array of bytes; blob adds (data, lo, hi) ranges."""
+           known: bool, blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, pair: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows for each slot, with each column's values as one array of bytes; blob adds (data, lo, hi) ranges; pair replaces that column."""
     order = np.argsort(slot, kind="stable")
     cut = np.searchsorted(slot[order], np.arange(dealt + 1))
     rows: dict[str, list] = {"slot": [], "known": [], "rank": [], "th": [], "doc": [], **{c: [] for c in columns}, "size": [], "blob": []}
@@ -186,6 +195,8 @@ def packed(dealt: int, slot: np.ndarray, doc: np.ndarray, rank: np.ndarray, th:
         rows["doc"].append(local.astype("<u4").tobytes())
         for c, v in columns.items():
             rows[c].append(v[part].tobytes() if len(v) else b"")
+        if pair is not None:
+            rows["pair"][-1] = pair.tobytes()
         if blob is None:
             rows["size"].append(b"")
             rows["blob"].append(b"")
@@ -219,66 +230,134 @@ def unpacked(rows: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str,
     return joined
 
 
-def replies(rank: np.ndarray, th: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document (rank, th) with its rows of values as bytes."""
-    order, _, first = groups(rank, th)
-    ends = np.append(first, len(order))
-    flat = values[order]
-    for lo in range(0, len(first), 20000):
-        some = first[lo:lo + 20000]
-        stop = ends[lo + 1:lo + 1 + len(some)]
+def send_back(slots: int, rank: np.ndarray, th: np.ndarray, pairs: np.ndarray, ask: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Deal pairs of 32-bit numbers out by document, packed; `ask` marks those that ask for content."""
+    order, group, first = groups(rank, th)
+    doc = np.empty(len(rank), np.int64)
+    doc[order] = group
+    r, t = rank[order[first]], th[order[first]]
+    slot = (mix(r.view(np.uint64) ^ rotl(t.view(np.uint64), 17)) % np.uint64(slots)).astype(np.int64)
+    pair = np.ascontiguousarray(pairs.astype("<u4")).view("<u8").ravel()
+    yield from packed(slots, slot[doc], doc, r, t, {"pair": pair, "ask": np.zeros(len(rank), "u1") if ask is None else ask.astype("u1")}, False)
+
+
+def by_document(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document: (rank, th, cut, ask), the pairs that were sent back; null where there are none."""
+    told, asked = apart(batch_rows)
+    for batch in told:
+        for frequent in batch.column("pair").to_pylist():
+            yield pa.RecordBatch.from_pydict({"rank": pa.array([None], pa.int64()), "th": pa.array([None], pa.int64()), "cut": pa.array([None], pa.binary()), "ask": pa.array([frequent], pa.binary())})
+    a = unpacked(asked, {"pair": "<u8", "ask": "u1"})
+    order, group, first = groups(a["rank"], a["th"])
+    order = order[np.lexsort((a["ask"][order], group))]
+    pair, ends = a["pair"][order], np.append(first, len(order))
+    middle = ends[1:] - (np.add.reduceat(a["ask"][order].astype(np.int64), first) if len(first) else first)
+    for lo in range(0, len(first), 5000):
+        hi = min(lo + 5000, len(first))
+        spans = list(zip(ends[lo:hi].tolist(), middle[lo:hi].tolist(), ends[lo + 1:hi + 1].tolist(), strict=True))
         yield pa.RecordBatch.from_pydict({
-            "rank": pa.array(rank[order[some]]), "th": pa.array(th[order[some]]),
-            "data": pa.array([flat[a:b].tobytes() for a, b in zip(some.tolist(), stop.tolist(), strict=True)], pa.binary())})
+            "rank": pa.array(a["rank"][order[first[lo:hi]]]), "th": pa.array(a["th"][order[first[lo:hi]]]),
+            "cut": pa.array([pair[x:y].tobytes() if y > x else None for x, y, _ in spans], pa.binary()),
+            "ask": pa.array([pair[y:z].tobytes() if z > y else None for _, y, z in spans], pa.binary())})
 
 
 PACKED = "slot int, known boolean, rank binary, th binary, doc binary, {}size binary, blob binary"
+REPLY = PACKED.format("pair binary, ask binary, ")
+
 
+def apart(batch_rows: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
+    """Rows that only pass on what is known already, and those to judge."""
+    told, asked = [], []
+    for batch in batch_rows:
+        known = batch.column("known")
+        told.append(batch.filter(known))
+        asked.append(batch.filter(pc.invert(known)))
+    return told, asked
 
-def seeds(rows: DataFrame, spec: Spec, slots: int) -> DataFrame:
-    """(rank, th, data): numbers of each document's pieces whose anchor occurs again; with null rank, very frequent anchors."""
-    schema = PACKED.format("h binary, count binary, number binary, ")
+
+def seeds(rows: DataFrame, spec: Spec, slots: int, earlier: bool) -> DataFrame:
+    """(rank, th, cut, ask): windows that go because their whole piece occurs elsewhere, and pieces whose content is asked for.
+
+    cut holds (first window, windows) pairs.  ask holds (first window, occurrences)
+    pairs of the pieces that share an anchor with other ones: one for each distinct
+    piece, or all those of its first document.  Rows with null rank hold anchors
+    of very many distinct pieces.
+    """
+    schema = PACKED.format("h binary, ph binary, lo binary, n binary, count binary, ")
+    if spec.window - spec.gram + 1 > 255:
+        raise ValueError("a window holds at most 255 grams")
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(batch_rows):
             found = []
-            for chunk in text_chunks(table.column("text")):
-                p, _ = pieces_of(units_of(chunk, spec), spec)
-                found.append((p.doc + chunk.lo, p.h, p.number))
-            doc, h, number = (np.concatenate(x) for x in zip(*found, strict=True))
+            for chunk in text_chunks(table.column("text"), 1 << 19):
+                units = units_of(chunk, spec)
+                p, _ = pieces_of(units, spec)
+                found.append((p.doc + chunk.lo, p.h, p.ph, p.lo - units.first[p.doc], p.n))
+            doc, h, ph, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
-            order, _, first = groups(h)
+            order, group, first = groups(h ^ rotl(ph, 32))
             size = np.diff(np.append(first, len(order)))
-            count = np.minimum(size, 65535)
-            one = order[first]
-            yield from packed(slots, (h[one] % np.uint64(slots)).astype(np.int64), doc[one], rank, th,
-                              {"h": h[one], "count": count.astype("<u2"), "number": number[one].astype("<u4")}, False)
-            again = np.ones(len(order), bool)
-            again[first] = False
-            more = order[again]  # that these repeat is known here; only their documents need to hear it
-            yield from packed(slots, doc[more] % slots, doc[more], rank, th,
-                              {"h": h[:0], "count": count[:0], "number": number[more].astype("<u4")}, True)
+            if earlier:
+                own = rank[doc[order]]
+                least = np.minimum.reduceat(own, first) if len(first) else own
+                send, done = order[own == least[group]], order[own > least[group]]
+                count = np.ones(len(send), np.int64)
+            else:
+                send, done, count = order[first], order[(size > 1)[group]], size
+            yield from packed(slots, (h[send] % np.uint64(slots)).astype(np.int64), doc[send], rank, th, {
+                "h": h[send], "ph": ph[send], "lo": lo[send].astype("<u4"), "n": n[send].astype("u1"), "count": np.minimum(count, 65535).astype("<u2")}, False)
+            if len(done):  # that these go is known here; only their documents need to hear it
+                yield from packed(slots, doc[done] % slots, doc[done], rank, th, {
+                    "h": h[:0], "ph": ph[:0], "lo": lo[done].astype("<u4"), "n": n[done].astype("u1"), "count": np.zeros(0, "<u2")}, True)
 
     def judge(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: list[pa.RecordBatch] = []
-        asked: list[pa.RecordBatch] = []
-        for batch in batch_rows:
-            known = batch.column("known")
-            told.append(batch.filter(known))
-            asked.append(batch.filter(pc.invert(known)))
-        a = unpacked(asked, {"h": "<u8", "count": "<u2", "number": "<u4"})
-        k = unpacked(told, {"number": "<u4"})
-        order, group, first = groups(a["h"])
-        total = np.add.reduceat(a["count"][order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-        hit = order[(total >= 2)[group]]
-        yield from replies(np.concatenate([a["rank"][hit], k["rank"]]), np.concatenate([a["th"][hit], k["th"]]), np.concatenate([a["number"][hit], k["number"]]))
-        # An anchor that alone makes a quarter of a slot's mean load would fill a task with its pieces.
-        frequent = a["h"][order[first]][total > max(2048, total.sum() / max(1, int(a["slots"])) / 4)]
+        told, asked = apart(batch_rows)
+        k = unpacked(told, {"lo": "<u4", "n": "u1"})
+        if len(k["lo"]):
+            yield from send_back(slots, k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
+        del k, told
+        a = unpacked(asked, {"h": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u2"})
+        del asked
+        order, group, first = groups(a["h"], a["ph"])
+        if not len(order):
+            return
+        h = a["h"][order[first]]
+        shared = np.zeros(len(first), bool)  # the anchor has other pieces too
+        shared[1:] |= h[1:] == h[:-1]
+        shared[:-1] |= h[1:] == h[:-1]
+        if earlier:
+            rank = a["rank"][order]
+            least = np.minimum.reduceat(rank, first)
+            cut, ask = order[rank > least[group]], order[(rank == least[group]) & shared[group]]
+            times = np.ones(len(ask), np.int64)
+        else:
+            total = np.add.reduceat(a["count"][order].astype(np.int64), first)
+            cut, ask = order[(total > 1)[group]], order[first[shared]]
+            times = np.minimum(total[shared], 1 << 30)
+        both = np.concatenate([cut, ask])
+        second = np.concatenate([a["n"][cut].astype(np.int64), times])
+        yield from send_back(slots, a["rank"][both], a["th"][both], np.stack([a["lo"][both], second], 1), np.arange(len(both)) >= len(cut))
+        # An anchor whose distinct pieces alone make a quarter of a slot's mean load would fill a task with them.
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        kinds = np.diff(np.append(heads, len(h)))
+        frequent = h[heads][kinds > max(FREQUENT, len(h) / max(1, int(a["slots"])) / 4)]
         if len(frequent):
-            yield pa.RecordBatch.from_pydict({"rank": pa.array([None], pa.int64()), "th": pa.array([None], pa.int64()), "data": pa.array([frequent.tobytes()], pa.binary())})
+            none = np.zeros(1, np.int64)
+            yield from packed(1, none, none, none, none, {"pair": np.zeros(1, "<u8"), "ask": np.zeros(1, "u1")}, True, pair=frequent)
 
-    return (rows.select("rank", "th", "text").mapInArrow(emit, schema).repartition(parts(rows.sparkSession), "slot")
-            .mapInArrow(judge, "rank bigint, th bigint, data binary"))
+    return returned(arrow_map(rows.select("rank", "th", "text"), emit, schema), judge)
+
+
+def returned(dealt: DataFrame, judge: Callable) -> DataFrame:
+    """Judge what was dealt out by content and bring the answers back by document: (rank, th, cut, ask)."""
+    n = parts(dealt.sparkSession)
+    answers = arrow_map(dealt.repartition(n, "slot"), judge, REPLY)
+    return arrow_map(answers.repartition(n, "slot"), by_document, "rank bigint, th bigint, cut binary, ask binary")
+
+
+#: Distinct pieces an anchor may always have without being dealt window by window.
+FREQUENT = 2048
 
 
 class Group(NamedTuple):
@@ -299,31 +378,31 @@ Resolver = Callable[[Group, Spec], np.ndarray]
 
 def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: Spec, slots: int, earlier: bool, resolve: Resolver,
            shard_bytes: int) -> DataFrame:
-    """(rank, th, data): (first window, windows) pairs to remove, as 32-bit numbers, in document units.
+    """(rank, th, cut): (first window, windows) pairs to remove, as 32-bit numbers, in document units.
 
     earlier: a window goes if it occurs in a document of smaller rank; else if it occurs anywhere else.
     shard_bytes: content that the resolver gets at once, whole groups each.
     """
     schema = PACKED.format("key binary, ph binary, lo binary, n binary, count binary, ")
-    kinds = {"key": "<u8", "ph": "<u8", "lo": "<u4", "n": "<u4", "count": "<u4"}
+    kinds = {"key": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u4"}
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(batch_rows):
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
-            lists = table.column("data").to_pylist()
-            cols: dict[str, list] = {c: [] for c in ("doc", "key", "ph", "lo", "n", "from", "to")}
+            lists = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in table.column("ask").to_pylist()]
+            cols: dict[str, list] = {c: [] for c in ("doc", "key", "ph", "lo", "n", "count", "from", "to")}
             blobs, base = [], 0
-            for chunk in text_chunks(table.column("text")):
+            for chunk in text_chunks(table.column("text"), 1 << 19):
                 units = units_of(chunk, spec)
                 p, contents = pieces_of(units, spec)
                 if contents is None:
                     continue
-                first = np.searchsorted(p.doc, np.arange(chunk.hi - chunk.lo))
-                chosen = np.zeros(len(p.doc), bool)
-                for d in range(chunk.hi - chunk.lo):
-                    chosen[first[d] + np.frombuffer(b"".join(lists[chunk.lo + d]), "<u4")] = True
-                common = chosen & np.isin(p.h, frequent)
-                plain = np.flatnonzero(chosen & ~common)
+                asked = np.concatenate(lists[chunk.lo:chunk.hi])
+                where = np.repeat(units.first[:-1], [len(x) for x in lists[chunk.lo:chunk.hi]]) + asked[:, 0]
+                times = np.zeros(len(p.lo), np.int64)
+                times[np.searchsorted(p.lo, where)] = asked[:, 1]
+                common = (times > 0) & np.isin(p.h, frequent)
+                plain = np.flatnonzero((times > 0) & ~common)
                 single = ragged(p.lo[common], p.n[common])
                 lo = np.concatenate([p.lo[plain], single])
                 n = np.concatenate([p.n[plain], np.ones(len(single), np.int64)])
@@ -331,7 +410,8 @@ def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: S
                 own = contents.hash(single, single + spec.window)
                 a, b = units.span(lo, lo + n + spec.window - 1)
                 for c, v in (("doc", doc + chunk.lo), ("key", np.concatenate([p.h[plain], own])), ("ph", np.concatenate([p.ph[plain], own])),
-                             ("lo", lo - units.first[doc]), ("n", n), ("from", a + base), ("to", b + base)):
+                             ("lo", lo - units.first[doc]), ("n", n), ("count", np.concatenate([times[plain], np.repeat(times[common], p.n[common])])),
+                             ("from", a + base), ("to", b + base)):
                     cols[c].append(v)
                 blobs.append(units.data)
                 base += len(units.data)
@@ -340,17 +420,16 @@ def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: S
             c = {k: np.concatenate(v) for k, v in cols.items()}
             data = np.concatenate(blobs)
             order, group, first = groups(c["key"], c["ph"])
-            size = np.diff(np.append(first, len(order)))
+            count = np.add.reduceat(c["count"][order], first) if len(first) else np.zeros(0, np.int64)
             if earlier:
                 own = rank[c["doc"][order]]
                 least = np.minimum.reduceat(own, first) if len(first) else own
                 send, done = order[own == least[group]], order[own > least[group]]
                 count = np.ones(len(send), np.int64)
             else:
-                send = order[first]
-                done = order[(size > 1)[group]]
-                count = np.minimum(size, 1 << 30)
-            columns = {"key": c["key"], "ph": c["ph"], "lo": c["lo"].astype("<u4"), "n": c["n"].astype("<u4")}
+                send, done = order[first], order[(count > 1)[group]]
+                count = np.minimum(count, 1 << 30)
+            columns = {"key": c["key"], "ph": c["ph"], "lo": c["lo"].astype("<u4"), "n": c["n"].astype("u1")}
             yield from packed(slots, (c["key"][send] % np.uint64(slots)).astype(np.int64), c["doc"][send], rank, th,
                               {k: v[send] for k, v in columns.items()} | {"count": count.astype("<u4")}, False, (data, c["from"][send], c["to"][send]))
             if len(done):
@@ -358,14 +437,10 @@ def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: S
                     "key": np.zeros(0, "<u8"), "ph": np.zeros(0, "<u8"), "lo": columns["lo"][done], "n": columns["n"][done], "count": np.zeros(0, "<u4")}, True)
 
     def judge(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, asked = [], []
-        for batch in batch_rows:
-            known = batch.column("known")
-            told.append(batch.filter(known))
-            asked.append(batch.filter(pc.invert(known)))
-        k = unpacked(told, {"lo": "<u4", "n": "<u4"})
+        told, asked = apart(batch_rows)
+        k = unpacked(told, {"lo": "<u4", "n": "u1"})
         if len(k["lo"]):
-            yield from replies(k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
+            yield from send_back(slots, k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
         del k, told
         a = unpacked(asked, kinds)
         del asked
@@ -412,10 +487,10 @@ def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: S
         e, at, stop = entry[head], within[head], within[tail]
         out.append((a["rank"][rest[e]], a["th"][rest[e]], a["lo"][rest[e]].astype(np.int64) + at, stop - at + 1))
         r, t, lo, length = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield from replies(r, t, np.stack([lo, length], 1).astype("<u4"))
+        yield from send_back(slots, r, t, np.stack([lo, length], 1))
 
-    joined = rows.join(candidates, ["rank", "th"]).select("rank", "th", "text", "data")
-    return joined.mapInArrow(emit, schema).repartition(parts(rows.sparkSession), "slot").mapInArrow(judge, "rank bigint, th bigint, data binary")
+    joined = rows.join(candidates, ["rank", "th"]).select("rank", "th", "text", "ask")
+    return returned(arrow_map(joined, emit, schema), judge).drop("ask")
 
 
 def shards(key: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray]:
@@ -432,20 +507,21 @@ def shards(key: np.ndarray, size: np.ndarray, limit: int) -> Iterator[np.ndarray
 
 def removals(docs: DataFrame, spec: Spec, earlier: bool, resolve: Resolver, name: str, id_col: str, text_col: str,
              shard_bytes: int = 1 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, data and the kept columns: for each input row the windows to remove as (first, number) pairs, null if there are none."""
+    """doc_id, text, data and the kept columns: for each input row the windows to remove as lists of (first, number) pairs, null if there are none."""
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     rows = keyed(docs, id_col, text_col)
     slots = 4 * parts(spark)
-    seeded = scratch.keep(seeds(rows, spec, slots))
+    seeded = scratch.keep(seeds(rows, spec, slots, earlier))
+    scratch.settle()
+    frequent = np.frombuffer(b"".join(r["ask"] for r in seeded.where("rank IS NULL").select("ask").collect()), "<u8")
+    asked = seeded.where("rank IS NOT NULL AND ask IS NOT NULL").select("rank", "th", "ask")
+    judged = scratch.keep(gather(rows, asked, frequent, spec, slots, earlier, resolve, shard_bytes))
     scratch.settle()
-    frequent = np.frombuffer(b"".join(r["data"] for r in seeded.where("rank IS NULL").select("data").collect()), "<u8")
-    candidates = seeded.where("rank IS NOT NULL").groupBy("rank", "th").agg(F.collect_list("data").alias("data"))
-    judged = scratch.keep(gather(rows, candidates, frequent, spec, slots, earlier, resolve, shard_bytes))
-    scratch.free(seeded)
-    found = judged.groupBy("rank", "th").agg(F.collect_list("data").alias("data"))
+    whole = seeded.where("rank IS NOT NULL AND cut IS NOT NULL").select("rank", "th", F.col("cut").alias("whole"))
     kept = [f"kept_{i}" for i in range(len(keep))]
-    return keyed(docs, id_col, text_col, keep).join(found, ["rank", "th"], "left").select("doc_id", "text", "data", *kept)
+    found = keyed(docs, id_col, text_col, keep).join(whole, ["rank", "th"], "left").join(judged.withColumnRenamed("cut", "part"), ["rank", "th"], "left")
+    return found.select("doc_id", "text", F.array_compact(F.array("whole", "part")).alias("data"), *kept)
 
 
 def covered(pairs: list[bytes] | None, window: int) -> tuple[np.ndarray, np.ndarray]:

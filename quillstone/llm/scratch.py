@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,10 @@ class Scratch:
 
     def settle(self) -> None:
         """Shuffle files of finished steps go when the driver's references to them are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def parts(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytesops import words8
+from .bytesops import arrow_map, text_chunks, words8
 from .passages import Group, Spec, covered, ragged, removals
 
 
@@ -84,7 +84,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in pieces(rows, "text"):
             out = []
             for text, pairs in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 raw = text.encode()
@@ -99,7 +99,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
                      *(batch.column(c) for c in names)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
 
     kept_kinds = "".join(f", kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return found.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary{kept_kinds}")
+    return arrow_map(found, cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary{kept_kinds}")
 
 
 def remaining_text(kept: bytes) -> str:
@@ -107,6 +107,13 @@ def remaining_text(kept: bytes) -> str:
     return kept.decode("utf-8", "ignore")
 
 
+def pieces(rows: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about 2 MB of text each, so that results are passed on in small batches."""
+    for batch in rows:
+        for chunk in text_chunks(batch.column(text)):
+            yield batch.slice(chunk.lo, chunk.hi - chunk.lo)
+
+
 def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The input's rows and columns with repeated passages cut from the text, and length_col, if given, set to its characters.
 
@@ -117,7 +124,7 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     schema = ", ".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
 
     def put(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in pieces(rows, f"kept_{names.index(text_col)}"):
             columns = {c: batch.column(f"kept_{i}") for i, c in enumerate(names)}
             cut = batch.column("n_removed").to_numpy() > 0
             if cut.any():
@@ -128,4 +135,4 @@ def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
                     columns[length_col] = pa.array(sizes, columns[length_col].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=[f"kept_{i}" for i in range(len(names))])
 
-    return found.select("n_removed", "kept", *(f"kept_{i}" for i in range(len(names)))).mapInArrow(put, schema).toDF(*names)
+    return arrow_map(found.select("n_removed", "kept", *(f"kept_{i}" for i in range(len(names)))), put, schema).toDF(*names)
