@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillstone.plans import entity, extensions, governance, ingest, retrieval
+from quillstone.plans import entity, extensions, governance, ingest, retrieval, sourcing
 from quillstone.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "entity", "extensions", "governance", "ingest", "retrieval"]
+__all__ = ["QUERIES", "SQL", "entity", "extensions", "governance", "ingest", "retrieval", "sourcing"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from .text import SPACE, distinct_lines, first_nonblank, normalize_space, safe_text, strip, truncate
 
@@ -101,3 +106,77 @@ def search_terms(name: Column, brand: Column) -> Column:
     bare = F.when((b != "") & F.startswith(full, b), strip(F.substring(full, F.char_length(b) + 1, F.lit(1 << 20)))).otherwise(full)
     plain = strip(F.regexp_replace(bare, r"[（(][^）)]*[）)]", ""))
     return F.array_distinct(F.filter(F.array(full, bare, plain, F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")), lambda x: F.char_length(x) >= 2))
+
+
+#: What OCR text says after these labels.
+OCR_CLUES = (
+    ("酒精度", r"(?i)酒精度[:：]?\s*([0-9]{1,2}(?:\.\d+)?\s*% ?vol)"),
+    ("净含量", r"(?i)净含量[:：]?\s*([0-9]+(?:\.[0-9]+)?\s*(?:ml|l)(?:x[0-9]+)?)"),
+    ("规格", r"规格[:：]?\s*([^\n，,；;]{1,40})"),
+    ("香型", r"(?m)(?:^|[\n\s])香型[:：]?\s*([^\n]{1,24}?白酒)"),
+)
+#: Labels at which a clue's value ends.
+CLUE_END = r"(?s)(?:净含量|规格|酒精度|执行标准|生产企业|配料表|食品名称|贮存方式|温馨提示).*$"
+
+
+def ocr_clues(ocr: Column, known: dict[str, Column], most: int = 4) -> Column:
+    """`label：value` clues from OCR text, without those that the product's own field already holds."""
+    found = []
+    for name, pattern in OCR_CLUES:
+        v = F.regexp_replace(F.regexp_replace(F.regexp_extract(safe_text(ocr), pattern, 1), CLUE_END, ""), r"(?s)[【\[(（].*$", "")
+        v = normalize_space(F.regexp_replace(v, r"^[ ：:;；，,】)\]）]+|[ ：:;；，,】)\]）]+$", ""))
+        held = F.contains(normalize_space(known[name]), v) if name in known else F.lit(False)
+        found.append(F.when((v != "") & ~held, F.concat(F.lit(f"{name}："), v)))
+    return F.slice(F.array_compact(F.array(*found)), 1, most)
+
+
+def ocr_summary(ocr: Column, known: dict[str, Column]) -> Column:
+    """The clues, else the first three lines of two characters or more, cut to 160."""
+    clues = ocr_clues(ocr, known)
+    lines = F.slice(F.filter(F.transform(F.split(safe_text(ocr), r"\r\n|\n|\r"), normalize_space), lambda x: F.char_length(x) >= 2), 1, 3)
+    text = F.array_join(lines, "；")
+    return F.when(F.size(clues) > 0, F.array_join(clues, "；")).otherwise(F.when(F.char_length(text) > 160, F.concat(F.substring(text, 1, 160), F.lit("..."))).otherwise(text))
+
+
+def image_section(title: str, caption: Column, tags: Column, ocr: Column, limit: int, labels: tuple[str, str, str]) -> Column:
+    """A titled section from the caption, tags and OCR summary of a product's main image; empty if there is nothing."""
+    cut = F.when(F.char_length(strip(caption)) > limit, F.concat(F.substring(strip(caption), 1, limit), F.lit("..."))).otherwise(strip(caption))
+    shown = F.array_join(tags, "、")
+    lines = F.array_compact(F.array(*(F.when(v != "", F.concat(F.lit(f"{name}："), v)) for name, v in zip(labels, (cut, shown, safe_text(ocr)), strict=True))))
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"{title}\n"), F.array_join(lines, "\n"))).otherwise("")
+
+
+def gift_tags(tags: Column, most: int = 6) -> Column:
+    """Tags that speak of gifts or occasions."""
+    words = F.array(*map(F.lit, ("礼", "商务", "节庆", "高端", "喜庆", "纪念", "收藏", "国风")))
+    return F.slice(F.filter(tags, lambda t: F.exists(words, lambda w: F.contains(t, w))), 1, most)
+
+
+@pandas_udf(StringType())
+def balanced_json(s: pd.Series) -> pd.Series:
+    """The first brace-balanced object in each text, braces inside strings aside; null if there is none."""
+    decoder = json.JSONDecoder(strict=False)
+
+    def first(text: str | None) -> str | None:
+        at = (text or "").find("{")
+        if at < 0:
+            return None
+        try:
+            return text[at:decoder.raw_decode(text, at)[1]]
+        except ValueError:
+            pass
+        depth, quoted, i = 0, False, at
+        while i < len(text):
+            c = text[i]
+            if c == "\\":
+                i += 1
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted and c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return text[at:i + 1]
+            i += 1
+        return None
+
+    return s.map(first)

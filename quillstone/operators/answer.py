@@ -64,3 +64,27 @@ def extractive_answer(products: DataFrame, most: int = 5) -> DataFrame:
     lines = products.orderBy("product_rank").limit(most).select("product_rank", F.format_string("%d. %s：%s", "product_rank", F.when(name != "", name).otherwise(F.col("product_id").cast("string")), reason).alias("line"))
     got = lines.agg(F.array_sort(F.collect_list(F.struct("product_rank", "line"))).alias("all"))
     return got.select(F.when(F.size("all") == 0, NOTHING_FOUND).otherwise(F.concat(F.lit("根据当前资料，优先推荐以下产品：\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n"))).alias("answer"))
+
+
+def structured_products(products: DataFrame, told: DataFrame) -> DataFrame:
+    """Ranked products with the model's name and reason where it gave them, else the text's; ids the model made up are ignored.
+
+    products: product_rank, product_id, best_text, score; told: product_id, product_name, reason.
+    """
+    got = products.join(told.select("product_id", F.col("product_name").alias("told_name"), "reason").dropDuplicates(["product_id"]), "product_id", "left")
+    reason = F.coalesce(F.when(F.trim("reason") != "", F.col("reason")), truncate(normalize_space(F.col("best_text")), 180))
+    return got.select("product_rank", "product_id", F.coalesce(F.when(F.trim("told_name") != "", F.col("told_name")), product_name(F.col("best_text"))).alias("product_name"), reason.alias("reason"), "score")
+
+
+def rerank_scores(products: DataFrame, query: str, provider, id_col: str = "product_id") -> DataFrame:
+    """(id, rerank_score) from a provider, one request per Arrow batch; a missing or extra score is an error."""
+    kind = products.schema[id_col].dataType.simpleString()
+
+    def run(parts):
+        for rows in parts:
+            scores = provider.rerank(query, rows["rerank_text"].tolist())
+            if len(scores) != len(rows):
+                raise ValueError("the provider returned another number of scores than asked for")
+            yield rows[[id_col]].assign(rerank_score=[float(s) for s in scores])
+
+    return products.select(id_col, "rerank_text").mapInPandas(run, f"{id_col} {kind}, rerank_score double")

@@ -89,3 +89,42 @@ def retention(path: Column, rules: Sequence[tuple[str, str, str]] = RETENTION) -
     for test, c, a in reversed(rules):
         category, action = F.when(path.rlike(test), c).otherwise(category), F.when(path.rlike(test), a).otherwise(action)
     return F.struct(category.alias("category"), action.alias("action"))
+
+
+def image_backfill(products: DataFrame, images: DataFrame) -> DataFrame:
+    """Products with their images: counts, ordered distinct paths, the primary image and the analysis status.
+
+    products: product_id; images: product_id, image_index, anchor_cell, image_path, caption, tags, ocr_text, analysis_status, has_embedding, matched.
+    """
+    shown = F.coalesce(F.col("image_index"), F.lit(999999999))
+    order = [(F.col("analysis_status") != "success").cast("int"), -F.char_length(strip(F.col("caption"))), -F.coalesce(F.size("tags"), F.lit(0)), (strip(F.col("ocr_text")) == "").cast("int"),
+             (~F.coalesce("has_embedding", F.lit(False))).cast("int"), (~F.coalesce("matched", F.lit(False))).cast("int"), shown, F.coalesce("image_path", F.lit(""))]
+    best = primary(images, "product_id", order, ["image_path", "caption", "tags"]).select("product_id", F.col("image_path").alias("primary_image_path"), F.col("caption").alias("primary_image_caption"))
+    counts = images.groupBy("product_id").agg(F.count_if(F.col("analysis_status") == "success").alias("ok"), F.count("*").alias("n"))
+    paths = ordered_unique(images.withColumn("o", shown), "product_id", "image_path", ["o", "anchor_cell"]).withColumnRenamed("values", "image_paths")
+    got = products.join(best, "product_id", "left").join(counts, "product_id", "left").join(paths, "product_id", "left")
+    return got.withColumns({"image_count": F.greatest(F.coalesce(F.size("image_paths"), F.lit(0)), F.lit(0)),
+                            "image_analysis_status": analysis_status(F.coalesce("ok", F.lit(0)), F.coalesce("n", F.lit(0)))}).drop("ok", "n")
+
+
+def cell_bounds(cells: DataFrame, sheet: Sequence[str]) -> DataFrame:
+    """(sheet columns, bounds): the A1 range of the filled cells, from row and column numbers."""
+    edge = cells.where(meaningful(F.col("value"))).groupBy(*sheet).agg(F.min("row").alias("r0"), F.min("column").alias("c0"), F.max("row").alias("r1"), F.max("column").alias("c1"))
+    return edge.select(*sheet, F.concat(column_letters(F.col("c0")), "r0", F.lit(":"), column_letters(F.col("c1")), "r1").alias("bounds"))
+
+
+def column_letters(n: Column) -> Column:
+    """Letters of a sheet column, 1 being A; up to three."""
+    def letter(c: Column) -> Column:
+        return F.char(F.lit(65) + c)
+
+    one, two = n - 1, n - 27
+    three = n - 703
+    return (F.when(n <= 26, letter(one)).when(n <= 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
+            .otherwise(F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26))))
+
+
+def lookups(records: DataFrame) -> dict[str, DataFrame]:
+    """Catalogue lookups: by product and by locator the last record wins, by fingerprint all product ids in order."""
+    return {"by_product_id": records.groupBy("product_id").agg(F.max_by("locator", "seq").alias("locator")), "by_locator": records.groupBy("locator").agg(F.max_by("product_id", "seq").alias("product_id")),
+            "by_fingerprint": records.groupBy("fingerprint").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "product_id"))), lambda x: x["product_id"]).alias("product_ids"))}

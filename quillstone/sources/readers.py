@@ -206,3 +206,61 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
 
     found = files(spark, path, ["pdf"], content=True).select("path", "content").mapInPandas(pages, "path string, page int, text string")
     return found.withColumn("text", normalize_text(F.col("text"), wide_spaces=True))
+
+
+def ocr_pages(pages: DataFrame, provider_ocr, id_col: str = "path") -> DataFrame:
+    """Pages with OCR text where the file's own text is too poor; provider_ocr takes (path, page) and returns text.
+
+    Quality is judged per file over all of its pages; only pages of poor files reach the provider.
+    """
+    from quillstone.functions.extract import text_quality
+
+    whole = pages.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("all"))
+    poor = whole.select(id_col, (~text_quality(F.col("all"))).alias("poor"))
+    marked = pages.join(poor, id_col)
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            yield rows.assign(text=[provider_ocr(p, n) for p, n in zip(rows[id_col], rows["page"], strict=True)])
+
+    kind = pages.schema[id_col].dataType.simpleString()
+    fine = marked.where("NOT poor").select(id_col, "page", "text")
+    return fine.unionByName(marked.where("poor").select(id_col, "page", "text").mapInPandas(read, f"{id_col} {kind}, page int, text string"))
+
+
+def embedded_images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row, column, image, image_sha1) of pictures anchored in workbooks."""
+    def pictures(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from openpyxl import load_workbook
+
+        for batch in parts:
+            rows = []
+            for where, content in zip(batch["path"], batch["content"], strict=True):
+                for sheet in load_workbook(io.BytesIO(content)).worksheets:
+                    for picture in getattr(sheet, "_images", []):
+                        start = picture.anchor._from
+                        rows.append((where, sheet.title, start.row + 1, start.col + 1, picture._data()))
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "column", "image"])
+
+    found = files(spark, path, ["xlsx", "xlsm"], content=True).select("path", "content").mapInPandas(pictures, "path string, sheet string, row int, column int, image binary")
+    return found.withColumn("image_sha1", F.sha1("image"))
+
+
+def bound_images(images: DataFrame, products: DataFrame) -> DataFrame:
+    """Images with the product of their cell's row: status matched or unmatched, and the media type of the bytes."""
+    from quillstone.functions.ids import sniff_media
+
+    keys = products.select(F.col("source_file").alias("path"), F.col("source_sheet").alias("sheet"), F.col("source_row").cast("int").alias("row"), "product_id")
+    return images.join(keys, ["path", "sheet", "row"], "left").withColumns({"status": F.when(F.col("product_id").isNotNull(), "matched").otherwise("unmatched"), "media_type": sniff_media(F.col("image"))})
+
+
+def needs_mapping(cells: DataFrame, most_rows: int = 5, most_cells: int = 12) -> DataFrame:
+    """One row per sheet that has no products yet: rows and a preview of the first of them (the preview's size is the feature)."""
+    row = cells.where(strip(F.col("value")) != "").groupBy("path", "sheet", "row").agg(F.array_sort(F.collect_list(F.struct("column", "value"))).alias("c"))
+    row = row.withColumn("shown", F.slice(F.transform("c", lambda x: x["value"]), 1, most_cells))
+    first = F.min_by("row", "row")
+    counts = row.groupBy("path", "sheet").agg(F.count("*").alias("row_count"), first.alias("first_row"))
+    ahead = row.join(counts.select("path", "sheet", "first_row"), ["path", "sheet"]).where(F.col("row") < F.col("first_row") + most_rows)
+    previews = ahead.groupBy("path", "sheet").agg(F.array_sort(F.collect_list(F.struct("row", "shown"))).alias("preview"))
+    source = F.concat(F.lit("product_excel__"), F.substring(F.sha1(F.concat("path", F.lit("::"), "sheet")), 1, 24))
+    return counts.join(previews, ["path", "sheet"]).select("path", "sheet", source.alias("source_doc_id"), F.lit("needs_mapping").alias("status"), "row_count", "preview")

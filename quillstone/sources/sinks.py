@@ -71,3 +71,31 @@ def report(title: str, counts: DataFrame, columns: Sequence[str], most: int = 10
     rows = counts.select(*columns).limit(most).collect()
     head = f"# {title}\n\n| {' | '.join(columns)} |\n| {' | '.join('---' for _ in columns)} |\n"
     return head + "".join(f"| {' | '.join(str(v) for v in r)} |\n" for r in rows)
+
+
+def object_urls(files: DataFrame, base: str, prefix: str = "", path_col: str = "path") -> DataFrame:
+    """Adds key and url: where each file would be in an object store, percent-encoded."""
+    key = F.concat(F.lit(prefix), F.regexp_replace(path_col, r"^[./]+", ""))
+    quoted = F.replace(F.replace(F.url_encode(key), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20"))
+    return files.withColumn("key", key).withColumn("url", F.concat(F.lit(base.rstrip("/") + "/"), quoted))
+
+
+def review_workbook(rows: DataFrame, path: str, choices: dict[str, Sequence[str]], most: int = 100_000) -> None:
+    """A workbook for people with drop-down choices; refused above `most` rows, since it is made on the driver."""
+    from openpyxl import Workbook
+    from openpyxl.worksheet.datavalidation import DataValidation
+
+    got = rows.limit(most + 1).toPandas()
+    if len(got) > most:
+        raise ValueError(f"a workbook holds at most {most} rows")
+    book = Workbook()
+    sheet = book.active
+    sheet.append(list(got.columns))
+    for r in got.itertuples(index=False):
+        sheet.append([str(v) if isinstance(v, (list, dict)) else v for v in r])
+    for column, values in choices.items():
+        rule = DataValidation(type="list", formula1='"' + ",".join(values) + '"')
+        sheet.add_data_validation(rule)
+        letter = sheet.cell(1, list(got.columns).index(column) + 1).column_letter
+        rule.add(f"{letter}2:{letter}{len(got) + 1}")
+    book.save(path)
