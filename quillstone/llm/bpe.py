@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import text_chunks
+from .bytesops import arrow_map, text_chunks
 from .pieces import Pieces, byte_to_char, ranks_tokenizer
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,7 +67,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, id_col: s
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts"][:len(columns)])
 
     schema = f"doc_id {kind}, ids array<int>" + ", starts array<int>" * offsets
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def id_lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -89,7 +89,7 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
                 [batch.column("doc_id"), pa.array(raw, pa.binary()), pa.array([b.decode("utf-8", "replace") for b in raw], pa.string())],
                 names=["doc_id", "decoded", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, decoded binary, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, decoded binary, text string")
 
 
 def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
@@ -109,4 +109,4 @@ def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shown, pa.string()), pa.array(back, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(encoded.select("doc_id", "ids"), run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

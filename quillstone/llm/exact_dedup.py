@@ -72,5 +72,5 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone, repeated = judged.where("NOT repeated"), judged.where("repeated")
     if not repeated.limit(1).count():
         return docs.join(gone, same(gone), "left_anti")
-    once = docs.join(repeated, same(repeated), "left_semi").withColumn("gone_sha", sha).dropDuplicates([id_col, "gone_sha"]).drop("gone_sha")
+    once = docs.join(repeated, same(repeated), "left_semi").withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
     return docs.join(judged, same(judged), "left_anti").unionByName(once)

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import P1, lower_ascii, text_chunks, words8
+from .bytesops import P1, arrow_map, lower_ascii, text_chunks, words8
 
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -124,7 +124,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1
 
 
-def train(docs: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(docs: DataFrame, sample_rows: int = 2400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on labelled documents that aren't held out; about `sample_rows` of them if there are more, chosen by a hash of id and text."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     n = labelled.select(lang_col).count()
@@ -146,7 +146,7 @@ def train(docs: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text
                      pa.array([h[s].astype("<i4").tobytes() for h, s in zip(hist, sparse, strict=True)], pa.binary())],
                     names=["lang", "slots", "counts"])
 
-    got = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, slots binary, counts binary").collect()
+    got = arrow_map(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, slots binary, counts binary").collect()
     counts = np.zeros((len(got), BUCKETS), np.float32)
     for i, r in enumerate(got):
         counts[i, np.frombuffer(r["slots"], "<i4")] = np.frombuffer(r["counts"], "<i4")
@@ -167,22 +167,19 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found, scores, flags = [], [], []
             for chunk in text_chunks(batch.column(sent.index(text_col)), 1 << 20):
                 which, score, near = predict(model, histograms(chunk.data, chunk.offsets))
                 known = has_letter(chunk.data, chunk.offsets) & (which >= 0)
-                found += [model.langs[k] if ok else UNKNOWN for k, ok in zip(which.tolist(), known.tolist(), strict=True)]
-                scores.append(np.where(known, score, 0.0))
-                flags.append(near | ~known)
-            if found:
+                found = [model.langs[k] if ok else UNKNOWN for k, ok in zip(which.tolist(), known.tolist(), strict=True)]
+                part = batch.slice(chunk.lo, chunk.hi - chunk.lo)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(sent.index(id_col)), pa.array(found, pa.string()), pa.array(np.concatenate(scores).astype(np.float64)),
-                     pa.array(np.concatenate(flags)), *(batch.column(sent.index(c)) for c in keep)], names=names)
+                    [part.column(sent.index(id_col)), pa.array(found, pa.string()), pa.array(np.where(known, score, 0.0).astype(np.float64)),
+                     pa.array(near | ~known), *(part.column(sent.index(c)) for c in keep)], names=names)
 
-    return docs.select(*(F.col(c).alias(f"sent_{i}") for i, c in enumerate(sent))).mapInArrow(run, schema)
+    return arrow_map(docs.select(*(F.col(c).alias(f"sent_{i}") for i, c in enumerate(sent))), run, schema)
 
 
-def languages(docs: DataFrame, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def languages(docs: DataFrame, sample_rows: int = 2400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, ambiguous; see train and identify."""
     model = train(docs, sample_rows, id_col, text_col, lang_col)
     return identify(docs, model, id_col, text_col).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")

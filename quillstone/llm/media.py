@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import arrow_map
+
 MCU = 192
 WIDEST = 8191  # MCUs in a row: 65535 samples at most
 #: Marker codes.
@@ -274,7 +276,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(b) for b in part], pa.int64()), pa.array(media, pa.binary())],
                                                  names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def slices(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -316,4 +318,4 @@ def features(media: DataFrame) -> DataFrame:
 
     schema = (f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
               "media_sha256 string, feature string")
-    return media.mapInArrow(run, schema)
+    return arrow_map(media, run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bytesops import batches
+from .bytesops import arrow_map, batches
 from .pieces import Pieces
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -150,4 +150,4 @@ def pack_documents(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTER
                 sequence += int(seq[-1]) + 1
 
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import batches, lower_ascii, split_words, text_chunks, xxh64
+from .bytesops import arrow_map, batches, lower_ascii, split_words, text_chunks, xxh64
 from .components import components
 from .scratch import Scratch
 
@@ -223,8 +223,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             fp = pa.array(fingerprints_of(t.column("text"), shingle).view(np.int64))
             yield from pa.table({"doc_id": t.column("doc_id"), "text_hash": t.column("text_hash"), "fp": fp}).to_batches()
 
-    signed = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
-                          .mapInArrow(sign, f"doc_id {kind}, text_hash bigint, fp bigint"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
+    signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, fp bigint"))
     classes = scratch.keep(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     n = classes.count()
     nodes: list[Node] = []

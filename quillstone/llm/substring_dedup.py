@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytesops import split_words, text_chunks
+from .bytesops import arrow_map, split_words, text_chunks
 from .passages import Group, Spec, covered, removals
 
 
@@ -122,4 +122,4 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                     [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept_text, pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return found.mapInArrow(cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    return arrow_map(found, cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
