@@ -153,13 +153,20 @@ def pieces_of(units: Units, spec: Spec) -> tuple[Pieces, Contents | None]:
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group of each ordered row, first ordered row of each group) by the keys together."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    if len(order):
-        new[0] = True
-        for k in keys:
-            k = k[order]
+    """(order, group of each ordered row, first ordered row of each group) by the keys together, the first key foremost."""
+    order = np.argsort(keys[0])
+    k = keys[0][order]
+    new = np.ones(len(order), bool)
+    new[1:] = k[1:] != k[:-1]
+    if len(keys) > 1 and len(order):
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        at = np.flatnonzero(~alone)  # only rows that share the first key need the others
+        rows = order[at]
+        rows = rows[np.lexsort((*(key[rows] for key in keys[:0:-1]), np.cumsum(new)[at]))]
+        order[at] = rows
+        for key in keys[1:]:
+            k = key[order]
             new[1:] |= k[1:] != k[:-1]
     return order, np.cumsum(new) - 1, np.flatnonzero(new)
 
@@ -249,7 +256,7 @@ def by_document(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_pydict({"rank": pa.array([None], pa.int64()), "th": pa.array([None], pa.int64()), "cut": pa.array([None], pa.binary()), "ask": pa.array([frequent], pa.binary())})
     a = unpacked(asked, {"pair": "<u8", "ask": "u1"})
     order, group, first = groups(a["rank"], a["th"])
-    order = order[np.lexsort((a["ask"][order], group))]
+    order = order[np.argsort(2 * group + a["ask"][order])]
     pair, ends = a["pair"][order], np.append(first, len(order))
     middle = ends[1:] - (np.add.reduceat(a["ask"][order].astype(np.int64), first) if len(first) else first)
     for lo in range(0, len(first), 5000):

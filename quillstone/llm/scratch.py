@@ -7,13 +7,17 @@ Only a local-mode session without that setting gets a folder of its own.
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir``, or a local one for local-mode tests."""
@@ -26,6 +30,17 @@ def shared_root(spark: SparkSession) -> str:
     return f"file:{tempfile.gettempdir()}/quillstone-shared"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While a table is written, Arrow batches of long texts stay small in both the JVM and Python."""
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 class Scratch:
     """Written tables of one operator call; ``free`` removes those no longer read."""
 
@@ -39,7 +54,8 @@ class Scratch:
         """Write df as Parquet in the shared folder and return the table read back."""
         path = f"{self.base}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path  # type: ignore[attr-defined]

@@ -21,7 +21,7 @@ from .passages import Group, Spec, covered, ragged, removals
 
 def dense(values: np.ndarray) -> np.ndarray:
     """Rank of each value among the distinct ones."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     v = values[order]
     out = np.empty(len(values), np.int64)
     out[order] = np.cumsum(np.r_[False, v[1:] != v[:-1]]) if len(v) else 0
@@ -38,7 +38,7 @@ def suffix_order(text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
         rank = dense(paired(np.arange(len(padded)), span))
         span *= 2
     key = paired(start, length - span)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     return order, np.cumsum(np.r_[False, k[1:] != k[:-1]]) if len(k) else order
 
