@@ -6,7 +6,7 @@ U+00A0, U+0085 and U+3000 count.  None of these functions returns null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,12 +124,21 @@ def escape_query(field: str, c: Column) -> Column:
     return F.concat(F.lit(f"{field}:'"), quoted, F.lit("'"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value evaluated a single time, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits; CJK runs also give their character pairs."""
-    words = F.regexp_extract_all(F.lower(safe_text(c)), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    runs = F.filter(words, lambda w: w.rlike(r"[一-鿿]{2}"))
-    pairs = F.flatten(F.transform(runs, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))))
-    return F.when(F.size(runs) > 0, F.concat(words, pairs)).otherwise(words)
+    def pairs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
+
+    def with_pairs(words: Column) -> Column:
+        return F.concat(words, F.flatten(F.transform(F.filter(words, lambda w: w.rlike(r"[一-鿿]{2}")), pairs)))
+
+    low = F.lower(safe_text(c))
+    return once(low, lambda t: once(F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), 1), lambda words: F.when(t.rlike(r"[一-鿿]{2}"), with_pairs(words)).otherwise(words)))
 
 
 def labelled(parts: Sequence[tuple[str, Column, int]]) -> Column:

@@ -58,7 +58,8 @@ def keyword_bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc
     words = docs.select(doc_id, tokens(F.col(text)).alias("words"))
     stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avg_len"))
     wanted = small(terms.select("term").distinct())
-    postings = (words.select(doc_id, F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    # An outer explode brings no filter on the token array, which would tokenise every text twice.
+    postings = (words.select(doc_id, F.size("words").alias("len"), F.explode_outer("words").alias("term")).join(wanted, "term", "left_semi")
                 .groupBy(doc_id, "len", "term").agg(F.count("*").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighted = (terms.join(df, "term").join(F.broadcast(stats))
