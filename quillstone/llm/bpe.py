@@ -18,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import arrow_map, text_chunks
+from .bytesops import CACHES, arrow_map, text_chunks
 from .pieces import Pieces, byte_to_char, ranks_tokenizer
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def codec(path: str, pattern: str) -> Pieces:
-    return Pieces(ranks_tokenizer(path), pattern)
+    CACHES[__name__] = pieces = Pieces(ranks_tokenizer(path), pattern)
+    return pieces
 
 
 @functools.lru_cache(2)

@@ -21,6 +21,10 @@ P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
 CHUNK_BYTES = 1 << 19
 
 
+#: Caches that a Python worker keeps between tasks, by the module whose tasks use them.
+CACHES: dict[str, dict] = {}
+
+
 def release() -> None:
     """Give freed memory back to the system, so that idle Python workers hold little."""
     pa.default_memory_pool().release_unused()
@@ -30,8 +34,11 @@ def release() -> None:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema) whose tasks release what they have freed when they end."""
+    """df.mapInArrow(f, schema) whose tasks drop other operators' caches first and release what they have freed when they end."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for owner, cache in CACHES.items():
+            if owner != f.__module__:
+                cache.clear()
         try:
             yield from f(rows)
         finally:

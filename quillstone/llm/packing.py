@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bytesops import arrow_map, batches
+from .bytesops import CACHES, arrow_map, batches
 from .pieces import Pieces
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,9 +30,10 @@ WINDOW = 1024
 END = 0
 
 
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def codec(path: str, pattern: str) -> Pieces:
-    return Pieces(Tokenizer.from_file(path), pattern)
+    CACHES[__name__] = pieces = Pieces(Tokenizer.from_file(path), pattern)
+    return pieces
 
 
 class Index:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from array import array
 from operator import itemgetter
 from pathlib import Path
 
@@ -55,7 +56,7 @@ def ranks_tokenizer(path: str) -> Tokenizer:
 class Pieces(dict):
     """Maps a piece of text to its ids as little-endian uint32 bytes; misses go to the tokenizer's model."""
 
-    def __init__(self, tokenizer: Tokenizer, pattern: str, most: int = 400_000) -> None:
+    def __init__(self, tokenizer: Tokenizer, pattern: str, most: int = 800_000) -> None:
         super().__init__()
         self.model = tokenizer.model  # pieces are mapped here, so the model alone is asked
         self.vocab = tokenizer.get_vocab(with_added_tokens=False)
@@ -64,8 +65,11 @@ class Pieces(dict):
         self.most = most
 
     def __missing__(self, piece: str) -> bytes:
-        shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-        ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        if piece.isascii() and piece.isalnum():
+            shown = piece  # its bytes are their own stand-ins
+        else:
+            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         if len(piece) <= 128:
             if len(self) >= self.most:
                 self.clear()
