@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quillstone.functions.text import strip
+from quillstone.functions.text import once, strip
 
 DEFAULT_SIZE = 900
 #: Where a window may be cut, in order of preference.
@@ -20,19 +20,27 @@ def sliding(text: Column, size: int = DEFAULT_SIZE, overlap: int = 120) -> Colum
     """Windows of `size` characters (100 at least) that begin size - overlap apart until the text ends; blank texts give none."""
     size = max(100, int(size or DEFAULT_SIZE))
     step = max(1, size - max(0, min(overlap, size - 1)))
-    s = strip(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.char_length(s) - 1, F.lit(0)), F.lit(step))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(s, i + 1, F.lit(size))))
+
+    def cut(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.char_length(s) - 1, F.lit(0)), F.lit(step))
+        return F.when(s == "", F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.substring(s, i + 1, F.lit(size))))
+
+    return once(strip(text), cut)
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = DEFAULT_SIZE, overlap: int = 120) -> DataFrame:
     """One row per chunk: id, chunk_index, chunk_total, chunk, char_count, sha1 and flags."""
-    cut = docs.select(id_col, F.posexplode(sliding(F.col(text_col), size, overlap)).alias("chunk_index", "chunk"),)
+    cut = exploded(docs, sliding(F.col(text_col), size, overlap), [id_col])
     limit = max(size, DEFAULT_SIZE) * 1.2
     return cut.select(id_col, "chunk_index", "chunk", F.char_length("chunk").alias("char_count"), F.sha1("chunk").alias("sha1"),
                       (strip(F.col("chunk")) == "").alias("is_empty"), (F.char_length("chunk") < 20).alias("too_short"), (F.char_length("chunk") > limit).alias("too_long"))
 
 
+def exploded(rows: DataFrame, pieces: Column, keep: Sequence[str], name: str = "chunk") -> DataFrame:
+    """The kept columns with chunk_index and each piece; an outer generator, since a plain one would have the pieces made twice."""
+    return rows.select(*keep, F.posexplode_outer(pieces).alias("chunk_index", name)).where(F.col(name).isNotNull())
+
+
 def repeat_flags(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds is_repeat: whether the same digest came before, by id and chunk."""
     order = Window.partitionBy("sha1").orderBy(id_col, "chunk_index")
@@ -123,7 +131,8 @@ def fan_out(products: DataFrame, id_col: str, fields: Sequence[str], threshold:
     full = products.select(id_col, F.lit("product_full").alias("doc_type"), F.lit("full").alias("field_name"), F.lit(0).alias("chunk_index"),
                            F.concat(F.col(id_col).cast("string"), F.lit("__product_full")).alias("doc_id"), F.array_join(filled, "\n").alias("text"), review.alias("needs_review"))
     each = products.select(id_col, review.alias("needs_review"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), strip(F.col(f)).alias("value")) for f in fields))).alias("x"))
-    parts = (each.where("x.value <> ''").select(id_col, "needs_review", "x.field_name", F.posexplode(separated(F.col("x.value"), threshold=threshold)).alias("chunk_index", "text"))
+    filled_fields = each.where("x.value <> ''").select(id_col, "needs_review", "x.field_name", "x.value")
+    parts = (exploded(filled_fields, separated(F.col("value"), threshold=threshold), [id_col, "needs_review", "field_name"], "text")
              .select(id_col, F.lit("product_field").alias("doc_type"), "field_name", "chunk_index",
                      F.format_string("%s__field__%s__%03d", F.col(id_col).cast("string"), "field_name", F.col("chunk_index") + 1).alias("doc_id"), "text", "needs_review"))
     return full.unionByName(parts)

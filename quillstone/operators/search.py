@@ -11,6 +11,8 @@ from quillstone.functions.text import safe_text, strip, tokens
 
 #: A query side is broadcast only below this many rows; beyond it Spark chooses the join.
 BROADCAST_ROWS = 100_000
+#: Query vectors that are broadcast at a time: 80 MB of 1024 numbers each.
+QUERY_ROWS = 10_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -35,10 +37,12 @@ def vector_topk(vectors: DataFrame, query: Sequence[float], k: int, id_col: str
 
 def vector_topk_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding",
                      query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """The k best vectors of each query of a stated set; exact.  Queries are grouped in one array of bounded size per task.
+    """The k best vectors of each query of a stated set; exact.  The queries are one broadcast array that every vector meets.
 
-    The query table must hold at most BROADCAST_ROWS rows: every vector meets every query.
+    More than QUERY_ROWS queries are refused: call it for blocks of them.
     """
+    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
+        raise ValueError(f"at most {QUERY_ROWS} queries at a time")
     many = queries.agg(F.collect_list(F.struct(query_id, query_vector)).alias("qs"))
     scored = (vectors.join(F.broadcast(many)).select(id_col, vector_col, F.explode("qs").alias("q"))
               .select(F.col(f"q.{query_id}"), id_col, F.round(inner_product(F.col(vector_col), F.col(f"q.{query_vector}")), 6).alias("score")))

@@ -37,7 +37,7 @@ def chunk_repeat_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks cut at separators."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(chunking.separated(F.col("text"))).alias("chunk_index", "chunk"))
+    return chunking.exploded(docs, chunking.separated(F.col("text")), ["doc_id"])
 
 
 @query()
