@@ -11,16 +11,16 @@ from .registry import query, table
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    out = e.groupBy("event_type", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "total")
+    out = e.groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select("event_type", F.col("w.start").alias("day"), "n", "total")
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS cut FROM events),
         s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k""")
 def ext_events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each user that end after six quiet hours."""
-    out = table(spark, sf_dir, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(F.count("*").alias("n"))
-    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started"), "n")
+    out = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").alias("started"), "n")
 
 
 @query("""SELECT c_mktsegment, o_orderstatus, count(*) AS n, CAST(grouping_id(c_mktsegment, o_orderstatus) AS BIGINT) AS level FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (c_mktsegment, o_orderstatus)""")
