@@ -71,8 +71,27 @@ def resolve(group: Group, spec: Spec) -> np.ndarray:
     return longest_previous(*suffix_order(group.blob, start, spec.window), np.repeat(group.rank, group.n))
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes), and the `keep` columns as kept_0, ...
+def remaining(text: str, pairs: list[bytes] | None, window: int) -> tuple[bytes, int, bytes]:
+    """A text's bytes, the number of its maximal removed runs, and the bytes that remain."""
+    raw = text.encode()
+    lo, hi = covered(pairs, window)
+    edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(raw)]
+    return raw, len(lo), b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+
+
+def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with little text each, so that results are passed on in small batches."""
+    for batch in rows:
+        for chunk in text_chunks(batch.column("text")):
+            yield batch.slice(chunk.lo, chunk.hi - chunk.lo)
+
+
+def found_in(docs: DataFrame, window: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return removals(docs, Spec(False, window, 16), True, resolve, "suffix", id_col, text_col, keep=keep)
+
+
+def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
     Each byte covered by a `window`-byte string that also starts in a document of
     smaller id goes.  Null texts count as empty; null ids are larger than all
@@ -80,26 +99,17 @@ def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     Texts shorter than the window stay whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    found = removals(docs, Spec(False, window, 16), True, resolve, "suffix", id_col, text_col, keep=keep)
-    names = [f"kept_{i}" for i in range(len(keep))]
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(rows, "text"):
-            out = []
-            for text, pairs in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                raw = text.encode()
-                lo, hi = covered(pairs, window)
-                edges = [0, *np.stack([lo, hi], 1).ravel().tolist(), len(raw)]
-                kept = b"".join([raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
-                out.append((len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept))
-            if out:
-                n, removed, spans, sha, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary()),
-                     *(batch.column(c) for c in names)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *names])
-
-    kept_kinds = "".join(f", kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    return arrow_map(found, cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary{kept_kinds}")
+        for batch in pieces(rows):
+            each = [remaining(t, p, window) for t, p in zip(batch.column("text").to_pylist(), batch.column("data").to_pylist(), strict=True)]
+            raw, spans, kept = zip(*each, strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(r) - len(k) for r, k in zip(raw, kept, strict=True)], pa.int64()),
+                 pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept]), pa.array(kept, pa.binary())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    return arrow_map(found_in(docs, window, id_col, text_col), cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def remaining_text(kept: bytes) -> str:
@@ -107,32 +117,26 @@ def remaining_text(kept: bytes) -> str:
     return kept.decode("utf-8", "ignore")
 
 
-def pieces(rows: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about 2 MB of text each, so that results are passed on in small batches."""
-    for batch in rows:
-        for chunk in text_chunks(batch.column(text)):
-            yield batch.slice(chunk.lo, chunk.hi - chunk.lo)
-
-
 def without_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """The input's rows and columns with repeated passages cut from the text, and length_col, if given, set to its characters.
 
     Rows nothing was cut from stay as they are, null texts included.  Parts of characters that a cut has split go.
     """
     names = tuple(docs.columns)
-    found = suffix_dedup(docs, window, id_col, text_col, names)
-    schema = ", ".join(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
+    sent = [f"kept_{i}" for i in range(len(names))]
+    where, size = names.index(text_col), names.index(length_col) if length_col is not None else None
+    schema = ", ".join(f"{s} {docs.schema[c].dataType.simpleString()}" for s, c in zip(sent, names, strict=True))
 
     def put(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(rows, f"kept_{names.index(text_col)}"):
-            columns = {c: batch.column(f"kept_{i}") for i, c in enumerate(names)}
-            cut = batch.column("n_removed").to_numpy() > 0
-            if cut.any():
-                texts = [remaining_text(k) if c else t for k, c, t in zip(batch.column("kept").to_pylist(), cut.tolist(), columns[text_col].to_pylist(), strict=True)]
-                columns[text_col] = pa.array(texts, columns[text_col].type)
-                if length_col is not None:
-                    sizes = [len(t) if c else n for t, c, n in zip(texts, cut.tolist(), columns[length_col].to_pylist(), strict=True)]
-                    columns[length_col] = pa.array(sizes, columns[length_col].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=[f"kept_{i}" for i in range(len(names))])
-
-    return arrow_map(found.select("n_removed", "kept", *(f"kept_{i}" for i in range(len(names)))), put, schema).toDF(*names)
+        for batch in pieces(rows):
+            columns = [batch.column(s) for s in sent]
+            pairs = batch.column("data").to_pylist()
+            if any(pairs):
+                before = columns[where].to_pylist()
+                after = [remaining_text(remaining(t, p, window)[2]) if p else t for t, p in zip(before, pairs, strict=True)]
+                columns[where] = pa.array(after, columns[where].type)
+                if size is not None:
+                    columns[size] = pa.array([len(t) if p else n for t, p, n in zip(after, pairs, columns[size].to_pylist(), strict=True)], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names=sent)
+
+    return arrow_map(found_in(docs, window, id_col, text_col, names), put, schema).toDF(*names)
