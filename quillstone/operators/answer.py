@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.extract import product_name
-from quillstone.functions.text import labelled, normalize_space, truncate
+from quillstone.functions.text import labelled, normalize_space, tokens, truncate
+
+from .providers import Provider
 
 NOTHING_FOUND = "资料库中没有找到足够相关的产品。"
 
@@ -32,8 +37,6 @@ def truncate_lines(c: Column, most: int) -> Column:
 
 def lexical_score(query: str, text: Column) -> Column:
     """Deterministic rerank score of the offline provider: the share of the query's distinct terms that the text has."""
-    from quillstone.functions.text import tokens
-
     wanted = F.array_distinct(tokens(F.lit(query)))
     return F.round(F.size(F.array_intersect(wanted, tokens(text))) / F.greatest(F.size(wanted), F.lit(1)), 6)
 
@@ -76,11 +79,11 @@ def structured_products(products: DataFrame, told: DataFrame) -> DataFrame:
     return got.select("product_rank", "product_id", F.coalesce(F.when(F.trim("told_name") != "", F.col("told_name")), product_name(F.col("best_text"))).alias("product_name"), reason.alias("reason"), "score")
 
 
-def rerank_scores(products: DataFrame, query: str, provider, id_col: str = "product_id") -> DataFrame:
+def rerank_scores(products: DataFrame, query: str, provider: Provider, id_col: str = "product_id") -> DataFrame:
     """(id, rerank_score) from a provider, one request per Arrow batch; a missing or extra score is an error."""
     kind = products.schema[id_col].dataType.simpleString()
 
-    def run(parts):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             scores = provider.rerank(query, rows["rerank_text"].tolist())
             if len(scores) != len(rows):

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillstone.functions.ids import posix_path
+from quillstone.functions.extract import text_quality
+from quillstone.functions.ids import posix_path, sniff_media
 from quillstone.functions.text import normalize_space, normalize_text, strip
 
 CORRUPT = "_corrupt_record"
@@ -213,8 +214,6 @@ def ocr_pages(pages: DataFrame, provider_ocr, id_col: str = "path") -> DataFrame
 
     Quality is judged per file over all of its pages; only pages of poor files reach the provider.
     """
-    from quillstone.functions.extract import text_quality
-
     whole = pages.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n").alias("all"))
     poor = whole.select(id_col, (~text_quality(F.col("all"))).alias("poor"))
     marked = pages.join(poor, id_col)
@@ -248,8 +247,6 @@ def embedded_images(spark: SparkSession, path: str) -> DataFrame:
 
 def bound_images(images: DataFrame, products: DataFrame) -> DataFrame:
     """Images with the product of their cell's row: status matched or unmatched, and the media type of the bytes."""
-    from quillstone.functions.ids import sniff_media
-
     keys = products.select(F.col("source_file").alias("path"), F.col("source_sheet").alias("sheet"), F.col("source_row").cast("int").alias("row"), "product_id")
     return images.join(keys, ["path", "sheet", "row"], "left").withColumns({"status": F.when(F.col("product_id").isNotNull(), "matched").otherwise("unmatched"), "media_type": sniff_media(F.col("image"))})
 
