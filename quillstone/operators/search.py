@@ -69,7 +69,9 @@ def keyword_bm25(docs: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc
     weighted = (terms.join(df, "term").join(F.broadcast(stats))
                 .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = (postings.join(small(weighted), "term").groupBy(query_id, doc_id)
+    # One row per query term, so the terms' number bounds it; counting the rows themselves would read the documents.
+    weights = F.broadcast(weighted) if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else weighted
+    scored = (postings.join(weights, "term").groupBy(query_id, doc_id)
               .agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("hits")))
     if all_terms:
         need = terms.groupBy(query_id).agg(F.count("*").alias("need"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import answer, bundle, fusion, search, verify
 
-from .registry import query, table
+from .registry import query, table, texts
 
 #: The queries' fixed question: words that the sample documents have.
 QUESTION = "the and ing"
@@ -43,7 +43,7 @@ def hits(spark: SparkSession, sf_dir: str, dense: int = 50, keyword: int = 50) -
     """Both routes of the flagship query: vectors (label is the product) and keywords (source is the product)."""
     v = vector_hits(spark, sf_dir, dense).select(F.lit("dense").alias("route"), F.col("rank"), F.concat(F.lit("src"), F.col("label")).alias("product_id"),
                                                  F.col("vec_id").alias("doc_id"), F.lit("").alias("source_text"))
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     k = search.keyword_bm25(docs, question(spark), keyword).join(docs.select("doc_id", "source", "text"), "doc_id")
     k = k.select(F.lit("keyword").alias("route"), "rank", F.col("source").alias("product_id"), "doc_id", F.col("text").alias("source_text"))
     return v.unionByName(k)
@@ -106,13 +106,13 @@ def vector_topk_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark passage by any of its words."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return search.keyword_bm25(table(spark, sf_dir, "documents"), queries, 10)
+    return search.keyword_bm25(texts(spark, sf_dir), queries, 10)
 
 
 @query(f"WITH qs AS (SELECT 1 AS query_id, '{QUESTION}' AS query_text), {bm25_sql('kw', 'documents', 'qs', 50, True)} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM kw")
 def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have every word of the question."""
-    return search.keyword_bm25(table(spark, sf_dir, "documents"), question(spark), 50, all_terms=True)
+    return search.keyword_bm25(texts(spark, sf_dir), question(spark), 50, all_terms=True)
 
 
 @query("""SELECT l.doc_id, quality, CASE WHEN toxic = 1 THEN 'flagged' ELSE d.lang END AS lang, d.source FROM labels l LEFT JOIN documents d USING (doc_id)""")
@@ -203,7 +203,7 @@ def best_resource_first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT c.doc_id, rank IS NOT NULL AS hit, CAST(rank AS INT) AS rank FROM chosen c LEFT JOIN kw ON kw.query_id = c.doc_id AND kw.doc_id = c.doc_id""")
 def self_retrieval_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each well-rated document is among the five best for its own first 80 characters."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     checked = docs.join(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     return verify.self_retrieval(docs, checked)
 
