@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.exact_dedup import distinct_texts
 from quillstone.llm.langid import UNKNOWN, identify, train
+from quillstone.llm.near_copies import near_copies
 from quillstone.llm.packing import pack_documents
 from quillstone.llm.simhash import simhash_groups, text_hash
 from quillstone.llm.suffix_dedup import without_repeats
@@ -33,12 +34,22 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return distinct_texts(docs)
 
 
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays; a group without ids stays whole."""
-    gone = simhash_groups(docs).where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
+def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without those rows whose group's component_id is another one."""
+    gone = groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash() == gone["gone_hash"]), "left_anti")
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """op1's own rule (three-word shingles, two bits) as a stage; not one of STAGES, which need `similar`."""
+    return first_of(docs, simhash_groups(docs))
+
+
+def similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id stays; a group without ids stays whole."""
+    return first_of(docs, near_copies(docs))
+
+
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of passages of 50 bytes or more go; documents of which no word is left go with them."""
     return without_repeats(docs, length_col="n_chars").where(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
@@ -52,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("language ID", language),
     ("exact dedup", exact),
-    ("near dedup", near),
+    ("near dedup", similar),
     ("passage dedup", passages),
     ("packing", packing),
 ]
