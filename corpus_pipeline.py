@@ -23,9 +23,15 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found (null text, or no letter) go; the others stay as they are."""
+    """Documents without a letter (null text too) go; the others stay as they are, also where no language could be learnt.
+
+    The decoder's choice among the learnt languages rejects nothing.
+    """
     names = tuple(docs.columns)
-    judged = identify(docs, train(docs), keep=names)
+    model = train(docs)
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    judged = identify(docs, model, keep=names)
     return judged.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)))
 
 
