@@ -10,7 +10,6 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -48,7 +47,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_root(spark)}/quillstone-{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df as Parquet in the shared folder and return the table read back."""
@@ -57,24 +56,29 @@ class Scratch:
         with small_batches(self.spark):
             df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.add(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
     def free(self, *tables: DataFrame) -> None:
-        """Delete tables whose readers have all been written, and let Spark drop old shuffle files."""
+        """Delete tables whose readers have all been written."""
+        self.delete({t._scratch_path for t in tables})
+
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables written here but these, which nothing unwritten reads."""
+        self.delete(self.paths - {t._scratch_path for t in tables})
+
+    def delete(self, paths: set[str]) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
-        self.settle()
+        self.paths -= paths
 
     def settle(self) -> None:
         """Shuffle files of finished steps go when the driver's references to them are collected."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.2)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:

@@ -1,12 +1,17 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Equal fingerprints form one class.  A vantage-point tree, fitted on a bounded
-sample, cuts Hamming space into shards: a node's fingerprints within its radius
-go inside, the others outside.  A fingerprint lives in one shard and visits each
-other shard that the triangle inequality can't rule out, so every pair within
-the distance meets in some shard.  There, a local tree prunes branches the same
-way and only its small leaves are compared pair by pair.  Shards report spanning
-forests instead of pairs.
+Equal fingerprints form one class.  Two fingerprints within `reach` bits agree
+wholly on one of reach + 1 blocks of the 64 bits, so there is a vantage-point tree
+for each block: a node's fingerprints within its radius, by the block's Hamming
+distance, go inside, the others outside.  A pair that agrees on a block takes the
+same way down its tree, so every fingerprint is in one shard a tree, whatever the
+corpus's size, and the trees grow with the corpus to keep shards of one size.
+Shards that stay too large are cut by a second tree over the whole distance, where
+a fingerprint also visits each shard that the triangle inequality can't rule out.
+In a shard, a local tree prunes branches the same way and only its small leaves
+are compared pair by pair; a ball of close fingerprints that no vantage point
+splits is settled by looking up each one's near words (``probe``).  Shards report
+spanning forests instead of pairs.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import functions as F
 from .bytesops import arrow_map, batches, lower_ascii, split_words, text_chunks, xxh64
 from .components import components
 from .scratch import Scratch
+from .skew import lookup
 
 
 def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
@@ -204,18 +210,92 @@ def text_hash(text_col: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def blocks(reach: int) -> list[int]:
+    """Masks of reach + 1 runs of bits that make up the 64."""
+    edges = [64 * i // (reach + 1) for i in range(reach + 2)]
+    return [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def shards_of(points: np.ndarray, trees: list[tuple[int, list[Node]]]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(tree, leaf, indices): the shard of each tree that a point is in."""
+    for k, (mask, nodes) in enumerate(trees):
+        for leaf, at, _ in route(points & np.uint64(mask), nodes, 0):
+            yield k, leaf, at
+
+
+def sampled(table: DataFrame, share: float, most: int) -> DataFrame:
+    """About that share of the rows, by a hash of fp; at most `most`."""
+    return table.where(F.pmod(F.hash("fp"), F.lit(1000003)) < int(1000003 * share) + 1).limit(most)
+
+
+def close_links(classes: DataFrame, reach: int, scratch: Scratch, shard_size: int = 32768, sample_size: int = 1 << 20) -> DataFrame:
+    """(a, b): links between the distinct fingerprints fp whose components are those of all pairs within reach."""
+    n = classes.count()
+    shares = max(1, -(-n // shard_size))
+    trees: list[tuple[int, list[Node]]] = [((1 << 64) - 1, [])]
+    if shares > 1:
+        want = min(sample_size, n, 64 * shares)
+        points = np.array([r["fp"] for r in sampled(classes.select("fp"), want / n, 2 * want).collect()], np.int64).view(np.uint64)
+        trees = [(mask, fit_tree(points & np.uint64(mask), max(1, len(points) // shares), 0)[0]) for mask in blocks(reach)]
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, text="fp"):
+            fp = table.column("fp").to_numpy()
+            for k, leaf, at in shards_of(fp.view(np.uint64), trees):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), leaf, np.int32)), pa.array(fp[at])],
+                                                 names=["tree", "leaf", "fp"])
+
+    dealt = scratch.keep(arrow_map(classes.select("fp"), deal, "tree int, leaf int, fp bigint"))
+    # Fewer than n * trees / (4 * shard_size) shards can be that large.
+    large = {(r["tree"], r["leaf"]): r["n"] for r in dealt.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > 4 * shard_size).collect()}
+    second: dict[tuple[int, int], list[Node]] = {}
+    if large:
+        held = sum(large.values())
+        inside = dealt.join(F.broadcast(dealt.sparkSession.createDataFrame(list(large), "tree int, leaf int")), ["tree", "leaf"])
+        want = min(sample_size, held)
+        seen: dict[tuple[int, int], list[int]] = {}
+        for r in sampled(inside, want / held, 2 * want).collect():
+            seen.setdefault((r["tree"], r["leaf"]), []).append(r["fp"])
+        for key, points in seen.items():
+            second[key] = fit_tree(np.array(points, np.int64).view(np.uint64), max(8, len(points) * shard_size // large[key]), reach)[0]
+
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(rows, text="fp"):
+            k, leaf, fp = (table.column(c).to_numpy() for c in ("tree", "leaf", "fp"))
+            shard = k.astype(np.int64) << 32 | leaf
+            order = np.argsort(shard, kind="stable")
+            head = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0])
+            for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(order)], strict=True):
+                rows_of = order[lo:hi]
+                key = int(k[rows_of[0]]), int(leaf[rows_of[0]])
+                for sub, at, resident in route(fp[rows_of].view(np.uint64), second.get(key, []), reach):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v, np.int32)) for v in (*key, sub)]
+                                                     + [pa.array(fp[rows_of[at]]), pa.array(np.full(len(at), resident))], names=["tree", "leaf", "sub", "fp", "resident"])
+
+    def link(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy()
+        order = np.argsort(fp, kind="stable")
+        fp = np.ascontiguousarray(fp[order])
+        root = link_shard(fp.view(np.uint64), table.column("resident").to_numpy(zero_copy_only=False)[order], reach)
+        far = np.flatnonzero(fp[root] != fp)
+        return pa.table({"a": fp[far], "b": fp[root[far]]})
+
+    return arrow_map(dealt, cut, "tree int, leaf int, sub int, fp bigint, resident boolean").groupBy("tree", "leaf", "sub").applyInArrow(link, "a bigint, b bigint")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, reach: int = 2,
-                   shard_size: int = 4096, sample_size: int = 65536) -> DataFrame:
+                   shard_size: int = 32768, sample_size: int = 1 << 20) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, text_hash (XXH64 of the text).
 
     Fingerprints link at `reach` or fewer differing bits; component_id is the
     smallest doc_id reachable.  Null, empty and blank texts have fingerprint zero
     and link like any other.  Null ids are carried and never are a component_id
-    unless a component has no other.  The tree is fitted on at most `sample_size`
-    fingerprints; every fingerprint is then indexed and compared.
+    unless a component has no other; repeated rows are all returned.  The trees are
+    fitted on at most `sample_size` fingerprints (twice that where a hash deals them
+    unevenly), 64 for each shard of about `shard_size`; every fingerprint is then
+    indexed and compared.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,34 +306,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
     signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, fp bigint"))
     classes = scratch.keep(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    n = classes.count()
-    nodes: list[Node] = []
-    if n > shard_size:
-        want = min(sample_size, n // 4)
-        sample = classes.where(F.abs(F.hash("fp") % 1000003) < int(1000003 * want / n) + 1).select("fp").limit(2 * want)
-        points = np.array([r["fp"] for r in sample.collect()], np.int64).view(np.uint64)
-        nodes, _ = fit_tree(points, max(8, len(points) * shard_size // n), reach)
-
-    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            for leaf, at, resident in route(fp.view(np.uint64), nodes, reach):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(fp[at]), pa.array(np.full(len(at), resident))],
-                                                 names=["leaf", "fp", "resident"])
-
-    def link(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_numpy()
-        order = np.argsort(fp, kind="stable")
-        fp = np.ascontiguousarray(fp[order])
-        root = link_shard(fp.view(np.uint64), table.column("resident").to_numpy(zero_copy_only=False)[order], reach)
-        far = np.flatnonzero(fp[root] != fp)
-        return pa.table({"a": fp[far], "b": fp[root[far]]})
-
-    edges = (classes.select("fp").mapInArrow(deal, "leaf int, fp bigint, resident boolean")
-             .groupBy("leaf").applyInArrow(link, "a bigint, b bigint"))
-    roots = components(edges, scratch)
-    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = scratch.keep(joined)
+    roots = components(close_links(classes, reach, scratch, shard_size, sample_size), scratch)
+    named = scratch.keep(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     least = scratch.keep(named.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    members = scratch.keep(named.join(least, "root").select("fp", "component_id"))
-    return signed.join(members, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    members = scratch.keep(lookup(named, least, "root").select("fp", "component_id"))
+    out = scratch.keep(lookup(signed, members, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash"))
+    scratch.only(out)
+    return out
