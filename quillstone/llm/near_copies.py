@@ -1,12 +1,14 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-At similarity 0.8 fingerprints of 64 bits differ in about 9 bits and in up to 20,
-a reach at which a vantage-point tree rules nothing out.  Candidates are therefore
-found by prefixes: if every set is put in one common order, two sets of similarity
-t or more share one of the first n - ceil(t n) + 1 members, so no pair is missed.
-Rare shingles come first in the order, so that common lines propose few pairs.
-Parity bitmaps then bound the symmetric difference of a pair from below, and what
-they leave is compared member by member before it is linked.
+"""Near copies by exact Jaccard similarity of word shingles, proposed by SimHash trees and by prefixes.
+
+The SimHash operator's vantage-point trees propose pairs of near fingerprints.  At
+similarity 0.8 fingerprints of 64 bits differ in about 9 bits and in up to 20, a
+reach at which a tree rules nothing out, so the other pairs are found by prefixes:
+if every set is put in one common order, two sets of similarity t or more share
+one of the first n - ceil(t n) + 1 members, so no pair is missed.  Rare shingles
+come first in the order, so that common lines propose few pairs, and a pair must
+share as many members of its prefixes as its sizes require.  Parity bitmaps then
+bound the symmetric difference of a pair from below, and what they leave is
+compared member by member before it is linked.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from .bytesops import Chunk, arrow_map, batches, lower_ascii, mix, split_words, text_chunks, xxh64
 from .components import components
 from .scratch import Scratch
-from .simhash import text_hash
+from .skew import lookup
+from .simhash import close_links, majority, text_hash
 
 #: Bits of a parity bitmap.
 PARITY = 2048
@@ -29,8 +32,8 @@ PARITY = 2048
 BROADCAST_ROWS = 2_000_000
 
 
-def shingle_sets(chunk: Chunk, shingle: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, members): text i's distinct shingle hashes are members[first[i]:first[i + 1]], those in `common` (sorted) last, else ascending.
+def shingle_sets(chunk: Chunk, shingle: int, common: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, members): text i's distinct shingle hashes are members[first[i]:first[i + 1]], ascending, but those in `common` (sorted) last, by their `place`.
 
     Texts with fewer words than a shingle hash as a whole; texts without words have the one member 0.
     """
@@ -43,9 +46,10 @@ def shingle_sets(chunk: Chunk, shingle: int, common: np.ndarray) -> tuple[np.nda
     blank = np.flatnonzero(grams == 0)
     h = np.zeros(0, np.uint64) if not len(doc) else xxh64(words.data, words.start[head], words.end[tail] - words.start[head])
     doc, h = np.concatenate([doc, blank]), np.concatenate([h, np.zeros(len(blank), np.uint64)])
-    late = np.zeros(len(h), bool)
+    late = np.zeros(len(h), np.int64)
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        late = np.where(common[at] == h, place[at], 0)
     order = np.lexsort((h, late, doc))
     doc, h = doc[order], h[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]
@@ -80,39 +84,56 @@ def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def counted(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> pa.RecordBatch:
+    """Pairs (a, b), a < b, with their sizes and how often each occurs."""
+    turn = a > b
+    a, b, sa, sb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, sb, sa), np.where(turn, sa, sb)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], sa[order][first], sb[order][first], np.diff(np.append(first, len(a))))],
+                                      names=["a", "b", "sa", "sb", "n"])
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, t: tuple[int, int] = (4, 5),
-                sample_share: int = 32, sample_rows: int = 4000, common_rows: int = 100_000) -> DataFrame:
+                sample_share: int = 32, sample_rows: int = 4000, common_rows: int = 100_000, reach: int = 3) -> DataFrame:
     """One row per input row: doc_id, text_hash, component_id (the smallest doc_id reachable by links).
 
     Two texts are linked if the sets of their word shingles, A-Z lower-cased, have
     similarity t[0] / t[1] or more; all such pairs count.  Texts without words are alike.
     Sets and their members are told apart by 64-bit hashes.  One document in
     `sample_share` (all, up to `sample_rows`) shows which shingles are common; that
-    only sets the order.  First each value's smallest set is compared with the others;
-    then all pairs that share a value and aren't connected yet.
+    only sets the order, as do the at most `common_rows` shingles it keeps.  First the
+    pairs that the SimHash trees find within `reach` bits are compared, and each value's
+    smallest set with the others; then the pairs that share enough values of their
+    prefixes and aren't connected yet.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     kind = docs.schema[id_col].dataType.simpleString()
+    none = np.zeros(0, np.uint64)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def members(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(rows):
             for chunk in text_chunks(table.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(chunk, shingle, np.zeros(0, np.uint64))[1].view(np.int64))], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(chunk, shingle, none, none)[1].view(np.int64))], names=["h"])
 
     sample = texts if docs.count() <= sample_rows else texts.where(F.pmod("text_hash", F.lit(sample_share)) == 0)
     counts = arrow_map(sample.select("text"), members, "h bigint").groupBy("h").count().where("count > 3")
-    common = np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(common_rows).collect()], np.int64).view(np.uint64))
+    common = np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(common_rows).collect()], np.int64).view(np.uint64)
+    order = np.argsort(common)
+    common, place = common[order], len(common) - order  # the most common one comes last
 
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(rows):
             for chunk in text_chunks(table.column("text")):
-                first, h = shingle_sets(chunk, shingle, common)
+                first, h = shingle_sets(chunk, shingle, common, place)
                 size = np.diff(first)
                 with np.errstate(over="ignore"):
                     cls = mix(np.add.reduceat(mix(h), first[:-1]) + size.astype(np.uint64)).view(np.int64)
                 doc = np.repeat(np.arange(len(size)), size)
+                fp = majority(h, doc, size)
                 length = size - -(-size * t[0] // t[1]) + 1
                 front = h[np.arange(len(h)) - first[doc] < length[doc]]
                 cut = np.concatenate([[0], np.cumsum(length)])
@@ -123,11 +144,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     bits = np.bincount((doc[at] - lo) * PARITY + (h[at] % np.uint64(PARITY)).astype(np.int64), minlength=(hi - lo) * PARITY) & 1
                     parity += [p.tobytes() for p in np.packbits(bits.astype(np.uint8).reshape(-1, PARITY), axis=1)]
                 part = table.slice(chunk.lo, chunk.hi - chunk.lo)
-                yield from pa.table({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "cls": cls, "size": size,
+                yield from pa.table({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "cls": cls, "size": size, "fp": fp.view(np.int64),
                                      "front": pa.array([front[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                                      "parity": pa.array(parity, pa.binary())}).to_batches()
 
-    signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, cls bigint, size bigint, front binary, parity binary"))
+    signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, cls bigint, size bigint, fp bigint, front binary, parity binary"))
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -159,22 +180,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if got is None or not len(got[0]):
             return
         _, cls, size, root, group = got
-        live, step, a, b, held = np.arange(len(cls)), 0, [], [], 0
+        live, step, held = np.arange(len(cls)), 0, []
         while len(live):
             step += 1
             live = live[live + step < len(cls)]
             live = live[(group[live] == group[live + step]) & (size[live] * t[1] >= size[live + step] * t[0])]
             apart = live[root[live] != root[live + step]]
-            a.append(cls[apart])
-            b.append(cls[apart + step])
-            held += len(apart)
-            if held >= 1 << 20:
-                yield pair_batch(np.concatenate(a), np.concatenate(b))
-                a, b, held = [], [], 0
+            held.append(np.stack([apart, apart + step]))
+            if sum(x.shape[1] for x in held) >= 1 << 20:
+                a, b = np.concatenate(held, axis=1)
+                yield counted(cls[a], cls[b], size[a], size[b])
+                held = []
         if held:
-            yield pair_batch(np.concatenate(a), np.concatenate(b))
+            a, b = np.concatenate(held, axis=1)
+            yield counted(cls[a], cls[b], size[a], size[b])
 
-    sketches = scratch.keep(signed.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("parity").alias("parity")))
+    sketches = scratch.keep(signed.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("parity").alias("parity")))
 
     def bound(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -189,7 +210,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def spell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(rows):
             for chunk in text_chunks(table.column("text")):
-                first, h = shingle_sets(chunk, shingle, np.zeros(0, np.uint64))
+                first, h = shingle_sets(chunk, shingle, none, none)
                 yield from pa.table({"cls": table.column("cls").slice(chunk.lo, chunk.hi - chunk.lo),
                                      "members": pa.array([h[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())}).to_batches()
 
@@ -215,11 +236,26 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .join(sets.select(F.col("cls").alias("b"), F.col("members").alias("mb")), "b"))
         return scratch.keep(arrow_map(both.select("a", "b", "ma", "mb"), compare, "a bigint, b bigint"))
 
-    links = verify(arrow_map(shared.repartition("h"), stars, "a bigint, b bigint"))
+    classes = scratch.keep(signed.groupBy("fp").agg(F.min("cls").alias("cls"), F.count_distinct("cls").alias("n")))
+    near = close_links(classes.select("fp"), reach, scratch)
+    first = classes.select(F.col("fp").alias("a"), F.col("cls").alias("x"))
+    second = classes.select(F.col("fp").alias("b"), F.col("cls").alias("y"))
+    alike = lookup(sketches.select("fp", "cls"), classes.where("n > 1").select("fp", F.col("cls").alias("x")), "fp").where("cls <> x")
+    proposed = near.join(first, "a").join(second, "b").select("x", "y").union(alike.select("x", F.col("cls").alias("y")))
+    proposed = proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = verify(proposed.union(arrow_map(shared.repartition("h"), stars, "a bigint, b bigint")))
     roots = components(links, scratch)
-    rooted = shared.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "size", F.coalesce("root", "cls").alias("root"))
-    more = verify(arrow_map(rooted.repartition("h"), others, "a bigint, b bigint"))
+    rooted = lookup(shared, roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    pairs = arrow_map(rooted.repartition("h"), others, "a bigint, b bigint, sa bigint, sb bigint, n bigint")
+    pairs = pairs.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("n").alias("n"))
+    # The overlap must reach t / (1 + t) of both sizes; all of it but n lies behind the prefix that ends first.
+    overlap = F.ceil((F.col("sa") + F.col("sb")) * t[0] / (t[0] + t[1]))
+    behind = F.ceil(F.greatest("sa", "sb") * t[0] / t[1]) - 1
+    more = verify(pairs.where(F.col("n") >= overlap - behind).select("a", "b"))
     roots = components(links.union(more), scratch)
-    named = signed.select("doc_id", "text_hash", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "text_hash", "component_id")
+    named = lookup(signed.select("doc_id", "text_hash", "cls"), roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = scratch.keep(named.select("doc_id", "text_hash", "root"))
+    least = scratch.keep(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    out = scratch.keep(lookup(named, least, "root").select("doc_id", "text_hash", "component_id"))
+    scratch.only(out)
+    return out

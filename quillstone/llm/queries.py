@@ -30,7 +30,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op4_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:

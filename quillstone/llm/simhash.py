@@ -49,16 +49,23 @@ def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
         tail = np.minimum(head + shingle, words.first[doc + 1]) - 1
         start = words.start[head]
         h = xxh64(words.data, start, words.end[tail] - start)
-        have = np.flatnonzero(grams)
-        ones = np.zeros((len(have), 64), np.int64)
-        step = 1 << 18
-        for lo in range(0, len(h), step):
-            bits = np.unpackbits(h[lo:lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            d = doc[lo:lo + step]
-            cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-            ones[np.searchsorted(have, d[cut])] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-        on = (2 * ones > grams[have][:, None]).astype(np.uint8)
-        out[chunk.lo + have] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
+        out[chunk.lo:chunk.hi] = majority(h, doc, grams)
+    return out
+
+
+def majority(h: np.ndarray, doc: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A fingerprint for each text: the bits that over half of its hashes have; doc, ascending, is each hash's text and grams their number."""
+    out = np.zeros(len(grams), np.uint64)
+    have = np.flatnonzero(grams)
+    ones = np.zeros((len(have), 64), np.int64)
+    step = 1 << 18
+    for lo in range(0, len(h), step):
+        bits = np.unpackbits(h[lo:lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        d = doc[lo:lo + step]
+        cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        ones[np.searchsorted(have, d[cut])] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    on = (2 * ones > grams[have][:, None]).astype(np.uint8)
+    out[have] = np.packbits(on, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 

@@ -79,10 +79,10 @@ def test_exact_repeated_rows_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in distinct_texts(frame(spark, rows)).collect()) == [(0, "b"), (1, "a"), (2, "c"), (2, "d")]
 
 
-@pytest.mark.parametrize("heavy", [1, 64])
-def test_exact_heavy_split_agrees(spark, heavy):
+@pytest.mark.parametrize("share", [2, 64])
+def test_exact_heavy_split_agrees(spark, share):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i % 40}") for i in range(400)]
-    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, rows), heavy=heavy, tracked=64).collect()}
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup(frame(spark, rows), share=share).collect()}
     assert got == brute.exact(rows)
 
 
