@@ -17,6 +17,7 @@ from quillstone.llm.langid import UNKNOWN, identify, train
 from quillstone.llm.near_copies import near_copies
 from quillstone.llm.packing import pack_documents
 from quillstone.llm.simhash import simhash_groups, text_hash
+from quillstone.llm.skew import without
 from quillstone.llm.suffix_dedup import without_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,9 +42,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def first_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs without those rows whose group's component_id is another one."""
-    gone = groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash() == gone["gone_hash"]), "left_anti")
+    """docs without those rows whose group's component_id is another one; groups is a written table."""
+    gone = groups.where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select("doc_id", "text_hash")
+    return without(docs, gone, {"doc_id": F.col("doc_id"), "text_hash": text_hash()})
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
