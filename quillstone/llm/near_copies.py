@@ -23,13 +23,11 @@ from pyspark.sql import functions as F
 from .bytesops import Chunk, arrow_map, batches, lower_ascii, mix, split_words, text_chunks, xxh64
 from .components import components
 from .scratch import Scratch
-from .skew import lookup
+from .skew import lookup, small
 from .simhash import close_links, majority, text_hash
 
 #: Bits of a parity bitmap.
 PARITY = 2048
-#: Classes that are broadcast as wanted; beyond it Spark chooses the join.
-BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(chunk: Chunk, shingle: int, common: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +185,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             live = live[(group[live] == group[live + step]) & (size[live] * t[1] >= size[live + step] * t[0])]
             apart = live[root[live] != root[live + step]]
             held.append(np.stack([apart, apart + step]))
-            if sum(x.shape[1] for x in held) >= 1 << 20:
+            if sum(x.shape[1] for x in held) >= 1 << 18:
                 a, b = np.concatenate(held, axis=1)
                 yield counted(cls[a], cls[b], size[a], size[b])
                 held = []
@@ -220,15 +218,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(same, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+
+    def chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(wanted) if small(wanted) else wanted, "cls", "left_semi")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sets are similar."""
-        s = sketches
-        drawn = (pairs.distinct().join(s.select(F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa")), "a")
+        pairs = scratch.keep(pairs.distinct())
+        s = scratch.keep(chosen(sketches, ends(pairs)))
+        drawn = (pairs.join(s.select(F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("parity").alias("pa")), "a")
                  .join(s.select(F.col("cls").alias("b"), F.col("size").alias("sb"), F.col("parity").alias("pb")), "b"))
         close = scratch.keep(arrow_map(drawn, bound, "a bigint, b bigint"))
-        wanted = s.join(close.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "text_hash")
-        wanted = scratch.keep(wanted)
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        wanted = scratch.keep(chosen(s, ends(close)).select("cls", "text_hash"))
+        wanted = F.broadcast(wanted) if small(wanted) else wanted
         sets = scratch.keep(arrow_map(texts.select("text", "text_hash").join(wanted, "text_hash").select("cls", "text"), spell, "cls bigint, members binary"))
         # Rows of equal text spell the same set.
         sets = scratch.keep(sets.dropDuplicates(["cls"]))

@@ -58,7 +58,7 @@ def majority(h: np.ndarray, doc: np.ndarray, grams: np.ndarray) -> np.ndarray:
     out = np.zeros(len(grams), np.uint64)
     have = np.flatnonzero(grams)
     ones = np.zeros((len(have), 64), np.int64)
-    step = 1 << 18
+    step = 1 << 15
     for lo in range(0, len(h), step):
         bits = np.unpackbits(h[lo:lo + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         d = doc[lo:lo + step]
