@@ -3,19 +3,21 @@
 A document is a sequence of units (bytes or words) and a passage is a window of a
 fixed number of them.  Each window chooses an anchor, the k-gram in it with the
 least hash, so equal windows choose equal anchors; windows with the same anchor
-occurrence form a piece.  Four steps lead to the windows to remove:
-
-1. ``seeds``: pieces are dealt out by anchor hash, packed in arrays, equal ones of
-   a batch once.  Copies of a whole piece are settled here, as equal texts would
-   be; an anchor with one piece needs no more.
-2. ``gather``: of the pieces that share an anchor with different ones, one copy
-   each is dealt out with its content.  Anchors with a very large share of all
-   distinct pieces are dealt window by window instead, so no group fills a task.
-3. A resolver (suffix array or suffix automaton) judges each group of pieces.
-4. ``removals`` brings the judged windows back to their documents.
-
-Everything is keyed by the document's rank (its id; null last) and a hash of its
-text, so repeated rows get equal results.  No step caps a group or drops a row.
+occurrence form a piece.  Hashes only rule out pieces that can't repeat: those
+whose anchor no other piece has.  A resolver (suffix automaton or suffix array)
+judges every window that is removed, from its content.  Three steps:
+
+1. ``seeds``: pieces are dealt out by anchor hash, packed in arrays.  Equal ones of
+   a batch go once; the resolver judges the others in the batch.  Pieces that occur
+   twice or share their anchor with other pieces are asked for.
+2. ``gather``: they are dealt out again, one of each class of equal pieces with its
+   content, and the resolver judges each anchor's classes together.  Anchors of
+   over FREQUENT classes are dealt window by window, so that no group fills a task.
+3. ``removals`` brings the judged windows back to their documents.
+
+Classes of equal pieces are told apart by two 64-bit hashes.  Everything is keyed
+by the document's rank (its id's place; null last) and a hash of its text, so
+repeated rows get equal results.  No step caps a group or drops a row.
 """
 
 from __future__ import annotations
@@ -179,16 +181,27 @@ def ragged(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(lo - begin, size) + np.arange(int(size.sum()))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def ranked(docs: DataFrame, id_col: str, scratch: Scratch) -> DataFrame | None:
+    """(id, place) for ids that aren't integers: places are in the ids' order; None for integers, which are their own place."""
+    if docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy("id")
+    return scratch.keep(ids.withColumn("place", F.monotonically_increasing_id()))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, places: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, rank, th, text, kept_0...: the rows under the key that all steps use; null text is empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"),
-                       F.xxhash64(text).alias("th"), text.alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)))
+    if places is None:
+        return rows.withColumn("rank", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    joined = rows.join(places, rows["doc_id"] == places["id"], "left")
+    return joined.withColumn("rank", F.coalesce("place", F.lit(LAST))).drop("id", "place")
 
 
 def packed(dealt: int, slot: np.ndarray, doc: np.ndarray, rank: np.ndarray, th: np.ndarray, columns: dict[str, np.ndarray],
-           known: bool, blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, pair: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows for each slot, with each column's values as one array of bytes; blob adds (data, lo, hi) ranges; pair replaces that column."""
+           known: bool, blob: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows for each slot, with each column's values as one array of bytes; blob adds (data, lo, hi) ranges."""
     order = np.argsort(slot, kind="stable")
     cut = np.searchsorted(slot[order], np.arange(dealt + 1))
     rows: dict[str, list] = {"slot": [], "known": [], "rank": [], "th": [], "doc": [], **{c: [] for c in columns}, "size": [], "blob": []}
@@ -202,8 +215,6 @@ def packed(dealt: int, slot: np.ndarray, doc: np.ndarray, rank: np.ndarray, th:
         rows["doc"].append(local.astype("<u4").tobytes())
         for c, v in columns.items():
             rows[c].append(v[part].tobytes() if len(v) else b"")
-        if pair is not None:
-            rows["pair"][-1] = pair.tobytes()
         if blob is None:
             rows["size"].append(b"")
             rows["blob"].append(b"")
@@ -219,11 +230,9 @@ def packed(dealt: int, slot: np.ndarray, doc: np.ndarray, rank: np.ndarray, th:
 def unpacked(rows: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str, np.ndarray]:
     """All packed rows of a task joined: per entry rank, th, known and the columns; blob is one array with sizes."""
     out: dict[str, list] = {c: [] for c in (*kinds, "rank", "th", "known", "size", "blob")}
-    slots: set[int] = set()
     for batch in rows:
         for row in batch.to_pylist():
             doc = np.frombuffer(row["doc"], "<u4")
-            slots.add(row["slot"])
             out["rank"].append(np.frombuffer(row["rank"], "<i8")[doc])
             out["th"].append(np.frombuffer(row["th"], "<i8")[doc])
             out["known"].append(np.full(len(doc), row["known"]))
@@ -232,9 +241,7 @@ def unpacked(rows: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str,
             out["size"].append(np.frombuffer(row["size"], "<u4"))
             out["blob"].append(np.frombuffer(row["blob"], np.uint8))
     empty = {"rank": "<i8", "th": "<i8", "known": bool, "size": "<u4", "blob": np.uint8, **kinds}
-    joined = {c: np.concatenate([*v, np.zeros(0, empty[c])]) for c, v in out.items()}
-    joined["slots"] = np.array(len(slots))
-    return joined
+    return {c: np.concatenate([*v, np.zeros(0, empty[c])]) for c, v in out.items()}
 
 
 def send_back(slots: int, rank: np.ndarray, th: np.ndarray, pairs: np.ndarray, ask: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -250,11 +257,7 @@ def send_back(slots: int, rank: np.ndarray, th: np.ndarray, pairs: np.ndarray, a
 
 def by_document(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document: (rank, th, cut, ask), the pairs that were sent back; null where there are none."""
-    told, asked = apart(batch_rows)
-    for batch in told:
-        for frequent in batch.column("pair").to_pylist():
-            yield pa.RecordBatch.from_pydict({"rank": pa.array([None], pa.int64()), "th": pa.array([None], pa.int64()), "cut": pa.array([None], pa.binary()), "ask": pa.array([frequent], pa.binary())})
-    a = unpacked(asked, {"pair": "<u8", "ask": "u1"})
+    a = unpacked(batch_rows, {"pair": "<u8", "ask": "u1"})
     order, group, first = groups(a["rank"], a["th"])
     order = order[np.argsort(2 * group + a["ask"][order])]
     pair, ends = a["pair"][order], np.append(first, len(order))
@@ -282,114 +285,188 @@ def apart(batch_rows: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], l
     return told, asked
 
 
-def seeds(rows: DataFrame, spec: Spec, slots: int, earlier: bool) -> DataFrame:
-    """(rank, th, cut, ask): windows that go because their whole piece occurs elsewhere, and pieces whose content is asked for.
+#: Distinct pieces an anchor may have without being dealt window by window.
+FREQUENT = 2048
+#: Set in the second number of an ask: this piece's anchor is frequent.
+BY_WINDOW = 1 << 31
+#: Occurrences are counted up to this number.
+MOST = (1 << 30) - 1
+
+
+class Group(NamedTuple):
+    """Distinct pieces to judge together: contents, windows of each, smallest rank, occurrences, and whether documents of larger rank have it too."""
+
+    blob: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    n: np.ndarray
+    rank: np.ndarray
+    count: np.ndarray
+    later: np.ndarray
+
+
+#: Judges pieces: for each piece, in order, a flag for each of its windows; and the flags of its copies in documents of larger rank.
+Resolver = Callable[[Group, Spec], tuple[np.ndarray, np.ndarray]]
+
+
+class Judge(NamedTuple):
+    """How windows are judged: earlier: a window goes if it occurs in a document of smaller rank; else if it occurs anywhere else."""
+
+    spec: Spec
+    earlier: bool
+    resolve: Resolver
+    shard_bytes: int
+
+    def verdicts(self, data: np.ndarray, lo: np.ndarray, size: np.ndarray, key: np.ndarray, n: np.ndarray, rank: np.ndarray,
+                 count: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first flag of each piece, flags, flags of later copies) of pieces with content data[lo:lo + size]; those of one key, side by side, are judged together."""
+        at = np.cumsum(n) - n
+        flags = np.zeros((2, int(n.sum())), bool)
+        for part in shards(key, size, self.shard_bytes):
+            s = size[part]
+            found = self.resolve(Group(data[ragged(lo[part], s)], np.cumsum(s) - s, s, n[part], rank[part], count[part], later[part]), self.spec)
+            flags[:, ragged(at[part], n[part])] = found
+        return at, flags[0], flags[1]
+
+
+def runs(flags: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, first window, windows) of the maximal runs of set flags; entry i has flags[at[i]:at[i] + n[i]]."""
+    entry = np.repeat(np.arange(len(n)), n)
+    on = flags[ragged(at, n)]
+    within = np.arange(len(on)) - np.repeat(np.cumsum(n) - n, n)
+    head = on & ~(np.concatenate([[False], on[:-1]]) & (within > 0))
+    tail = on & ~(np.concatenate([on[1:], [False]]) & (within < n[entry] - 1))
+    return entry[head], within[head], within[tail] - within[head] + 1
+
+
+class Entries(NamedTuple):
+    """Pieces of a batch: document, key, content hash, first window in the document, windows, content range, occurrences (0: counted elsewhere)."""
+
+    doc: np.ndarray
+    key: np.ndarray
+    ph: np.ndarray
+    lo: np.ndarray
+    n: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    count: np.ndarray
+
+
+def combined(e: Entries, data: np.ndarray, rank: np.ndarray, judge: Judge) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sent, their occurrences, which of them bring content, cut): of equal pieces of a batch one is sent, or those of the
+    smallest rank; the others' windows are judged here, cut being their (entry, first window, windows)."""
+    order, group, first = groups(e.key, e.ph)
+    own = rank[e.doc[order]]
+    head = np.zeros(len(order), bool)
+    head[first] = True
+    least = np.minimum.reduceat(own, first) if judge.earlier and len(first) else own[first]
+    if judge.earlier:
+        goes = own == least[group]
+        index = np.flatnonzero(goes)
+        head[:] = False
+        head[index[np.unique(group[index], return_index=True)[1]]] = True
+    else:
+        goes = head
+    total = np.bincount(group, e.count[order], len(first)).astype(np.int64)
+    told = np.flatnonzero(~goes)
+    which, place = np.unique(group[told], return_inverse=True)
+    one = order[first[which]]
+    seen = np.bincount(group, minlength=len(first))[which]
+    at, flags, later = judge.verdicts(data, e.start[one], (e.stop - e.start)[one], np.arange(len(which)), e.n[one], least[which],
+                                      np.maximum(seen, total[which]), np.ones(len(which), bool))
+    entry, lo, number = runs(later if judge.earlier else flags, at[place], e.n[order[told]])
+    count = np.where(head, total[group], 0)[goes]
+    return order[goes], np.minimum(count, MOST), count > 0, (order[told[entry]], lo, number)
+
+
+def seeds(rows: DataFrame, slots: int, how: Judge) -> DataFrame:
+    """(rank, th, cut, ask): windows that a batch alone removes, and pieces to judge.
 
     cut holds (first window, windows) pairs.  ask holds (first window, occurrences)
-    pairs of the pieces that share an anchor with other ones: one for each distinct
-    piece, or all those of its first document.  Rows with null rank hold anchors
-    of very many distinct pieces.
+    pairs of pieces that occur twice or share an anchor with other ones; of each
+    class one has the occurrences of all and the others 0.
     """
+    spec = how.spec
     schema = PACKED.format("h binary, ph binary, lo binary, n binary, count binary, ")
     if spec.window - spec.gram + 1 > 255:
         raise ValueError("a window holds at most 255 grams")
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(batch_rows):
-            found = []
+            found, blobs, base = [], [], 0
             for chunk in text_chunks(table.column("text"), 1 << 19):
                 units = units_of(chunk, spec)
                 p, _ = pieces_of(units, spec)
-                found.append((p.doc + chunk.lo, p.h, p.ph, p.lo - units.first[p.doc], p.n))
-            doc, h, ph, lo, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                a, b = units.span(p.lo, p.lo + p.n + spec.window - 1) if len(p.lo) else (p.lo, p.lo)
+                found.append((p.doc + chunk.lo, p.h, p.ph, p.lo - units.first[p.doc], p.n, a + base, b + base, np.ones(len(p.lo), np.int64)))
+                blobs.append(units.data)
+                base += len(units.data)
+            e = Entries(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            del found
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
-            order, group, first = groups(h ^ rotl(ph, 32))
-            size = np.diff(np.append(first, len(order)))
-            if earlier:
-                own = rank[doc[order]]
-                least = np.minimum.reduceat(own, first) if len(first) else own
-                send, done = order[own == least[group]], order[own > least[group]]
-                count = np.ones(len(send), np.int64)
-            else:
-                send, done, count = order[first], order[(size > 1)[group]], size
-            yield from packed(slots, (h[send] % np.uint64(slots)).astype(np.int64), doc[send], rank, th, {
-                "h": h[send], "ph": ph[send], "lo": lo[send].astype("<u4"), "n": n[send].astype("u1"), "count": np.minimum(count, 65535).astype("<u2")}, False)
-            if len(done):  # that these go is known here; only their documents need to hear it
-                yield from packed(slots, doc[done] % slots, doc[done], rank, th, {
-                    "h": h[:0], "ph": ph[:0], "lo": lo[done].astype("<u4"), "n": n[done].astype("u1"), "count": np.zeros(0, "<u2")}, True)
+            send, count, _, (entry, lo, number) = combined(e, np.concatenate(blobs), rank, how)
+            del blobs
+            yield from packed(slots, (e.key[send] % np.uint64(slots)).astype(np.int64), e.doc[send], rank, th, {
+                "h": e.key[send], "ph": e.ph[send], "lo": e.lo[send].astype("<u4"), "n": e.n[send].astype("u1"), "count": np.minimum(count, 65535).astype("<u2")}, False)
+            yield from told(slots, e, entry, lo, number, rank, th, ("h", "ph"))
 
     def judge(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, asked = apart(batch_rows)
-        k = unpacked(told, {"lo": "<u4", "n": "u1"})
-        if len(k["lo"]):
-            yield from send_back(slots, k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
-        del k, told
+        known, asked = apart(batch_rows)
+        yield from passed_on(slots, known)
+        del known
         a = unpacked(asked, {"h": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u2"})
         del asked
         order, group, first = groups(a["h"], a["ph"])
         if not len(order):
             return
         h = a["h"][order[first]]
-        shared = np.zeros(len(first), bool)  # the anchor has other pieces too
-        shared[1:] |= h[1:] == h[:-1]
-        shared[:-1] |= h[1:] == h[:-1]
-        if earlier:
+        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        kinds = np.repeat(np.diff(np.append(heads, len(h))), np.diff(np.append(heads, len(h))))  # classes of each class's anchor
+        total = np.add.reduceat(a["count"][order].astype(np.int64), first)
+        if how.earlier:
             rank = a["rank"][order]
             least = np.minimum.reduceat(rank, first)
-            cut, ask = order[rank > least[group]], order[(rank == least[group]) & shared[group]]
-            times = np.ones(len(ask), np.int64)
+            again = np.maximum.reduceat(rank, first) > least
+            # A document of the smallest rank brings the content.
+            index = np.flatnonzero(rank == least[group])
+            bring = index[np.unique(group[index], return_index=True)[1]]
         else:
-            total = np.add.reduceat(a["count"][order].astype(np.int64), first)
-            cut, ask = order[(total > 1)[group]], order[first[shared]]
-            times = np.minimum(total[shared], 1 << 30)
-        both = np.concatenate([cut, ask])
-        second = np.concatenate([a["n"][cut].astype(np.int64), times])
-        yield from send_back(slots, a["rank"][both], a["th"][both], np.stack([a["lo"][both], second], 1), np.arange(len(both)) >= len(cut))
-        # An anchor whose distinct pieces alone make a quarter of a slot's mean load would fill a task with them.
-        heads = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        kinds = np.diff(np.append(heads, len(h)))
-        frequent = h[heads][kinds > max(FREQUENT, len(h) / max(1, int(a["slots"])) / 4)]
-        if len(frequent):
-            none = np.zeros(1, np.int64)
-            yield from packed(1, none, none, none, none, {"pair": np.zeros(1, "<u8"), "ask": np.zeros(1, "u1")}, True, pair=frequent)
+            again, bring = total > 1, first
+        times = np.zeros(len(order), np.int64)
+        times[bring] = np.clip(total, 1, MOST)
+        wanted = (again | (kinds > 1))[group]
+        times |= np.where(kinds[group] > FREQUENT, BY_WINDOW, 0)
+        ask = order[wanted]
+        yield from send_back(slots, a["rank"][ask], a["th"][ask], np.stack([a["lo"][ask], times[wanted]], 1), np.ones(len(ask), bool))
 
     return returned(arrow_map(rows.select("rank", "th", "text"), emit, schema), judge)
 
 
-def returned(dealt: DataFrame, judge: Callable) -> DataFrame:
-    """Judge what was dealt out by content and bring the answers back by document: (rank, th, cut, ask)."""
-    n = parts(dealt.sparkSession)
-    answers = arrow_map(dealt.repartition(n, "slot"), judge, REPLY)
-    return arrow_map(answers.repartition(n, "slot"), by_document, "rank bigint, th bigint, cut binary, ask binary")
-
-
-#: Distinct pieces an anchor may always have without being dealt window by window.
-FREQUENT = 2048
-
-
-class Group(NamedTuple):
-    """Distinct pieces to judge together: contents, windows of each, smallest rank and number of occurrences, and which key group each is of."""
+def told(slots: int, e: Entries, entry: np.ndarray, lo: np.ndarray, number: np.ndarray, rank: np.ndarray, th: np.ndarray, hashes: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows that only tell documents which windows go."""
+    if len(entry):
+        none = np.zeros(0, "<u8")
+        doc = e.doc[entry]
+        yield from packed(slots, doc % slots, doc, rank, th, {
+            **dict.fromkeys(hashes, none), "lo": (e.lo[entry] + lo).astype("<u4"), "n": number.astype("u1"), "count": none}, True)
 
-    blob: np.ndarray
-    begin: np.ndarray
-    size: np.ndarray
-    n: np.ndarray
-    rank: np.ndarray
-    count: np.ndarray
-    key: np.ndarray
 
+def passed_on(slots: int, known: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    k = unpacked(known, {"lo": "<u4", "n": "u1"})
+    if len(k["lo"]):
+        yield from send_back(slots, k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
 
-#: Judges pieces: for each piece, in order, a flag for each of its windows.
-Resolver = Callable[[Group, Spec], np.ndarray]
 
+def returned(dealt: DataFrame, judge: Callable) -> DataFrame:
+    """Judge what was dealt out by content, a slot a task, and bring the answers back by document: (rank, th, cut, ask)."""
+    n = parts(dealt.sparkSession)
+    answers = arrow_map(dealt.repartitionById(n, F.col("slot")), judge, REPLY)
+    return arrow_map(answers.repartitionById(n, F.col("slot")), by_document, "rank bigint, th bigint, cut binary, ask binary")
 
-def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: Spec, slots: int, earlier: bool, resolve: Resolver,
-           shard_bytes: int) -> DataFrame:
-    """(rank, th, cut): (first window, windows) pairs to remove, as 32-bit numbers, in document units.
 
-    earlier: a window goes if it occurs in a document of smaller rank; else if it occurs anywhere else.
-    shard_bytes: content that the resolver gets at once, whole groups each.
-    """
+def gather(rows: DataFrame, candidates: DataFrame, slots: int, how: Judge) -> DataFrame:
+    """(rank, th, cut): (first window, windows) pairs to remove, as 32-bit numbers, in document units."""
+    spec = how.spec
     schema = PACKED.format("key binary, ph binary, lo binary, n binary, count binary, ")
     kinds = {"key": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u4"}
 
@@ -397,104 +474,67 @@ def gather(rows: DataFrame, candidates: DataFrame, frequent: np.ndarray, spec: S
         for table in batches(batch_rows):
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
             lists = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in table.column("ask").to_pylist()]
-            cols: dict[str, list] = {c: [] for c in ("doc", "key", "ph", "lo", "n", "count", "from", "to")}
-            blobs, base = [], 0
+            found, blobs, base = [], [], 0
             for chunk in text_chunks(table.column("text"), 1 << 19):
                 units = units_of(chunk, spec)
-                p, contents = pieces_of(units, spec)
-                if contents is None:
+                p, _ = pieces_of(units, spec)
+                if not len(p.lo):
                     continue
                 asked = np.concatenate(lists[chunk.lo:chunk.hi])
-                where = np.repeat(units.first[:-1], [len(x) for x in lists[chunk.lo:chunk.hi]]) + asked[:, 0]
-                times = np.zeros(len(p.lo), np.int64)
-                times[np.searchsorted(p.lo, where)] = asked[:, 1]
-                common = (times > 0) & np.isin(p.h, frequent)
-                plain = np.flatnonzero((times > 0) & ~common)
+                where = np.searchsorted(p.lo, np.repeat(units.first[:-1], [len(x) for x in lists[chunk.lo:chunk.hi]]) + asked[:, 0])
+                by_window = asked[:, 1] >= BY_WINDOW
+                count = asked[:, 1] & MOST
+                plain, common = where[~by_window], where[by_window]
                 single = ragged(p.lo[common], p.n[common])
                 lo = np.concatenate([p.lo[plain], single])
                 n = np.concatenate([p.n[plain], np.ones(len(single), np.int64)])
                 doc = np.concatenate([p.doc[plain], np.repeat(p.doc[common], p.n[common])])
-                own = contents.hash(single, single + spec.window)
-                a, b = units.span(lo, lo + n + spec.window - 1)
-                for c, v in (("doc", doc + chunk.lo), ("key", np.concatenate([p.h[plain], own])), ("ph", np.concatenate([p.ph[plain], own])),
-                             ("lo", lo - units.first[doc]), ("n", n), ("count", np.concatenate([times[plain], np.repeat(times[common], p.n[common])])),
-                             ("from", a + base), ("to", b + base)):
-                    cols[c].append(v)
+                a, b = units.span(lo, lo + n + spec.window - 1) if len(lo) else (lo, lo)
+                c, d = a[len(plain):], (b - a)[len(plain):]
+                found.append((doc + chunk.lo, np.concatenate([p.h[plain], xxh64(units.data, c, d)]), np.concatenate([p.ph[plain], xxh64(units.data, c, d, 7)]),
+                              lo - units.first[doc], n, a + base, b + base, np.concatenate([count[~by_window], np.repeat(count[by_window], p.n[common])])))
                 blobs.append(units.data)
                 base += len(units.data)
             if not blobs:
                 continue
-            c = {k: np.concatenate(v) for k, v in cols.items()}
+            e = Entries(*(np.concatenate(x) for x in zip(*found, strict=True)))
             data = np.concatenate(blobs)
-            order, group, first = groups(c["key"], c["ph"])
-            count = np.add.reduceat(c["count"][order], first) if len(first) else np.zeros(0, np.int64)
-            if earlier:
-                own = rank[c["doc"][order]]
-                least = np.minimum.reduceat(own, first) if len(first) else own
-                send, done = order[own == least[group]], order[own > least[group]]
-                count = np.ones(len(send), np.int64)
-            else:
-                send, done = order[first], order[(count > 1)[group]]
-                count = np.minimum(count, 1 << 30)
-            columns = {"key": c["key"], "ph": c["ph"], "lo": c["lo"].astype("<u4"), "n": c["n"].astype("u1")}
-            yield from packed(slots, (c["key"][send] % np.uint64(slots)).astype(np.int64), c["doc"][send], rank, th,
-                              {k: v[send] for k, v in columns.items()} | {"count": count.astype("<u4")}, False, (data, c["from"][send], c["to"][send]))
-            if len(done):
-                yield from packed(slots, c["doc"][done] % slots, c["doc"][done], rank, th, {
-                    "key": np.zeros(0, "<u8"), "ph": np.zeros(0, "<u8"), "lo": columns["lo"][done], "n": columns["n"][done], "count": np.zeros(0, "<u4")}, True)
+            del found, blobs
+            send, count, brings, (entry, lo, number) = combined(e, data, rank, how)
+            yield from packed(slots, (e.key[send] % np.uint64(slots)).astype(np.int64), e.doc[send], rank, th,
+                              {"key": e.key[send], "ph": e.ph[send], "lo": e.lo[send].astype("<u4"), "n": e.n[send].astype("u1"), "count": count.astype("<u4")},
+                              False, (data, e.start[send], np.where(brings, e.stop[send], e.start[send])))
+            yield from told(slots, e, entry, lo, number, rank, th, ("key", "ph"))
 
     def judge(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told, asked = apart(batch_rows)
-        k = unpacked(told, {"lo": "<u4", "n": "u1"})
-        if len(k["lo"]):
-            yield from send_back(slots, k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
-        del k, told
+        known, asked = apart(batch_rows)
+        yield from passed_on(slots, known)
+        del known
         a = unpacked(asked, kinds)
         del asked
         begin = np.cumsum(a["size"], dtype=np.int64) - a["size"]
         order, group, first = groups(a["key"], a["ph"])
         if not len(order):
             return
-        one = order[first]
-        rank = np.minimum.reduceat(a["rank"][order], first)
+        index = np.flatnonzero(a["size"][order])
+        which, at = np.unique(group[index], return_index=True)
+        if len(which) != len(first):
+            raise RuntimeError("a piece came without its content")
+        one = order[index[at]]
+        rank = a["rank"][order]
+        least, most = np.minimum.reduceat(rank, first), np.maximum.reduceat(rank, first)
         count = np.add.reduceat(a["count"][order].astype(np.int64), first)
-        # Windows of a piece that several documents share whole, and of its first document, are told apart here.
-        key = a["key"][one]
-        alone = np.ones(len(one), bool)
-        alone[1:] &= key[1:] != key[:-1]
-        alone[:-1] &= key[1:] != key[:-1]
-        several = np.flatnonzero(~alone)
-        flags_of = np.zeros(len(one) + 1, np.int64)
-        np.cumsum(a["n"][one], out=flags_of[1:])
-        flags = np.zeros(int(flags_of[-1]), bool)
-        if not earlier:
-            flags[ragged(flags_of[:-1][count > 1], a["n"][one][count > 1].astype(np.int64))] = True
-        for part in shards(key[several], a["size"][one[several]], shard_bytes):
-            g = several[part]
-            rows_of = one[g]
-            if not earlier and (count[g] > 1).all():
-                continue
-            blob = a["blob"][ragged(begin[rows_of], a["size"][rows_of].astype(np.int64))]
-            size = a["size"][rows_of].astype(np.int64)
-            found = resolve(Group(blob, np.cumsum(size) - size, size, a["n"][rows_of].astype(np.int64), rank[g], count[g], key[g]), spec)
-            flags[ragged(flags_of[g], a["n"][rows_of].astype(np.int64))] |= found
-        whole = a["rank"][order] > rank[group] if earlier else np.zeros(len(order), bool)
-        w = order[whole]
-        out = [(a["rank"][w], a["th"][w], a["lo"][w].astype(np.int64), a["n"][w].astype(np.int64))]
-        # Runs of flagged windows of the other entries.
-        rest, rest_group = order[~whole], group[~whole]
-        any_flag = np.add.reduceat(flags, flags_of[:-1]) > 0 if len(flags) else np.zeros(len(one), bool)
-        rest, rest_group = rest[any_flag[rest_group]], rest_group[any_flag[rest_group]]
-        n = a["n"][rest].astype(np.int64)
-        entry = np.repeat(np.arange(len(rest)), n)
-        on = flags[ragged(flags_of[rest_group], n)]
-        within = np.arange(len(on)) - np.repeat(np.cumsum(n) - n, n)
-        head = on & ~(np.concatenate([[False], on[:-1]]) & (within > 0))
-        tail = on & ~(np.concatenate([on[1:], [False]]) & (within < n[entry] - 1))
-        e, at, stop = entry[head], within[head], within[tail]
-        out.append((a["rank"][rest[e]], a["th"][rest[e]], a["lo"][rest[e]].astype(np.int64) + at, stop - at + 1))
-        r, t, lo, length = (np.concatenate(x) for x in zip(*out, strict=True))
-        yield from send_back(slots, r, t, np.stack([lo, length], 1))
+        at, flags, later = how.verdicts(a["blob"], begin[one], a["size"][one].astype(np.int64), a["key"][one], a["n"][one].astype(np.int64), least, count, most > least)
+        del a["blob"]
+        behind = rank > least[group] if how.earlier else np.zeros(len(order), bool)
+        for these, verdict in ((~behind, flags), (behind, later)):
+            some = np.add.reduceat(verdict, at) > 0
+            these &= some[group]
+            rows_of, classes = order[these], group[these]
+            entry, lo, number = runs(verdict, at[classes], a["n"][rows_of].astype(np.int64))
+            hit = rows_of[entry]
+            if len(hit):
+                yield from send_back(slots, a["rank"][hit], a["th"][hit], np.stack([a["lo"][hit].astype(np.int64) + lo, number], 1))
 
     joined = rows.join(candidates, ["rank", "th"]).select("rank", "th", "text", "ask")
     return returned(arrow_map(joined, emit, schema), judge).drop("ask")
@@ -517,17 +557,17 @@ def removals(docs: DataFrame, spec: Spec, earlier: bool, resolve: Resolver, name
     """doc_id, text, data and the kept columns: for each input row the windows to remove as lists of (first, number) pairs, null if there are none."""
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
-    rows = keyed(docs, id_col, text_col)
-    slots = 4 * parts(spark)
-    seeded = scratch.keep(seeds(rows, spec, slots, earlier))
+    places = ranked(docs, id_col, scratch)
+    rows = keyed(docs, id_col, text_col, places)
+    slots = parts(spark)
+    how = Judge(spec, earlier, resolve, shard_bytes)
+    seeded = scratch.keep(seeds(rows, slots, how))
     scratch.settle()
-    frequent = np.frombuffer(b"".join(r["ask"] for r in seeded.where("rank IS NULL").select("ask").collect()), "<u8")
-    asked = seeded.where("rank IS NOT NULL AND ask IS NOT NULL").select("rank", "th", "ask")
-    judged = scratch.keep(gather(rows, asked, frequent, spec, slots, earlier, resolve, shard_bytes))
+    judged = scratch.keep(gather(rows, seeded.where("ask IS NOT NULL").select("rank", "th", "ask"), slots, how))
     scratch.settle()
-    whole = seeded.where("rank IS NOT NULL AND cut IS NOT NULL").select("rank", "th", F.col("cut").alias("whole"))
+    whole = seeded.where("cut IS NOT NULL").select("rank", "th", F.col("cut").alias("whole"))
     kept = [f"kept_{i}" for i in range(len(keep))]
-    found = keyed(docs, id_col, text_col, keep).join(whole, ["rank", "th"], "left").join(judged.withColumnRenamed("cut", "part"), ["rank", "th"], "left")
+    found = keyed(docs, id_col, text_col, places, keep).join(whole, ["rank", "th"], "left").join(judged.withColumnRenamed("cut", "part"), ["rank", "th"], "left")
     return found.select("doc_id", "text", F.array_compact(F.array("whole", "part")).alias("data"), *kept)
 
 

@@ -1,9 +1,10 @@
 """Substring deduplication by suffix automata of reference shards.
 
-Reference shards are groups of distinct pieces that can repeat at all (see
-``passages``), of bounded size.  Each shard's automaton counts the occurrences of
-every word sequence in it; streaming the pieces through it gives matching
-statistics, and windows that occur more than once are removed.
+Reference shards are the distinct pieces that can repeat at all (see ``passages``),
+each with its number of occurrences, whole groups of one anchor; a shard holds
+about `shard_bytes` or one group of at most FREQUENT pieces.  A shard's automaton
+counts the occurrences of every word sequence in it; streaming the pieces through
+it gives matching statistics, which alone decide the windows to remove.
 """
 
 from __future__ import annotations
@@ -75,20 +76,19 @@ class SuffixAutomaton:
             yield matched, count[state] if state else 0
 
 
-def resolve(group: Group, spec: Spec) -> np.ndarray:
-    """Windows of each piece that occur again in the shard or in another copy of the piece."""
+def resolve(group: Group, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of each piece that occur again, in another piece of the shard or in another copy of this one."""
     numbers: dict[bytes, int] = {}
     raw = group.blob.tobytes()
     sequences = [[numbers.setdefault(w, len(numbers)) for w in raw[b:b + s].split(b" ")] for b, s in zip(group.begin.tolist(), group.size.tolist(), strict=True)]
     automaton = SuffixAutomaton(sequences, group.count.tolist())
-    out = np.ones(int(group.n.sum()), bool)
+    out = np.zeros(int(group.n.sum()), bool)
     at = 0
-    for sequence, n, count in zip(sequences, group.n.tolist(), group.count.tolist(), strict=True):
-        if count < 2:
-            seen = [matched == spec.window and times > 1 for matched, times in automaton.statistics(sequence, spec.window)]
-            out[at:at + n] = seen[spec.window - 1:]
+    for sequence, n in zip(sequences, group.n.tolist(), strict=True):
+        seen = [matched == spec.window and times > 1 for matched, times in automaton.statistics(sequence, spec.window)]
+        out[at:at + n] = seen[spec.window - 1:]
         at += n
-    return out
+    return out, out
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

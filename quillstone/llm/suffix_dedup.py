@@ -1,9 +1,10 @@
 """Suffix-array deduplication by longest-previous-factor arrays.
 
 The suffixes that begin a window are sorted by prefix doubling.  In suffix order
-the nearest entries before and after that belong to an earlier document give the
-longest match with anything earlier; where it reaches the window's length, the
-later copy goes and the first stays.
+the nearest entries before and after that belong to an earlier document (previous
+and next smaller values) give the longest previous factor: the longest match with
+anything earlier, compared byte by byte up to the window's length.  Where it
+reaches that length, the later copy goes and the first stays.
 """
 
 from __future__ import annotations
@@ -53,22 +54,47 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
         p[jump] = p[p[jump]]
 
 
-def longest_previous(order: np.ndarray, interval: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Whether each window's longest previous factor reaches its length; owner is the rank of the document each is in."""
-    ranks = owner[order]
-    before = previous_smaller(ranks)
-    after = len(ranks) - 1 - previous_smaller(ranks[::-1])[::-1]
-    reached = (before >= 0) & (interval[before] == interval)
-    inner = after < len(ranks)
-    reached[inner] |= interval[after[inner]] == interval[inner]
-    out = np.zeros(len(order), bool)
-    out[order] = reached
+def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, `most` at most; words are the 8-byte words at each position."""
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for step in range(0, most, 8):
+        differ = words[a[live] + step] ^ words[b[live] + step]
+        low = differ & (~differ + np.uint64(1))  # the lowest bit that differs, in the first byte that differs
+        out[live] += np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
+        live = live[differ == 0]
+    return np.minimum(out, most)
+
+
+def longest_previous(text: np.ndarray, start: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
+    """The longest previous factor of each suffix, `most` at most: its longest match with one whose document (owner is its rank) is earlier."""
+    order, _ = suffix_order(text, start, most)
+    words = words8(np.concatenate([text, np.zeros(most, np.uint8)]))
+    ranks, at = owner[order], start[order]
+    with np.errstate(over="ignore"):
+        before = previous_smaller(ranks)
+        after = len(ranks) - 1 - previous_smaller(ranks[::-1])[::-1]
+        factor = np.zeros(len(order), np.int64)
+        for near, have in ((before, before >= 0), (after, after < len(ranks))):
+            i = np.flatnonzero(have)
+            factor[i] = np.maximum(factor[i], common_prefix(words, at[i], at[near[i]], most))
+    out = np.empty(len(order), np.int64)
+    out[order] = factor
     return out
 
 
-def resolve(group: Group, spec: Spec) -> np.ndarray:
-    start = ragged(group.begin, group.n)
-    return longest_previous(*suffix_order(group.blob, start, spec.window), np.repeat(group.rank, group.n))
+def resolve(group: Group, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of each piece that a document of smaller rank has; a piece that later documents have too is entered twice."""
+    again = np.flatnonzero(group.later)
+    size, n = group.size[again], group.n[again]
+    text = np.concatenate([group.blob, group.blob[ragged(group.begin[again], size)]])
+    start = np.concatenate([ragged(group.begin, group.n), ragged(len(group.blob) + np.cumsum(size) - size, n)])
+    owner = np.concatenate([np.repeat(group.rank, group.n), np.repeat(group.rank[again] + 1, n)])
+    gone = longest_previous(text, start, owner, spec.window) >= spec.window
+    windows = int(group.n.sum())
+    later = np.zeros(windows, bool)
+    later[ragged((np.cumsum(group.n) - group.n)[again], n)] = gone[windows:]
+    return gone[:windows], later
 
 
 def remaining(text: str, pairs: list[bytes] | None, window: int) -> tuple[bytes, int, bytes]:
