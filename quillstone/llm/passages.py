@@ -287,6 +287,8 @@ def apart(batch_rows: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], l
 
 #: Distinct pieces an anchor may have without being dealt window by window.
 FREQUENT = 2048
+#: Neighbouring pieces that are judged as one at most.
+RUN = 512
 #: Set in the second number of an ask: this piece's anchor is frequent.
 BY_WINDOW = 1 << 31
 #: Occurrences are counted up to this number.
@@ -370,10 +372,20 @@ def combined(e: Entries, data: np.ndarray, rank: np.ndarray, judge: Judge) -> tu
     total = np.bincount(group, e.count[order], len(first)).astype(np.int64)
     told = np.flatnonzero(~goes)
     which, place = np.unique(group[told], return_inverse=True)
+    # Neighbouring pieces of a document are judged in one piece; only that this is the first copy or a later one counts.
     one = order[first[which]]
-    seen = np.bincount(group, minlength=len(first))[which]
-    at, flags, later = judge.verdicts(data, e.start[one], (e.stop - e.start)[one], np.arange(len(which)), e.n[one], least[which],
-                                      np.maximum(seen, total[which]), np.ones(len(which), bool))
+    line = np.argsort(e.start[one], kind="stable")
+    one = one[line]
+    n = e.n[one]
+    new = np.arange(len(one)) % RUN == 0
+    new[1:] |= (e.doc[one[1:]] != e.doc[one[:-1]]) | (e.lo[one[1:]] != e.lo[one[:-1]] + n[:-1])
+    head_of = np.flatnonzero(new)
+    tail_of = np.append(head_of, len(one))[1:] - 1
+    zeros = np.zeros(len(head_of), np.int64)
+    _, flags, later = judge.verdicts(data, e.start[one[head_of]], e.stop[one[tail_of]] - e.start[one[head_of]], np.arange(len(head_of)),
+                                     np.add.reduceat(n, head_of) if len(n) else n, zeros, zeros + 2, zeros == 0)
+    at = np.empty(len(one), np.int64)
+    at[line] = np.cumsum(n) - n
     entry, lo, number = runs(later if judge.earlier else flags, at[place], e.n[order[told]])
     count = np.where(head, total[group], 0)[goes]
     return order[goes], np.minimum(count, MOST), count > 0, (order[told[entry]], lo, number)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -77,8 +78,10 @@ class Scratch:
 
     def settle(self) -> None:
         """Shuffle files of finished steps go when the driver's references to them are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the second pass finds what the first one has made unreachable
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def parts(spark: SparkSession) -> int:

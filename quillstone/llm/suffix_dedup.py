@@ -29,19 +29,23 @@ def dense(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_order(text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, interval): start's suffixes sorted by their first `length` bytes, and the number of the run that shares them."""
+def suffix_order(text: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """start's suffixes in the order of their first `length` bytes; ranks of longer and longer prefixes, two or three of the last length each."""
     padded = np.concatenate([text, np.zeros(length, np.uint8)])
     rank, span = dense(words8(padded)[:len(padded)].byteswap()), 8
-    def paired(at: np.ndarray, shift: int) -> np.ndarray:
-        return rank[at] * len(padded) + rank[np.minimum(at + shift, len(padded) - 1)]
-    while 2 * span < length:
-        rank = dense(paired(np.arange(len(padded)), span))
-        span *= 2
-    key = paired(start, length - span)
-    order = np.argsort(key)
-    k = key[order]
-    return order, np.cumsum(np.r_[False, k[1:] != k[:-1]]) if len(k) else order
+    bits = len(padded).bit_length()
+    times = 3 if 3 * bits <= 63 else 2
+
+    def joined(at: np.ndarray, shifts: list[int]) -> np.ndarray:
+        key = rank[at]
+        for s in shifts:
+            key = key << bits | rank[np.minimum(at + s, len(padded) - 1)]
+        return key
+
+    while times * span < length:
+        rank = dense(joined(np.arange(len(padded)), [span * i for i in range(1, times)]))
+        span *= times
+    return np.argsort(joined(start, [span] * (2 * span < length) + [length - span]))
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -68,7 +72,7 @@ def common_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) ->
 
 def longest_previous(text: np.ndarray, start: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
     """The longest previous factor of each suffix, `most` at most: its longest match with one whose document (owner is its rank) is earlier."""
-    order, _ = suffix_order(text, start, most)
+    order = suffix_order(text, start, most)
     words = words8(np.concatenate([text, np.zeros(most, np.uint8)]))
     ranks, at = owner[order], start[order]
     with np.errstate(over="ignore"):
@@ -84,17 +88,13 @@ def longest_previous(text: np.ndarray, start: np.ndarray, owner: np.ndarray, mos
 
 
 def resolve(group: Group, spec: Spec) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of each piece that a document of smaller rank has; a piece that later documents have too is entered twice."""
-    again = np.flatnonzero(group.later)
-    size, n = group.size[again], group.n[again]
-    text = np.concatenate([group.blob, group.blob[ragged(group.begin[again], size)]])
-    start = np.concatenate([ragged(group.begin, group.n), ragged(len(group.blob) + np.cumsum(size) - size, n)])
-    owner = np.concatenate([np.repeat(group.rank, group.n), np.repeat(group.rank[again] + 1, n)])
-    gone = longest_previous(text, start, owner, spec.window) >= spec.window
-    windows = int(group.n.sum())
-    later = np.zeros(windows, bool)
-    later[ragged((np.cumsum(group.n) - group.n)[again], n)] = gone[windows:]
-    return gone[:windows], later
+    """Windows of each piece that a document of smaller rank has; the suffixes of a piece that later documents have too are entered twice."""
+    again = np.repeat(group.later, group.n)
+    start, owner = ragged(group.begin, group.n), np.repeat(group.rank, group.n)
+    factor = longest_previous(group.blob, np.concatenate([start, start[again]]), np.concatenate([owner, owner[again] + 1]), spec.window)
+    later = np.zeros(len(start), bool)
+    later[again] = factor[len(start):] >= spec.window
+    return factor[:len(start)] >= spec.window, later
 
 
 def remaining(text: str, pairs: list[bytes] | None, window: int) -> tuple[bytes, int, bytes]:
