@@ -113,7 +113,7 @@ def pieces(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def found_in(docs: DataFrame, window: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return removals(docs, Spec(False, window, 16), True, resolve, "suffix", id_col, text_col, keep=keep)
+    return removals(docs, Spec(False, window, 16), True, resolve, "suffix", id_col, text_col, 1 << 17, keep)
 
 
 def suffix_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
