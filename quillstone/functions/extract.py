@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .text import SPACE, distinct_lines, first_nonblank, normalize_space, safe_text, strip, truncate
+from .text import SPACE, distinct_lines, first_nonblank, normalize_space, plain_key, safe_text, spaced_words, strip, truncate, without_signs
 
 #: How product texts label these fields.
 LABELS = {
@@ -25,7 +26,24 @@ DIRECT_KEYS = {
     "brand": ("brand", "品牌"),
     "spec": ("spec", "specification", "规格", "规格型号"),
 }
-GIFT_WORDS = ("送礼", "礼盒", "婚宴", "宴请", "商务", "收藏", "节日", "定制", "纪念")
+#: Words that make a product a gift.
+GIFT_WORDS = ("礼赠", "送礼", "收藏", "品鉴", "宴请", "聚会", "非卖品", "纪念", "节庆")
+#: Longest brand that is read out of a name, in characters.
+BRAND_MOST = 20
+#: What marks a version in a product name, after its bracketed parts.
+VERSION_PATTERNS = (
+    r"\b[VA]\d{1,2}\b",
+    r"精品\s*\d+\s*[号號]",
+    r"藏\s*\d+",
+    r"天字号\s*[VA]\d{1,2}",
+    r"师藏年鉴[^\s，,。；;]*",
+    r"[甲乙丙丁戊己庚辛壬癸]?[子丑寅卯辰巳午未申酉戌亥]?[鼠牛虎兔龙蛇马羊猴鸡狗猪]年",
+    r"端午纪念",
+)
+#: Other forms under which a brand begins a product's name.
+BRAND_FORMS = {"大民族": ("大民族酒", "大民族"), "石荣霄": ("石荣霄酒", "百年石荣霄酒", "石荣霄")}
+#: Spellings that stand for each other.
+SPELLINGS = (("陈任远", "陈仁远"), ("陈仁远", "陈任远"))
 
 
 def label(text: Column, field: str) -> Column:
@@ -78,10 +96,13 @@ def clean_ocr(c: Column, limit: int = 1500) -> Column:
 
 
 def brand_and_series(name: Column) -> Column:
-    """(brand, series): the name before and after its first middle dot or opening bracket."""
-    parts = F.split(strip(name), r"[·（(]", 2)
-    series = F.regexp_replace(F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), r"[）)]\s*$", "")
-    return F.struct(F.when(F.size(parts) > 1, strip(parts[0])).otherwise("").alias("brand"), strip(series).alias("series"))
+    """(brand, series): the name before its first middle dot, else before its first wide bracket, of at most BRAND_MOST characters; and after the dot."""
+    n = safe_text(name)
+    dot, bracket = F.instr(n, "·"), F.instr(n, "（")
+    head = F.when(dot > 0, F.substring(n, F.lit(1), dot - 1)).when(bracket > 0, F.substring(n, F.lit(1), bracket - 1)).otherwise("")
+    brand = strip(F.regexp_replace(head, r"^[（( ]+|[（( ]+$", ""))
+    series = F.when(dot > 0, strip(F.regexp_replace(F.substring(n, dot + 1, F.lit(1 << 30)), r"^[）) ]+|[）) ]+$", ""))).otherwise("")
+    return F.struct(F.when(F.char_length(brand) <= BRAND_MOST, brand).otherwise("").alias("brand"), series.alias("series"))
 
 
 def gift_attributes(text: Column) -> Column:
@@ -90,22 +111,39 @@ def gift_attributes(text: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: F.contains(safe_text(text), w)), "、")
 
 
+def first_by(items: Column, key: Callable[[Column], Column]) -> Column:
+    """Items with a key of their own, in order; of equal keys the first."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: (key(x) != "") & (F.array_position(keys, key(x)) == i + 1))
+
+
 def version_signals(c: Column) -> Column:
-    """Bracketed parts, volumes, strengths, years and edition words of a name, each once."""
-    s = F.lower(normalize_space(c))
-    patterns = (r"[（(]([^）)]+)[）)]", r"(\d+(?:\.\d+)?\s*(?:ml|l|g|kg|升|毫升|克|斤))", r"(\d+(?:\.\d+)?\s*(?:度|%vol|%))", r"((?:19|20)\d{2}\s*年?)",
-                r"(\d+\s*年)", r"((?:第?[一二三四五六七八九十\d]+代))", r"([一-鿿a-z]{1,6}版)", r"([一-鿿]{0,2}礼盒)")
-    found = F.concat(*(F.regexp_extract_all(s, F.lit(p), 1) for p in patterns))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.regexp_replace(x, r"\s+", "")), lambda x: x != ""))
+    """Bracketed parts and version marks of a name, in this order, each once by its plain key."""
+    s = normalize_space(c)
+    found = [F.regexp_extract_all(s, F.lit(r"[（(]([^）)]+)[）)]"), 1), *(F.regexp_extract_all(s, F.lit(f"(?iuU){p}"), 0) for p in VERSION_PATTERNS)]
+    return first_by(F.transform(F.concat(*found), normalize_space), plain_key)
+
+
+def without_brand(name: Column, brand: Column) -> Column:
+    """A name without the brand, in any of its forms, at its beginning; the longest form counts."""
+    n, b = normalize_space(name), safe_text(brand)
+    known = F.create_map(*(x for k, forms in BRAND_FORMS.items() for x in (F.lit(k), F.array(*map(F.lit, sorted(forms, key=len, reverse=True))))))
+    forms = F.coalesce(known[b], F.array(b))
+    begun = F.get(F.filter(forms, lambda f: F.startswith(n, f)), F.lit(0))
+    return F.when(begun.isNotNull(), strip(F.regexp_replace(F.substring(n, F.char_length(begun) + 1, F.lit(1 << 30)), "^[·• ]", ""))).otherwise(n)
 
 
 def search_terms(name: Column, brand: Column) -> Column:
-    """Search terms of a product: the name, without its brand, without brackets, without signs; in order, each once."""
+    """Search terms of a product: the name; without its brand; that without signs; brand and rest in words; each version
+    signal, also behind the bare name if that lacks it; and all of them in their other spellings.  Each once, letter case aside."""
     full = normalize_space(name)
-    b = normalize_space(brand)
-    bare = F.when((b != "") & F.startswith(full, b), strip(F.substring(full, F.char_length(b) + 1, F.lit(1 << 20)))).otherwise(full)
-    plain = strip(F.regexp_replace(bare, r"[（(][^）)]*[）)]", ""))
-    return F.array_distinct(F.filter(F.array(full, bare, plain, F.regexp_replace(plain, r"[^\p{L}\p{N}]+", "")), lambda x: F.char_length(x) >= 2))
+    core = without_brand(name, brand)
+    bare = without_signs(core)
+    marks = F.flatten(F.transform(version_signals(name), lambda s: F.when(
+        (bare != "") & ~F.contains(plain_key(bare), plain_key(s)), F.array(s, F.concat(bare, without_signs(s)))).otherwise(F.array(s))))
+    terms = F.concat(F.array(full, core, bare, spaced_words(F.concat(safe_text(brand), F.lit(" "), core))), marks)
+    other = F.flatten(F.transform(terms, lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(a)), F.replace(t, F.lit(a), F.lit(b))) for a, b in SPELLINGS)))))
+    return first_by(F.transform(F.concat(terms, other), normalize_space), F.lower)
 
 
 #: What OCR text says after these labels.

@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1C-\x1F\x85\p{Z}"
 
 #: Texts that stand for a missing value in cleaned sheets, and the wider set of the document builders.
-SHEET_PLACEHOLDERS = ("", "-", "--", "—", "/", "无", "暂无", "N/A", "n/a", "null", "NULL")
-DOCUMENT_PLACEHOLDERS = (*SHEET_PLACEHOLDERS, "None", "nan")
+SHEET_PLACEHOLDERS = ("", "-", "--", "---", "—", "——", "———", "暂无", "无", "未填写", "未标注")
+DOCUMENT_PLACEHOLDERS = ("", "-", "--", "---", "—", "——", "暂无", "无", "未填写", "未标注", "nan", "None")
+#: Signs that sheet headers and product names are compared without.
+HEADER_SIGNS = r"，,：:；;（()）【】\[\]/\\|·•、\-—_"
+NAME_SIGNS = r"·•（）()\[\]【】《》<>:：,，。;；/\\"
 #: Texts that mean yes.
 TRUE_WORDS = ("true", "1", "yes", "是")
 
@@ -56,8 +59,23 @@ def normalize_text(c: Column, wide_spaces: bool = False) -> Column:
 
 
 def header_key(c: Column) -> Column:
-    """A column header without white space and punctuation."""
-    return F.regexp_replace(safe_text(c), rf"[{SPACE}:：()（）【】\[\]/\\_\-—·.,，。*]+", "")
+    """A column header without white space and signs."""
+    return F.regexp_replace(safe_text(c), rf"[{SPACE}{HEADER_SIGNS}]+", "")
+
+
+def without_signs(c: Column) -> Column:
+    """A name without white space and signs; letter case stays."""
+    return F.regexp_replace(safe_text(c), rf"[{SPACE}\-_{NAME_SIGNS}]+", "")
+
+
+def plain_key(c: Column) -> Column:
+    """A name in lower case without white space and signs; what stands in brackets stays."""
+    return F.lower(without_signs(c))
+
+
+def spaced_words(c: Column) -> Column:
+    """A name with signs (not hyphens) as single blanks."""
+    return normalize_space(F.regexp_replace(safe_text(c), rf"[{NAME_SIGNS}]+", " "))
 
 
 def match_key(c: Column) -> Column:

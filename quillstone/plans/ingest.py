@@ -73,11 +73,11 @@ def extract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", *(extract.label(composed, f).alias(f) for f in ("product_name", "brand", "spec")))
 
 
-@query(r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text[1:200], '[,\n，、;；]+'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS a FROM documents)
+@query(r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,\n，、;；]+'), lambda x: regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda x: x <> '') AS a FROM documents)
         SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i)[1:8], '|') AS tags FROM t""")
 def tag_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to eight distinct tags from the head of each text (the feature keeps eight)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tags(F.substring("text", 1, 200), 8), "|").alias("tags"))
+    """Up to eight distinct tags of each text (the feature keeps eight)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.tags(F.col("text"), 8), "|").alias("tags"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(text, '[\s\p{Z}]', '', 'g')) >= 200 AND length(regexp_replace(text, '[^a-z]', '', 'g')) >= 40 AS good,
@@ -96,7 +96,7 @@ def profile_fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.fill_rate(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_size"])
 
 
-HEADER = r"regexp_replace({0}, '[\s\p{{Z}}:：()（）【】\[\]/\\_\-—·.,，。*]+', '', 'g')"
+HEADER = r"regexp_replace({0}, '[\s\p{{Z}}，,：:；;（()）【】\[\]/\\|·•、\-—_]+', '', 'g')"
 
 
 @query(f"""WITH k AS (SELECT p_partkey, lower({HEADER.format('p_brand')}) AS key_p_brand, lower({HEADER.format('p_type')}) AS key_p_type FROM part)

@@ -146,7 +146,7 @@ def bundle_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("product_id", "section", "n_docs", F.col("doc_ids")[0].alias("first_doc"), F.size("doc_ids").alias("n_kept"))
 
 
-@query(BUNDLE_SQL + r""", v AS (SELECT product_id, doc_id, doc_type, trim(regexp_replace(split_part(text, chr(10), 1), '[\s\p{Z}]+', ' ', 'g'))[1:40] AS cut, trim(cut) AS value FROM b),
+@query(BUNDLE_SQL + r""", v AS (SELECT product_id, doc_id, doc_type, trim(regexp_replace(split_part(text, chr(10), 1), '[\s\p{Z}]+', ' ', 'g')) AS value FROM b),
         o AS (SELECT product_id, arg_min(value, doc_id) AS old_value FROM v WHERE doc_type IN ('product_full', 'product_field') AND value <> '' GROUP BY product_id)
         SELECT product_id, 'product_name' AS field, old_value, value AS supplement_value, doc_id AS supplement_doc_id, 'high' AS severity
         FROM o JOIN v USING (product_id) WHERE doc_type = 'supplement' AND value <> '' AND lower(old_value) <> lower(value)""")
@@ -155,7 +155,7 @@ def bundle_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.functions.text import normalize_space
 
     rows = bundle_rows(spark, sf_dir)
-    name = F.substring(normalize_space(F.split("text", "\n")[0]), 1, 40)
+    name = normalize_space(F.split("text", "\n")[0])
     return bundle.conflicts(rows.select("product_id", "doc_id", "doc_type", F.lit("product_name").alias("field"), name.alias("value")))
 
 

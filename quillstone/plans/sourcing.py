@@ -125,5 +125,5 @@ def cell_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT item_id, '净含量：' || (item_id + 1) || 'ml' AS clues FROM benchmark""")
 def ocr_clues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clues read from composed OCR text; those a field already holds are left out."""
-    ocr = F.concat(F.lit("净含量: "), (F.col("item_id") + 1).cast("string"), F.lit("ml 规格：一箱\n"), F.substring("text", 1, 50))
+    ocr = F.concat(F.lit("净含量: "), (F.col("item_id") + 1).cast("string"), F.lit("ml 规格：一箱\n"), F.col("text"))
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(extract.ocr_clues(ocr, {"规格": F.lit("一箱装")}), "；").alias("clues"))

@@ -63,7 +63,25 @@ def test_extract(spark):
     assert value(spark, extract.brand_and_series(F.col("a")), a="甲·乙").asDict() == {"brand": "甲", "series": "乙"}
     assert value(spark, extract.text_quality(F.col("a")), a="中" * 200) is True
     assert value(spark, extract.text_quality(F.col("a")), a="a" * 300) is False
-    assert "500ml" in value(spark, extract.version_signals(F.col("a")), a="甲 500ml（礼盒装）")
+    assert value(spark, extract.brand_and_series(F.col("a")), a="甲（乙）").asDict() == {"brand": "甲", "series": ""}
+    assert value(spark, extract.brand_and_series(F.col("a")), a="字" * 21 + "·乙").asDict() == {"brand": "", "series": "乙"}
+    assert value(spark, extract.gift_attributes(F.col("a")), a="适合聚会、礼赠，节庆礼盒") == "礼赠、聚会、节庆"
+
+
+def test_version_signals_and_search_terms(spark):
+    signals = value(spark, extract.version_signals(F.col("a")), a="茅台（珍品） V30 精品 3号 藏10 端午纪念（珍 品）丙午马年 500ml")
+    assert signals == ["珍品", "V30", "精品 3号", "藏10", "丙午马年", "端午纪念"]
+    terms = value(spark, extract.search_terms(F.col("a"), F.col("b")), a="大民族酒·陈任远 精品3号", b="大民族")
+    assert terms == ["大民族酒·陈任远 精品3号", "陈任远 精品3号", "陈任远精品3号", "大民族 陈任远 精品3号", "精品3号",
+                     "大民族酒·陈仁远 精品3号", "陈仁远 精品3号", "陈仁远精品3号", "大民族 陈仁远 精品3号"]
+    assert value(spark, extract.search_terms(F.col("a"), F.col("b")), a=None, b=None) == []
+
+
+def test_reference_values(spark):
+    assert value(spark, text.header_key(F.col("a")), a=" 产品；名称|（必填）*·1、2_\n") == "产品名称必填*12"
+    assert [value(spark, text.clean_cell(F.col("a")), a=x) for x in ("未标注", "———", "/", "null", "3.0")] == [None, None, "/", "null", "3"]
+    assert value(spark, text.plain_key(F.col("a")), a=" A·b（C） d_e") == "abcde"
+    assert value(spark, text.spaced_words(F.col("a")), a="甲·乙（丙）-丁") == "甲 乙 丙 -丁"
 
 
 @pytest.mark.parametrize(("a", "b"), [("tide", "diet"), ("diet", "tide"), ("abc", "abc"), ("abc", "xabcx"), ("", "a")])

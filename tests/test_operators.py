@@ -110,3 +110,27 @@ def test_retention_first_rule_wins(spark):
     paths = spark.createDataFrame([("src/a_test.py",), ("output/cleanup/cleanup_plan.md",), ("output/cleanup/old.md",), ("x",)], "p string")
     got = [tuple(r["r"]) for r in paths.select(profile.retention(F.col("p")).alias("r")).collect()]
     assert got == [("protected", "keep"), ("old_report", "keep"), ("old_report", "delete"), ("keep", "keep")]
+
+
+def test_candidates_review_and_price(spark):
+    from quillstone.operators import entity
+
+    fields = ("key", "product_id", "barcode", "product_name", "spec", "manufacturer", "brand", "price")
+
+    def side(name, rows):
+        return spark.createDataFrame(rows, ", ".join(f"{name}_{f} string" for f in fields))
+
+    new = side("new", [("n1", "", "77", "red wine", "500ml", "", "A", "10"), ("n2", "", "", "blue wine", "1l", "", "B", "9")])
+    old = side("old", [("o1", "p1", "77", "red wine", "500ml", "", "A", "12"), ("o2", "p2", "", "green", "1l", "", "B", "9"), ("o3", "", "", "x", "2l", "", "C", "1")])
+    pairs = entity.candidate_pairs(new, old, ["brand", "spec"])
+    assert sorted((r["new_key"], r["old_key"]) for r in pairs.collect()) == [("n1", "o1"), ("n2", "o2")]
+    judged = {r["new_key"]: r["classification"] for r in entity.classify_overlap(new, entity.overlap_pairs(pairs)).collect()}
+    assert judged == {"n1": "conflict_existing_product", "n2": "ambiguous"}  # n1 differs only in price
+    c = F.col
+    score = entity.review_score(c("new_product_name"), c("old_product_name"), c("old_spec"), F.array(F.lit("V30")), c("new_brand"), c("new_spec"), c("new_manufacturer"))
+    got = {r["old_key"]: r["s"] for r in pairs.select("old_key", score.alias("s")).collect()}
+    assert got["o1"]["score"] == pytest.approx(100 + 45 + 8) and got["o1"]["evidence"].startswith("核心名完整命中:redwine；产品名高相似:1.00；规格一致")
+    many = spark.createDataFrame([("k", f"c{i:02d}", "n", "s", float(i), "e") for i in range(12)],
+                                 "k string, candidate_id string, candidate_name string, candidate_spec string, score double, evidence string")
+    row = entity.wide_candidates(many, "k").collect()[0]
+    assert [row[f"candidate_{i}_id"] for i in (1, 2, 10)] == ["c11", "c10", "c02"] and row["candidate_10_evidence"] == "e"
