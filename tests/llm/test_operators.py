@@ -323,13 +323,39 @@ def test_packing(spark):
         assert at <= 1024
 
 
-def test_packing_seeks_lexical_neighbours():
+def bm25(each: list[list[int]], seed: int) -> list[float]:
+    """Plain BM25 (k1 1.2, b 0.75) of every document for the seed's distinct tokens."""
+    n, mean = len(each), sum(map(len, each)) / len(each)
+    df = {t: sum(t in x for x in each) for t in set(each[seed])}
+    return [sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * x.count(t) * 2.2 / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in df if t in x) for x in each]
+
+
+def test_packing_ranks_neighbours_as_plain_bm25():
     rng = np.random.default_rng(0)
     topics = [np.arange(100 * k, 100 * k + 60) for k in range(1, 5)]
-    each = [rng.choice(topics[i % 4], 200).astype(np.uint32) for i in range(40)]
-    index = packing.Index(each, 32)
-    near = index.neighbours(0, np.arange(40) > 0)[:9]
-    assert all(i % 4 == 0 for i in near)
+    each = [rng.choice(topics[i % 4], 50 + 10 * (i % 7)).astype(np.uint32) for i in range(40)]
+    df = np.bincount(packing.frequencies(each)[1], minlength=1000)
+    index = packing.Index(each, packing.Statistics(40, float(np.mean([len(x) for x in each])), df), None)
+    for seed in (0, 7):
+        want = bm25([x.tolist() for x in each], seed)
+        assert index.scores(index.heaviest(seed)) == pytest.approx(want)
+        near = index.neighbours(seed, np.arange(40) != seed)
+        assert near.tolist() == sorted((i for i in range(40) if want[i] and i != seed), key=lambda i: (-round(want[i], 9), i))
+        assert all(i % 4 == seed % 4 for i in near)
+
+
+def test_packing_over_several_shards(spark):
+    rng = random.Random(2)
+    topics = [[passage(rng, 1) + str(k) for _ in range(50)] for k in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[i % 6]) for _ in range(60))) for i in range(240)] + [(900, None), (None, "x"), (None, "x"), (901, topics[0][0] * 9000)]
+    got = packing.pack_documents(frame(spark, rows), shard_docs=30, centroids=8).collect()
+    assert sum(r["length"] for r in got) == sum({(r["doc_id"], r["doc_tokens"]): r["doc_tokens"] * (2 if r["doc_id"] is None else 1) for r in got}.values())
+    together = {}
+    for r in got:
+        if r["doc_id"] is not None and r["doc_id"] < 240:
+            together.setdefault(r["sequence_id"], []).append(r["doc_id"] % 6)
+    same = sum(x.count(max(set(x), key=x.count)) for x in together.values()) / sum(map(len, together.values()))
+    assert same > 0.6  # by chance it would be about a third
 
 
 def test_empty_tables(spark):
