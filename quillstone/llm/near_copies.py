@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import Chunk, arrow_map, batches, lower_ascii, mix, split_words, text_chunks, xxh64
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, parts
 from .skew import lookup, small
 from .simhash import close_links, majority, text_hash
 
@@ -77,11 +77,6 @@ def grouped(rows: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
     return (*(x[order[more]] for x in c.values()), group[more])
 
 
-def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-
 def counted(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> pa.RecordBatch:
     """Pairs (a, b), a < b, with their sizes and how often each occurs."""
     turn = a > b
@@ -148,30 +143,40 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, cls bigint, size bigint, fp bigint, front binary, parity binary"))
 
+    slots = parts(spark)
+
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            front = batch.column("front").to_pylist()
+        for table in batches(rows, 4 << 20, "front"):
+            front = table.column("front").to_pylist()
             n = np.array([len(f) // 8 for f in front], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(front), np.int64)), *(
-                pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("cls", "size"))], names=["h", "cls", "size"])
+            h = np.frombuffer(b"".join(front), np.uint64)
+            slot = (h % np.uint64(slots)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            cut = np.searchsorted(slot[order], np.arange(slots + 1))
+            columns = [h, *(np.repeat(table.column(c).to_numpy(), n) for c in ("cls", "size"))]
+            live = np.flatnonzero(np.diff(cut))
+            yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), *(
+                pa.array([x[order[cut[s]:cut[s + 1]]].tobytes() for s in live], pa.binary()) for x in columns)], names=["slot", "h", "cls", "size"])
 
     def meet(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = grouped(rows)
-        if got is not None:
-            yield from pa.table(list(got[:3]), names=["h", "cls", "size"]).to_batches(max_chunksize=100_000)
-
-    fronts = arrow_map(signed.select("cls", "size", "front"), deal, "h bigint, cls bigint, size bigint")
-    shared = scratch.keep(arrow_map(fronts.repartition("h"), meet, "h bigint, cls bigint, size bigint"))
-
-    def stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = grouped(rows)
+        held = [pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int64)) for c in ("h", "cls", "size")], names=["h", "cls", "size"])
+                for batch in rows]
+        got = grouped(iter(held))
+        del held
         if got is None or not len(got[0]):
             return
-        _, cls, size, group = got
+        h, cls, size, group = got
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         lead = first[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
-        fits = (size[lead] * t[1] >= size * t[0]) & (lead != np.arange(len(cls)))
-        yield pair_batch(cls[lead[fits]], cls[fits])
+        star = (size[lead] * t[1] >= size * t[0]) & (lead != np.arange(len(cls)))
+        for lo in range(0, len(h), 100_000):
+            at = slice(lo, lo + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(cls[at]), pa.array(size[at]), pa.array(cls[lead[at]], mask=~star[at])], names=["h", "cls", "size", "lead"])
+
+    # Each value's classes meet in one task; lead is the smallest set's class where the two may be similar.
+    fronts = arrow_map(signed.select("cls", "size", "front"), deal, "slot int, h binary, cls binary, size binary")
+    shared = scratch.keep(arrow_map(fronts.repartitionById(slots, F.col("slot")), meet, "h bigint, cls bigint, size bigint, lead bigint"))
+    stars = shared.where("lead IS NOT NULL").select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b"))
 
     def others(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = grouped(rows)
@@ -247,9 +252,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = lookup(sketches.select("fp", "cls"), classes.where("n > 1").select("fp", F.col("cls").alias("x")), "fp").where("cls <> x")
     proposed = near.join(first, "a").join(second, "b").select("x", "y").union(alike.select("x", F.col("cls").alias("y")))
     proposed = proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = verify(proposed.union(arrow_map(shared.repartition("h"), stars, "a bigint, b bigint")))
+    links = verify(proposed.union(stars))
     roots = components(links, scratch)
-    rooted = lookup(shared, roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    rooted = lookup(shared.drop("lead"), roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "size", F.coalesce("root", "cls").alias("root"))
     pairs = arrow_map(rooted.repartition("h"), others, "a bigint, b bigint, sa bigint, sb bigint, n bigint")
     pairs = pairs.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("n").alias("n"))
     # The overlap must reach t / (1 + t) of both sizes; all of it but n lies behind the prefix that ends first.

@@ -61,9 +61,10 @@ def frequencies(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(document, token, times) of all documents' distinct tokens, in order."""
     if not each:
         return (np.zeros(0, np.int64),) * 3
-    flat = np.concatenate(each).astype(np.int64) | np.repeat(np.arange(len(each)), [len(x) for x in each]) << 32
-    keys, times = np.unique(flat, return_counts=True)
-    return keys >> 32, keys & 0xFFFFFFFF, times
+    kind, bits = (np.uint32, 16) if each[0].dtype == np.uint16 and len(each) <= 1 << 16 else (np.uint64, 32)
+    doc = np.repeat(np.arange(len(each), dtype=kind), [len(x) for x in each])
+    keys, times = np.unique(np.concatenate(each).astype(kind) | doc << kind(bits), return_counts=True)
+    return (keys >> kind(bits)).astype(np.int64), (keys & kind((1 << bits) - 1)).astype(np.int64), times
 
 
 class Index:
@@ -223,10 +224,10 @@ def pack_documents(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTER
         for table in batches(rows, 4 << 20, "ids"):
             for lo in range(0, table.num_rows, shard_docs):
                 part = table.slice(lo, shard_docs)
-                each = [np.frombuffer(x, unit).astype("<u4") for x in part.column("ids").to_pylist()]
+                each = [np.frombuffer(x, unit) for x in part.column("ids").to_pylist()]
                 cut = list(pack(each, corpus, window, query_terms))
                 doc, start, length, seq, offset = (np.array(x, np.int64) for x in zip(*cut, strict=True))
-                crc = [zlib.crc32(each[d][s:s + n].tobytes()) for d, s, n, _, _ in cut]
+                crc = [zlib.crc32(each[d][s:s + n].astype("<u4").tobytes()) for d, s, n, _, _ in cut]
                 total = np.array([len(x) for x in each], np.int64)
                 ids = part.column("doc_id").combine_chunks().take(pa.array(doc))
                 yield from pa.table([ids, start, length, pa.array(crc, pa.int64()), total[doc], seq + sequence, offset], names=names).to_batches()

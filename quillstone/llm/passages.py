@@ -285,6 +285,8 @@ def apart(batch_rows: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], l
     return told, asked
 
 
+#: Bytes of text whose pieces are combined at once.
+BATCH = 4 << 20
 #: Distinct pieces an anchor may have without being dealt window by window.
 FREQUENT = 2048
 #: Neighbouring pieces that are judged as one at most.
@@ -404,7 +406,7 @@ def seeds(rows: DataFrame, slots: int, how: Judge) -> DataFrame:
         raise ValueError("a window holds at most 255 grams")
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(batch_rows):
+        for table in batches(batch_rows, BATCH):
             found, blobs, base = [], [], 0
             for chunk in text_chunks(table.column("text"), 1 << 19):
                 units = units_of(chunk, spec)
@@ -483,7 +485,7 @@ def gather(rows: DataFrame, candidates: DataFrame, slots: int, how: Judge) -> Da
     kinds = {"key": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u4"}
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(batch_rows):
+        for table in batches(batch_rows, BATCH):
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
             lists = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in table.column("ask").to_pylist()]
             found, blobs, base = [], [], 0
