@@ -56,8 +56,8 @@ class Chunk(NamedTuple):
     offsets: np.ndarray
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut a string column into runs of whole texts of about `limit` bytes; null counts as empty."""
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = 1 << 14) -> Iterator[Chunk]:
+    """Cut a string column into runs of whole texts of about `limit` bytes and at most `rows` rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if column.type == pa.string() or column.type == pa.large_string() else column.fill_null(b"")
@@ -74,7 +74,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield Chunk(lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
 

@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for chunk in text_chunks(batch.column(sent.index(text_col)), 1 << 20):
+            for chunk in text_chunks(batch.column(sent.index(text_col)), 1 << 18, 512):
                 which, score, near = predict(model, histograms(chunk.data, chunk.offsets))
                 known = has_letter(chunk.data, chunk.offsets) & (which >= 0)
                 found = [model.langs[k] if ok else UNKNOWN for k, ok in zip(which.tolist(), known.tolist(), strict=True)]

@@ -108,7 +108,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_hash(text_col).alias("text_hash"))
 
     def members(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows):
+        for table in batches(rows, 4 << 20):
             for chunk in text_chunks(table.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(chunk, shingle, none, none)[1].view(np.int64))], names=["h"])
 
@@ -119,7 +119,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     common, place = common[order], len(common) - order  # the most common one comes last
 
     def sign(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows):
+        for table in batches(rows, 4 << 20):
             for chunk in text_chunks(table.column("text")):
                 first, h = shingle_sets(chunk, shingle, common, place)
                 size = np.diff(first)
@@ -165,7 +165,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         del held
         if got is None or not len(got[0]):
             return
-        h, cls, size, group = got
+        # A row stays if a neighbour by size may be similar to it; no other row of its value can be, if neither is.
+        near = (got[3][1:] == got[3][:-1]) & (got[2][:-1] * t[1] >= got[2][1:] * t[0])
+        h, cls, size, group = (x[np.r_[near, False] | np.r_[False, near]] for x in got)
+        if not len(h):
+            return
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         lead = first[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
         star = (size[lead] * t[1] >= size * t[0]) & (lead != np.arange(len(cls)))
@@ -211,7 +215,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(may)) for c in ("a", "b")], names=["a", "b"])
 
     def spell(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(rows):
+        for table in batches(rows, 4 << 20):
             for chunk in text_chunks(table.column("text")):
                 first, h = shingle_sets(chunk, shingle, none, none)
                 yield from pa.table({"cls": table.column("cls").slice(chunk.lo, chunk.hi - chunk.lo),

@@ -408,7 +408,7 @@ def seeds(rows: DataFrame, slots: int, how: Judge) -> DataFrame:
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(batch_rows, BATCH):
             found, blobs, base = [], [], 0
-            for chunk in text_chunks(table.column("text"), 1 << 19):
+            for chunk in text_chunks(table.column("text"), 1 << 17):
                 units = units_of(chunk, spec)
                 p, _ = pieces_of(units, spec)
                 a, b = units.span(p.lo, p.lo + p.n + spec.window - 1) if len(p.lo) else (p.lo, p.lo)
@@ -489,7 +489,7 @@ def gather(rows: DataFrame, candidates: DataFrame, slots: int, how: Judge) -> Da
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
             lists = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in table.column("ask").to_pylist()]
             found, blobs, base = [], [], 0
-            for chunk in text_chunks(table.column("text"), 1 << 19):
+            for chunk in text_chunks(table.column("text"), 1 << 17):
                 units = units_of(chunk, spec)
                 p, _ = pieces_of(units, spec)
                 if not len(p.lo):
