@@ -286,7 +286,7 @@ def apart(batch_rows: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], l
 
 
 #: Bytes of text whose pieces are combined at once.
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Distinct pieces an anchor may have without being dealt window by window.
 FREQUENT = 2048
 #: Neighbouring pieces that are judged as one at most.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds over 1 / SHARE of the rows, so fewer than SHARE keys are.
 SHARE = 2000
 #: Rows of a few numbers each that are broadcast as counted; beyond it rows are shuffled.
-SMALL = 500_000
+SMALL = 100_000
 
 
 def small(table: DataFrame, most: int = SMALL) -> bool:
