@@ -73,10 +73,14 @@ class Bloom:
 
 
 class Cascade:
-    """Alternating Bloom filters: odd levels hold listed keys, even ones false positives."""
+    """Alternating Bloom filters: odd levels hold listed keys, even ones false positives.
 
-    def __init__(self, levels: list[Bloom]) -> None:
+    Unlisted keys with the hash of a listed one can't be told apart by any level; they are kept by name in `clashing`.
+    """
+
+    def __init__(self, levels: list[Bloom], clashing: frozenset[str] = frozenset()) -> None:
         self.levels = levels
+        self.clashing = clashing
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Exact for all keys of the universe the cascade was built over."""
@@ -90,6 +94,26 @@ class Cascade:
         return answer
 
 
+def alternate(first: Bloom, yes: np.ndarray, no: np.ndarray) -> list[Bloom]:
+    """The levels over listed hashes and what the first level wrongly accepts; no hash may be in both."""
+    levels = [first]
+    while len(no):
+        levels.append(Bloom(no, 0.5, len(levels)))
+        yes = yes[levels[-1].has(yes)]
+        if not len(yes):
+            break
+        levels.append(Bloom(yes, 0.5, len(levels)))
+        no = no[levels[-1].has(no)]
+    return levels
+
+
+def cascade_over(first: Bloom, listed: Sequence[str], accepted: Sequence[str]) -> Cascade:
+    """The cascade whose first level holds `listed` and wrongly accepts the keys `accepted`."""
+    yes, no = key_hashes(listed), key_hashes(accepted)
+    same = np.isin(no, yes)
+    return Cascade(alternate(first, yes, no[~same]), frozenset(k for k, x in zip(accepted, same, strict=True) if x))
+
+
 def host_and_path(url: str | None) -> tuple[str, str]:
     """Host: after the first `://` up to `/`, `?`, `#` or end, A-Z lower-cased; path: then up to `?`, `#` or end."""
     if url is None or "://" not in url:
@@ -134,9 +158,8 @@ def build_cascade(parts: DataFrame, rules: Sequence[Rule]) -> Cascade:
         return Cascade([])
     hosts = parts.agg(F.approx_count_distinct(F.struct("host", F.expr(f"left(path, {max(lengths)})"))).alias("n")).first()
     universe = max(1, hosts["n"]) * 4 * len(lengths)
-    yes = key_hashes(listed)
     rate = min(0.5, len(listed) / (math.sqrt(2) * universe))
-    first = Bloom(yes, rate, 0)
+    first = Bloom(key_hashes(listed), rate, 0)
     known = set(listed)
 
     def wrong(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,16 +170,8 @@ def build_cascade(parts: DataFrame, rules: Sequence[Rule]) -> Cascade:
                 yield pa.RecordBatch.from_pydict({"key": pa.array([k for k, x in zip(keys, hit, strict=True) if x], pa.string())})
 
     longest = F.expr(f"left(path, {max(lengths)})")
-    no = key_hashes([r["key"] for r in parts.select("host", longest.alias("path")).mapInArrow(wrong, "key string").distinct().collect()])
-    levels = [first]
-    while len(no):
-        levels.append(Bloom(no, 0.5, len(levels)))
-        yes = yes[levels[-1].has(yes)]
-        if not len(yes):
-            break
-        levels.append(Bloom(yes, 0.5, len(levels)))
-        no = no[levels[-1].has(no)]
-    return Cascade(levels)
+    accepted = [r["key"] for r in parts.select("host", longest.alias("path")).mapInArrow(wrong, "key string").distinct().collect()]
+    return cascade_over(first, listed, accepted)
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", unlisted: str = UNLISTED) -> DataFrame:
@@ -182,7 +197,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str =
             listed = cascade.has(key_hashes(flat)) if flat and cascade.levels else np.zeros(len(flat), bool)
             names, at = [], 0
             for ks in keys:
-                fits = [k for k, x in zip(ks, listed[at:at + len(ks)], strict=True) if x]
+                fits = [k for k, x in zip(ks, listed[at:at + len(ks)], strict=True) if x and k not in cascade.clashing]
                 names.append(max(fits, key=len) if fits else None)
                 at += len(ks)
             yield pa.RecordBatch.from_arrays(

@@ -208,18 +208,20 @@ def test_urls(spark):
 
 
 def test_cascade_is_exact_over_its_universe():
-    yes, no = url_filter.key_hashes([f"y{i}" for i in range(50)]), url_filter.key_hashes([f"n{i}" for i in range(5000)])
-    levels, a, b = [url_filter.Bloom(yes, 0.3, 0)], yes, no
-    b = b[levels[0].has(b)]
-    while len(b):
-        levels.append(url_filter.Bloom(b, 0.5, len(levels)))
-        a = a[levels[-1].has(a)]
-        if not len(a):
-            break
-        levels.append(url_filter.Bloom(a, 0.5, len(levels)))
-        b = b[levels[-1].has(b)]
-    cascade = url_filter.Cascade(levels)
-    assert len(levels) > 2 and cascade.has(yes).all() and not cascade.has(no).any()
+    listed, others = [f"y{i}" for i in range(50)], [f"n{i}" for i in range(5000)]
+    yes, no = url_filter.key_hashes(listed), url_filter.key_hashes(others)
+    first = url_filter.Bloom(yes, 0.3, 0)
+    cascade = url_filter.cascade_over(first, listed, [k for k, x in zip(others, first.has(no), strict=True) if x])
+    assert len(cascade.levels) > 2 and cascade.has(yes).all() and not cascade.has(no).any() and not cascade.clashing
+
+
+def test_cascade_ends_where_an_unlisted_key_has_a_listed_hash(monkeypatch):
+    plain = url_filter.key_hashes
+    monkeypatch.setattr(url_filter, "key_hashes", lambda keys: plain([k.removesuffix("twin") for k in keys]))
+    listed = ["a", "b"]
+    first = url_filter.Bloom(url_filter.key_hashes(listed), 0.5, 0)
+    cascade = url_filter.cascade_over(first, listed, ["atwin", "c"])
+    assert cascade.clashing == {"atwin"} and cascade.has(url_filter.key_hashes(listed)).all()
 
 
 @given(st.lists(st.binary(min_size=1, max_size=400), min_size=1, max_size=5))
