@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytesops import Chunk, arrow_map, batches, lower_ascii, mix, split_words, text_chunks, xxh64
@@ -89,7 +89,8 @@ def counted(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> pa.
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, t: tuple[int, int] = (4, 5),
-                sample_share: int = 32, sample_rows: int = 4000, common_rows: int = 100_000, reach: int = 3) -> DataFrame:
+                sample_share: int = 32, sample_rows: int = 4000, common_rows: int = 100_000, reach: int = 3,
+                draws: int = 8, turns: int = 4) -> DataFrame:
     """One row per input row: doc_id, text_hash, component_id (the smallest doc_id reachable by links).
 
     Two texts are linked if the sets of their word shingles, A-Z lower-cased, have
@@ -97,8 +98,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sets and their members are told apart by 64-bit hashes.  One document in
     `sample_share` (all, up to `sample_rows`) shows which shingles are common; that
     only sets the order, as do the at most `common_rows` shingles it keeps.  First the
-    pairs that the SimHash trees find within `reach` bits are compared, and each value's
-    smallest set with the others; then the pairs that share enough values of their
+    pairs that the SimHash trees find within `reach` bits are compared, each value's
+    smallest set with the others, and in up to `turns` turns each set with `draws`
+    others of its most common value; then all pairs that share enough values of their
     prefixes and aren't connected yet.
     """
     spark = docs.sparkSession
@@ -173,13 +175,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         lead = first[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
         star = (size[lead] * t[1] >= size * t[0]) & (lead != np.arange(len(cls)))
+        held_by = np.diff(np.append(first, len(h)))[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
         for lo in range(0, len(h), 100_000):
             at = slice(lo, lo + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(cls[at]), pa.array(size[at]), pa.array(cls[lead[at]], mask=~star[at])], names=["h", "cls", "size", "lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(cls[at]), pa.array(size[at]), pa.array(held_by[at]), pa.array(cls[lead[at]], mask=~star[at])],
+                                             names=["h", "cls", "size", "held_by", "lead"])
 
-    # Each value's classes meet in one task; lead is the smallest set's class where the two may be similar.
+    # Each value's classes meet in one task, held_by of them; lead is the smallest set's class where the two may be similar.
     fronts = arrow_map(signed.select("cls", "size", "front"), deal, "slot int, h binary, cls binary, size binary")
-    shared = scratch.keep(arrow_map(fronts.repartitionById(slots, F.col("slot")), meet, "h bigint, cls bigint, size bigint, lead bigint"))
+    shared = scratch.keep(arrow_map(fronts.repartitionById(slots, F.col("slot")), meet, "h bigint, cls bigint, size bigint, held_by bigint, lead bigint"))
     stars = shared.where("lead IS NOT NULL").select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b"))
 
     def others(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +260,45 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alike = lookup(sketches.select("fp", "cls"), classes.where("n > 1").select("fp", F.col("cls").alias("x")), "fp").where("cls <> x")
     proposed = near.join(first, "a").join(second, "b").select("x", "y").union(alike.select("x", F.col("cls").alias("y")))
     proposed = proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = verify(proposed.union(stars))
+    # Of each class the value that most classes hold: where a large group of copies meets.
+    widest = scratch.keep(shared.groupBy("cls").agg(F.first("size").alias("size"), F.max(F.struct("held_by", "h")).alias("w")).select("cls", "size", "w.h", "w.held_by"))
+
+    def under(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """rows with each class's root so far."""
+        if roots is None:
+            return rows.withColumn("root", F.col("cls"))
+        return lookup(rows, roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    def drawn_pairs(turn: int, roots: DataFrame | None) -> DataFrame:
+        """Each class with the next `draws` ones of its widest value, in an order of this turn and in lots of about 1,000 classes; pairs of one root go.
+
+        Later turns are for values of which one root has a tenth of the classes and not all have met in turn 0.
+        """
+        rows = under(widest if roots is None else widest.where(F.col("held_by") > draws + 1), roots)
+        if roots is not None:
+            shares = rows.groupBy("h", "root").agg(F.count("*").alias("n"), F.first("held_by").alias("held_by"))
+            grown = shares.groupBy("h").agg(F.max("n").alias("n"), F.first("held_by").alias("held_by")).where("n > 1 AND n * 10 >= held_by")
+            rows = lookup(rows, scratch.keep(grown.select("h")), "h")
+        lots = rows.withColumn("lot", F.pmod(F.xxhash64(F.lit(turn), "cls"), F.ceil(F.col("held_by") / 1000)))
+        order = Window.partitionBy("h", "lot").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+        following = F.array(*(F.lead(F.struct("cls", "size", "root"), k).over(order) for k in range(1, draws + 1)))
+        met = lots.select("cls", "size", "root", following.alias("o")).withColumn("o", F.explode("o")).where("o IS NOT NULL AND root <> o.root")
+        fits = F.least("size", "o.size") * t[1] >= F.greatest("size", "o.size") * t[0]
+        return met.where(fits).select(F.least("cls", "o.cls").alias("a"), F.greatest("cls", "o.cls").alias("b"))
+
+    links = verify(proposed.union(stars).union(drawn_pairs(0, None)))
     roots = components(links, scratch)
-    rooted = lookup(shared.drop("lead"), roots.withColumnRenamed("node", "cls"), "cls", "left").select("h", "cls", "size", F.coalesce("root", "cls").alias("root"))
+    # A large group of copies grows together before all its other pairs are listed, so few of them are left to list.
+    for turn in range(1, turns):
+        pairs = scratch.keep(drawn_pairs(turn, roots).distinct())
+        found = verify(pairs)
+        n_found = found.count()
+        if n_found:
+            links = scratch.keep(links.union(found))
+            roots = components(links, scratch)
+        if n_found * 200 <= pairs.count():
+            break
+    rooted = under(shared.select("h", "cls", "size"), roots).select("h", "cls", "size", "root")
     pairs = arrow_map(rooted.repartition("h"), others, "a bigint, b bigint, sa bigint, sb bigint, n bigint")
     pairs = pairs.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("n").alias("n"))
     # The overlap must reach t / (1 + t) of both sizes; all of it but n lies behind the prefix that ends first.
