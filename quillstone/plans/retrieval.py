@@ -92,13 +92,13 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(spark, sf_dir, 20).select("vec_id", "label", "score", "rank")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
         s AS (SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)
         SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 30""")
 def vector_topk_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 30 nearest of every stored vector that serves as an example (ids divisible by 100: the stated query set)."""
+    """The 30 nearest of every stored vector that serves as an example (ids divisible by 50: the stated query set)."""
     vectors = table(spark, sf_dir, "embeddings")
-    examples = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    examples = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return search.vector_topk_join(vectors, examples, 30)
 
 
