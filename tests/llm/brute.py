@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -75,3 +77,64 @@ def exact(rows: list[tuple[int, str | None]]) -> dict[int, int]:
     for d, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(d)
     return {d: min(g) for g in groups.values() for d in g}
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    h = None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+
+
+def runs(words: list[bytes], least: int = 12) -> list[tuple[int, int, int]]:
+    """(start, length, period) of every maximal stretch, tried for each period in turn."""
+    found: dict[tuple[int, int], int] = {}
+    n = len(words)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(least, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = j
+    return sorted((s, e - s, q) for (s, e), q in found.items())
+
+
+def collapsed(words: list[bytes], found: list[tuple[int, int, int]]) -> bytes:
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return b" ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def periodic(doc_id: int | None, text: str | None) -> tuple:
+    words = planted(doc_id, WORD.findall((text or "").encode()))
+    found = runs(words)
+    best = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    listed = "".join(f"{s},{n},{q}\n" for s, n, q in sorted(found, key=lambda r: (r[0], r[2])))
+    return (len(found), *(best or (None, None, None)), best and 1000 * best[1] // best[2], sha(listed.encode()), sha(collapsed(words, found)))
+
+
+def importance(rows: list[tuple[int, str | None]], target: list[str | None]) -> dict[int, tuple]:
+    def features(text: str | None) -> tuple[int, list[int]]:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return len(words), [zlib.crc32(" ".join(words[i:i + n]).encode()) % 10_000 for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+    docs = {d: features(t) for d, t in rows}
+    s, t = Counter(b for _, f in docs.values() for b in f), Counter(b for x in target for b in features(x)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (big_s + 10_000) / ((s[b] + 1) * (big_t + 10_000)))) for b in range(10_000)]
+    out = {}
+    for d, (n, f) in docs.items():
+        h = int(sha(f"42:{d}".encode())[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out[d] = n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+    able = sorted((d for d in out if out[d][0] >= 20), key=lambda d: (-out[d][3], d))
+    rank = {d: i for i, d in enumerate(able[:5 * len(able) // 100], 1)}
+    return {d: (*x[1:], rank.get(d)) for d, x in out.items()}
