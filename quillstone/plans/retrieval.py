@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import answer, bundle, fusion, search, verify
+from quillstone.operators import answer, bundle, fusion, search, vector_index, verify
+from quillstone.operators.durable import new_folder
 
 from .registry import query, table, texts
 
@@ -92,14 +93,38 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_hits(spark, sf_dir, 20).select("vec_id", "label", "score", "rank")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
+#: The query set of the searches by example: every row whose id is divisible by 50, against all rows.
+EXAMPLES_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
         s AS (SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)
-        SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 30""")
+        SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 30"""
+
+
+def examples(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(EXAMPLES_SQL)
 def vector_topk_by_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 nearest of every stored vector that serves as an example (ids divisible by 50: the stated query set)."""
     vectors = table(spark, sf_dir, "embeddings")
-    examples = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return search.vector_topk_join(vectors, examples, 30)
+    return search.vector_topk_join(vectors, examples(vectors), 30)
+
+
+@query(EXAMPLES_SQL)
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an inverted-file index of all vectors, searched exactly."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vector_index.build_index(vectors, new_folder(spark, "vectors"))
+    return vector_index.index_topk(index, examples(vectors), 30, exact=True).drop("list")
+
+
+@query()
+def vector_index_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the lists that hold 95 % of the nearest of up to 64 of the examples, by codes first."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = vector_index.build_index(vectors, new_folder(spark, "vectors"))
+    probes = vector_index.tuned_probes(index, examples(vectors), 30)
+    return vector_index.index_topk(index, examples(vectors), 30, probes).drop("list")
 
 
 @query(f"WITH qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), {bm25_sql('kw', 'documents', 'qs', 10)} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM kw")
