@@ -143,7 +143,7 @@ class Field(NamedTuple):
 BLANK = Field(np.zeros(2, np.uint64), np.zeros(2), -REACH, np.zeros((2, 2)), 0.0, 1.0, -REACH)
 
 
-def fit_field(found: np.ndarray, tags: np.ndarray, begins: np.ndarray, rounds: int = 80, pull: float = 1e-4, slots: int = 1 << 18) -> Field:
+def fit_field(found: np.ndarray, tags: np.ndarray, begins: np.ndarray, rounds: int = 50, pull: float = 1e-4, slots: int = 1 << 18) -> Field:
     """Maximise the tags' likelihood by gradient steps (Adam) on the weights of the features seen, the tag weights and the bias, with an L2 pull."""
     seen, at = np.unique(found, return_inverse=True)
     at = at.reshape(found.shape)
@@ -266,7 +266,7 @@ def chain_arrays(chains: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return features(data, np.r_[0, ends[:-1] + 1], ends), tags, begins
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, chains: int = 15_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 2000, chains: int = 5_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """Fit on at most `sample_rows` toxic and 3 * `sample_rows` clean labelled documents that aren't held out, and at most 2 * `chains` of their sentences.
 
     Several labels of a document count as toxic if one is; null labels and ids don't
