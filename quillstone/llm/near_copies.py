@@ -202,7 +202,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 a, b = np.concatenate(held, axis=1)
                 yield counted(cls[a], cls[b], size[a], size[b])
                 held = []
-        if held:
+        if sum(x.shape[1] for x in held):
             a, b = np.concatenate(held, axis=1)
             yield counted(cls[a], cls[b], size[a], size[b])
 
