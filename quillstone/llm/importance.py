@@ -38,19 +38,41 @@ def feature_buckets(text: bytes, n: int, buckets: int) -> tuple[int, np.ndarray]
     return len(words), np.array(out, np.int64) % buckets
 
 
-def bucket_counts(texts: DataFrame, n: int, buckets: int) -> np.ndarray:
-    """Features in each bucket over all texts; each task sums its own first."""
+def bucketed(texts: DataFrame, n: int, buckets: int) -> DataFrame:
+    """texts (doc_id, text as binary) as doc_id, n_words and found: the features' buckets as little-endian numbers of two bytes, or four if there are over 65,536 buckets."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    width = number_type(buckets)
+
+    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = [feature_buckets(text.as_py() or b"", n, buckets) for text in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([w for w, _ in found], pa.int64()), pa.array([b.astype(width).tobytes() for _, b in found], pa.binary())],
+                                                 names=["doc_id", "n_words", "found"])
+
+    return arrow_map(texts.select("doc_id", "text"), scan, f"doc_id {kind}, n_words bigint, found binary")
+
+
+def number_type(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def bucket_counts(found: DataFrame, buckets: int) -> np.ndarray:
+    """Features in each bucket over all rows of a table of `bucketed`; each task sums its own first."""
+    width = number_type(buckets)
+
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in rows:
-            for text in batch.column(0):
-                np.add.at(total, feature_buckets(text.as_py() or b"", n, buckets)[1], 1)
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), width), minlength=buckets)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
     # At most one row a bucket comes to the driver.
-    for r in arrow_map(texts, count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in arrow_map(found.select("found"), count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -86,21 +108,22 @@ def importance_resample(docs: DataFrame, target: DataFrame, n: int = 3, buckets:
     spark = docs.sparkSession
     scratch = Scratch(spark, "importance")
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(text_col).cast("binary").alias("text"))
-    gain = gains(bucket_counts(texts, n, buckets), bucket_counts(target.select(F.col(target_col).cast("binary").alias("text")), n, buckets))
+    # Every text is scanned once; what follows reads the buckets.
+    found = scratch.keep(bucketed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")), n, buckets))
+    wanted = bucketed(target.select(F.lit(0).alias("doc_id"), F.col(target_col).cast("binary").alias("text")), n, buckets)
+    gain = gains(bucket_counts(found, buckets), bucket_counts(wanted, buckets))
+    width = number_type(buckets)
 
     def weigh(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = np.zeros((3, batch.num_rows), np.int64)
-            for i, text in enumerate(batch.column(1)):
-                words, found = feature_buckets(text.as_py() or b"", n, buckets)
-                out[:, i] = words, len(found), gain[found].sum()
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], names=["doc_id", "n_words", "n_features", "weight"])
+            held = [np.frombuffer(x.as_buffer(), width) for x in batch.column(2)]
+            sums = [pa.array([len(x) for x in held], pa.int64()), pa.array([int(gain[x].sum()) for x in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sums], names=["doc_id", "n_words", "n_features", "weight"])
 
-    sent = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    weighed = scratch.keep(arrow_map(sent, weigh, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint").withColumn("score", F.col("weight") + noise))
+    weighed = scratch.keep(arrow_map(found, weigh, f"doc_id {kind}, n_words bigint, n_features bigint, weight bigint").withColumn("score", F.col("weight") + noise))
+    scratch.free(found)
     able = weighed.where(F.col("n_words") >= min_words)
     drawn = able.count() * share[0] // share[1]
     rank = F.when(F.col("rank") <= drawn, F.col("rank")).cast("long").alias("rank")

@@ -97,6 +97,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+#: CRC-32 of a list of byte values: the reversed polynomial applied eight times a byte.
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], {0}),
+                     lambda x, c: list_reduce(list_concat([xor(x, c)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)"""
+ID_CRC = CRC.format("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)")
+TEXT_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda b: ('0x' || b)::BIGINT)"
+
+
+def feature_sql(name: str, key: str, table: str) -> str:
+    """CTEs <name>w (id, words) and <name> (id, feature f, its number c)."""
+    return rf"""
+        {name}w AS (SELECT {key} AS id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+               FROM {table}),
+        {name} AS (SELECT id, array_to_string(words[i + 1:i + n], ' ') AS f, count(*) AS c FROM (SELECT id, words, n, unnest(range(len(words) - n + 1)) AS i FROM {name}w, (VALUES (1), (2), (3)) k(n)) GROUP BY ALL)"""
+
+
 SQL: dict[str, str] = {
     "op2_substring_dedup": r"""
         WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
@@ -140,4 +155,41 @@ SQL: dict[str, str] = {
               FROM c JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM c LEFT JOIN m USING (page_id)
     """,
+    "op5_byte_shards": f"""
+        WITH t AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {CRC.format(TEXT_BYTES.format("coalesce(text, '')"))} AS text_crc32 FROM documents),
+        c AS (SELECT *, sum(size) OVER (ORDER BY doc_id) - size AS start, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id) AS n FROM t),
+        s AS (SELECT *, CAST(least(15, (2 * start + size) * 16 // (2 * total)) AS INT) AS shard FROM c)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INT) AS grown_shard FROM s
+    """,
+    "op11_periodic_runs": rf"""
+        WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words, {ID_CRC} AS h FROM documents),
+        g AS (SELECT *, h // 10 AS g, len(words) AS n FROM t),
+        p AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a, 3 + g % 8 AS times FROM g),
+        c AS (SELECT doc_id, CASE WHEN a IS NULL THEN words ELSE list_concat(words[1:a], flatten(list_transform(range(times), lambda k: words[a + 1:a + 1 + (n - a) // times])))[1:n] END AS ws FROM p),
+        w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM c),
+        k AS (SELECT doc_id, i, array_to_string(ws[i + 1:i + 6], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(len(ws) - 5)) AS i FROM c)),
+        e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.gram = y.gram AND x.i < y.i),
+        s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+        m AS (SELECT doc_id, q, min(i) AS lo, max(i) + 6 + q AS hi FROM s GROUP BY doc_id, q, island HAVING hi - lo >= greatest(12, 2 * q)),
+        r AS (SELECT doc_id, lo, hi, min(q) AS q FROM m GROUP BY doc_id, lo, hi),
+        b AS (SELECT doc_id, count(*) AS n_runs, min({{'l': lo - hi, 's': lo, 'q': q}}) AS best, string_agg(lo || ',' || (hi - lo) || ',' || q || chr(10), '' ORDER BY lo, q) AS listed FROM r GROUP BY doc_id),
+        x AS (SELECT DISTINCT doc_id, unnest(range(lo + q, hi)) AS i FROM r),
+        o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN x USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, -best.l AS length, best.q AS period, 1000 * -best.l // best.q AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+        FROM c LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)
+    """,
+    "op12_importance_resampling": rf"""
+        WITH {feature_sql('d', 'doc_id', 'documents')}, {feature_sql('b', 'item_id', 'benchmark')},
+        h AS (SELECT f, {CRC.format(TEXT_BYTES.format('f'))} % 10000 AS bucket FROM (SELECT f FROM d UNION SELECT f FROM b)),
+        s AS (SELECT bucket, sum(c) AS s FROM d JOIN h USING (f) GROUP BY bucket),
+        t AS (SELECT bucket, sum(c) AS t FROM b JOIN h USING (f) GROUP BY bucket),
+        g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000))))::BIGINT AS gain
+              FROM s FULL JOIN t USING (bucket)),
+        v AS (SELECT id, sum(c) AS n_features, sum(c * gain) AS weight FROM d JOIN h USING (f) JOIN g USING (bucket) GROUP BY id),
+        o AS (SELECT id AS doc_id, len(words) AS n, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                     (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296))))::BIGINT AS score FROM dw LEFT JOIN v USING (id)),
+        r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n >= 20 QUALIFY rank <= 5 * (SELECT count(*) FROM o WHERE n >= 20) // 100)
+        SELECT doc_id, n_features, weight, score, rank FROM o LEFT JOIN r USING (doc_id)
+    """,
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 import corpus_pipeline as cp
 from quillstone.llm.near_copies import near_copies
 
@@ -57,3 +59,31 @@ def test_pipeline_stage_drops_a_copy_with_one_changed_word(spark):
     want = groups(rows)
     got = dict(cp.STAGES)["near dedup"](spark, frame(spark, rows), "")
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(want.values()))
+
+
+def copies(n: int, seed: int, size: int = 200) -> list[str]:
+    """Texts of which each has one other word changed, so that any two are near copies."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    return [" ".join([*base[:i * 7 % size], f"x{i}", *base[i * 7 % size + 1:]]) for i in range(n)]
+
+
+def unrelated(n: int, seed: int = 3) -> list[str]:
+    rng = random.Random(seed)
+    return [" ".join(f"u{rng.randrange(10**7)}" for _ in range(30)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("texts", [copies(2, 1), copies(6, 2), unrelated(500) + copies(6, 4), unrelated(1), copies(60, 5) + copies(60, 6)], ids=["two", "six", "500 and six", "one", "two groups"])
+def test_few_rows_and_tasks_without_a_pair_to_list(spark, texts):
+    rows = list(enumerate(texts))
+    assert {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, rows)).collect()} == groups(rows)
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    a, b, c = copies(3, 7)
+    rows = [(5, a), (5, a), (None, b), (9, c), (None, None), (12, ""), (13, None)]
+    docs = spark.createDataFrame([(d, t, 1, "x", 2, 3) for d, t in rows], "doc_id long, text string, component_id int, cls string, text_hash int, root int")
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in near_copies(docs).collect())
+    assert got == [(0, 5), (0, 12), (5, 5), (5, 5), (9, 5), (12, 12), (13, 12)]
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert near_copies(empty).count() == 0
