@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.operators import answer, bundle, fusion, search, vector_index, verify
+from quillstone.operators import answer, bundle, fusion, keyword_index, search, vector_index, verify
 from quillstone.operators.durable import new_folder
 
 from .registry import query, table, texts
@@ -134,6 +134,16 @@ def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_bm25(texts(spark, sf_dir), queries, 10)
 
 
+@query(f"WITH qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), {bm25_sql('kw', 'documents', 'qs', 10)} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM kw")
+def keyword_index_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as keyword_bm25 from a stored inverted index, whose second half is appended to the first."""
+    docs = texts(spark, sf_dir).select("doc_id", "text")
+    index = keyword_index.build_keyword_index(docs.where("doc_id % 2 = 0"), new_folder(spark, "words"))
+    keyword_index.append_documents(index, docs.where("NOT doc_id % 2 <=> 0"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return keyword_index.keyword_topk(index, queries, 10)
+
+
 @query(f"WITH qs AS (SELECT 1 AS query_id, '{QUESTION}' AS query_text), {bm25_sql('kw', 'documents', 'qs', 50, True)} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM kw")
 def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that have every word of the question."""
