@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import manifest, profile, verify
+from quillstone.operators.durable import new_folder
+from quillstone.sources import keyed_table
 
 from .registry import query, table
 
@@ -195,3 +197,16 @@ def upsert_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     changed = table(spark, sf_dir, "labels").join(docs.select("doc_id"), "doc_id").select("doc_id", F.lit("new").alias("source"))
     return manifest.delete_by_ids(manifest.upsert(docs, changed), docs.where("doc_id % 3 = 0"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE lang END AS lang, source FROM documents WHERE doc_id % 11 <> 0
+        UNION ALL SELECT -1 - doc_id, 'added', source FROM documents WHERE doc_id % 13 = 0""")
+def keyed_upsert_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed table of all documents after an upsert of changed and added rows and a delete."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    kept = keyed_table.create(spark, new_folder(spark, "keyed"), docs.schema, "doc_id")
+    keyed_table.upsert(kept, docs)
+    added = docs.where("doc_id % 13 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), F.lit("added").alias("lang"), "source")
+    keyed_table.upsert(kept, docs.where("doc_id % 7 = 0").withColumn("lang", F.lit("changed")).union(added))
+    keyed_table.delete(kept, docs.where("doc_id % 11 = 0").select("doc_id"))
+    return keyed_table.read(spark, kept)
