@@ -16,6 +16,7 @@ from quillstone.llm.exact_dedup import distinct_texts
 from quillstone.llm.langid import UNKNOWN, identify, train
 from quillstone.llm.near_copies import near_copies
 from quillstone.llm.packing import pack_documents
+from quillstone.llm.scratch import Scratch
 from quillstone.llm.simhash import simhash_groups, text_hash
 from quillstone.llm.skew import without
 from quillstone.llm.suffix_dedup import without_repeats
@@ -80,8 +81,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
+    """Apply the stages to documents; what each leaves is written once, for the next one to read, and removed when that one's is written."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.only(kept)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
