@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from quillstone.functions.text import once, strip
+from quillstone.functions.text import normalize_text, once, strip
 
 DEFAULT_SIZE = 900
 #: Where a window may be cut, in order of preference.
@@ -54,71 +52,83 @@ def chunk_stats(rows: DataFrame) -> DataFrame:
                          F.count_if(F.col("n") > 1).alias("duplicate_hashes"))
 
 
-def split_text(text: str, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Cut each window after the last occurrence of the first separator it has (not at its start), else at its end.
+def end_of_window(window: Column, separators: Sequence[str]) -> Column:
+    """Characters of a window up to and with the last occurrence of the first separator it holds beyond its start; else all of them."""
+    ends = []
+    for s in separators:
+        kept = F.char_length(window) - F.char_length(F.substring_index(window, s, -1))
+        ends.append(F.when(F.contains(window, F.lit(s)) & (kept > len(s)), kept))
+    return F.coalesce(*ends, F.char_length(window))
 
-    The next window begins `overlap` before the cut, one character further on at least.
+
+def windows(text: Column, size: int, overlap: int, separators: Sequence[str] = SEPARATORS) -> Column:
+    """A stripped text as windows of at most `size` characters that end at separators; each next one begins `overlap` before the end, one character on at least.
+
+    Windows follow from one another, so they are a fold over a number of steps.  As a
+    rule twice the windows of full length will do; only texts that take more are folded
+    again with as many steps as they have characters.
     """
-    body = text.strip()
-    if len(body) <= size:
-        return [body] if body else []
-    out, start = [], 0
-    while True:
-        stop = min(start + size, len(body))
-        if stop < len(body):
-            found = next((at + len(s) for s in separators if s and (at := body.rfind(s, start, stop)) > start), None)
-            stop = found or stop
-        piece = body[start:stop].strip()
-        if piece:
-            out.append(piece)
-        if stop >= len(body):
-            return out
-        start = max(stop - overlap, start + 1)
+    def fold(steps: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            def grown(window: Column) -> Column:
+                final = state["start"] + size >= F.char_length(text)
+                end = F.when(final, F.char_length(window)).otherwise(end_of_window(window, separators))
+                piece = strip(F.substring(window, F.lit(1), end))
+                after = F.when(final, F.char_length(text)).otherwise(F.greatest(state["start"] + end - overlap, state["start"] + 1))
+                return F.struct(F.when(piece == "", state["pieces"]).otherwise(F.concat(state["pieces"], F.array(piece))).alias("pieces"), after.alias("start"))
+
+            return F.when(state["start"] >= F.char_length(text), state).otherwise(once(F.substring(text, state["start"] + 1, F.lit(size)), grown))
+
+        return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("start")), step)
+
+    few = (F.char_length(text) / max(1, size - overlap)).cast("int") * 2 + 4
+    return once(fold(few), lambda r: F.when(r["start"] >= F.char_length(text), r["pieces"]).otherwise(fold(F.char_length(text))["pieces"]))
 
 
 def separated(text: Column, size: int = 950, overlap: int = 120, threshold: int | None = None) -> Column:
-    """`split_text` over Arrow batches; texts up to `threshold` characters (the size if not given) stay whole and never reach Python."""
-    @pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_text(t or "", size, overlap))
+    """The stripped text's `windows`; texts up to `threshold` characters (the size if not given) stay whole, blank ones give none."""
+    def cut(s: Column) -> Column:
+        whole = F.char_length(s) <= (size if threshold is None else max(size, threshold))
+        return F.when(s == "", F.array().cast("array<string>")).when(whole, F.array(s)).otherwise(windows(s, size, overlap))
 
-    s = strip(text)
-    return F.when(F.char_length(s) <= (size if threshold is None else threshold), F.filter(F.array(s), lambda x: x != "")).otherwise(cut(s))
+    return once(strip(text), cut)
 
 
-def pack_segments(segments: Sequence[tuple[str, int]], size: int, overlap: int) -> list[tuple[str, int, int]]:
-    """Join (text, page) segments with an empty line while they fit; (text, first page, last page) of each chunk.
+def packed(segments: Column, size: int, overlap: int) -> Column:
+    """An array of (text, page) in order as chunks (text, first, last): neighbours are joined by an empty line while that has at most `size` characters.
 
-    A new chunk begins with the last `overlap` characters of the one before if that
-    and the segment fit; its first page is then the page where that one ended.
+    Else a chunk ends, and its last `overlap` characters, stripped, lead the next one if
+    they and the segment fit; that chunk's first page is the one where they come from.
     """
-    out: list[tuple[str, int, int]] = []
-    held: tuple[str, int, int] | None = None
-    for text, page in segments:
-        if held is None:
-            held = text, page, page
-        elif len(held[0]) + 2 + len(text) <= size:
-            held = f"{held[0]}\n\n{text}", held[1], page
-        else:
-            out.append(held)
-            tail = held[0][-overlap:].strip() if overlap > 0 else ""
-            seeded = f"{tail}\n\n{text}"
-            held = (seeded, held[2], page) if tail and len(seeded) <= size else (text, page, page)
-    return [*out, held] if held else out
+    chunk = "struct<text: string, first: int, last: int>"
+    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit(None).cast(chunk).alias("open"))
 
+    def of(text: Column, first: Column, last: Column) -> Column:
+        return F.struct(text.alias("text"), first.cast("int").alias("first"), last.cast("int").alias("last"))
 
-def packed_pages(pages: DataFrame, id_col: str, page_col: str = "page", text_col: str = "text", size: int = 950, overlap: int = 120) -> DataFrame:
-    """Pages of each document packed into chunks: (id, chunk_index, chunk, page_start, page_end)."""
-    kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, chunk_index int, chunk string, page_start int, page_end int"
+    def add(state: Column, segment: Column) -> Column:
+        done, held, page = state["done"], state["open"], segment["page"]
+        together = F.concat(held["text"], F.lit("\n\n"), segment["text"])
+        tail = strip(F.right(held["text"], F.lit(overlap)))
+        led = F.concat(tail, F.lit("\n\n"), segment["text"])
+        opened = F.when((tail != "") & (F.char_length(led) <= size), of(led, held["last"], page)).otherwise(of(segment["text"], page, page))
+        return (F.when(held.isNull(), F.struct(done.alias("done"), of(segment["text"], page, page).alias("open")))
+                .when(F.char_length(together) <= size, F.struct(done.alias("done"), of(together, held["first"], page).alias("open")))
+                .otherwise(F.struct(F.concat(done, F.array(held)).alias("done"), opened.alias("open"))))
+
+    return F.aggregate(segments, start, add, lambda r: F.when(r["open"].isNull(), r["done"]).otherwise(F.concat(r["done"], F.array(r["open"]))))
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        segments = [(piece, int(page)) for page, text in rows.sort_values(page_col)[[page_col, text_col]].itertuples(index=False)
-                    for piece in split_text(text or "", size, overlap)]
-        found = pack_segments(segments, size, overlap)
-        return pd.DataFrame([(rows[id_col].iloc[0], i, *c) for i, c in enumerate(found)], columns=[id_col, "chunk_index", "chunk", "page_start", "page_end"])
 
-    return pages.select(id_col, page_col, text_col).groupBy(id_col).applyInPandas(pack, schema)
+def packed_pages(pages: DataFrame, id_col: str, page_col: str = "page", text_col: str = "text", size: int = 950, overlap: int = 120) -> DataFrame:
+    """Pages of each document packed into chunks: (id, chunk_index, chunk, page_start, page_end).
+
+    Page texts are normalised and long ones cut where they are; a document's pieces, no longer than
+    `size` each, then meet in one row.  Pages of one number follow one another by their pieces.
+    """
+    cut = exploded(pages, separated(normalize_text(F.col(text_col)), size, overlap), [id_col, page_col], "piece")
+    lists = cut.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(page_col).cast("int").alias("page"), "chunk_index", F.col("piece").alias("text")))).alias("segments"))
+    out = exploded(lists, packed(F.col("segments"), size, overlap), [id_col])
+    return out.select(id_col, "chunk_index", F.col("chunk.text").alias("chunk"), F.col("chunk.first").alias("page_start"), F.col("chunk.last").alias("page_end"))
 
 
 def fan_out(products: DataFrame, id_col: str, fields: Sequence[str], threshold: int = 900) -> DataFrame:

@@ -33,14 +33,42 @@ def chunk_repeat_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.repeat_flags(chunking.chunks(table(spark, sf_dir, "documents"))).select("doc_id", "chunk_index", "is_repeat")
 
 
-@query()
+def cut_sql(name: str, source: str, keys: str, size: int = 950, overlap: int = 120) -> str:
+    """Recursive CTEs that end in `name` (keys, k, chunk) of `source` (keys, s: stripped texts that aren't empty); k counts from 0."""
+    ends = [f"CASE WHEN contains(w, {s}) AND length(w) - strpos(reverse(w), {s}) + 1 > length({s}) THEN length(w) - strpos(reverse(w), {s}) + 1 END"
+            for s in ("chr(10) || chr(10)", "chr(10)", *(f"'{x}'" for x in chunking.SEPARATORS[2:]))]
+    end = f"coalesce({', '.join(ends)}, length(w))"
+    return f"""
+        {name}_a AS (SELECT {keys}, s, 0 AS k, 0::BIGINT AS start, s[1:{size}] AS w, {size} >= length(s) AS final FROM {source}
+                     UNION ALL SELECT {keys}, s, k + 1, nxt, s[nxt + 1:nxt + {size}], nxt + {size} >= length(s)
+                     FROM (SELECT *, greatest(start + {end} - {overlap}, start + 1) AS nxt FROM {name}_a WHERE NOT final)),
+        {name}_b AS (SELECT {keys}, k, regexp_replace(CASE WHEN final THEN w ELSE w[1:{end}] END, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') AS chunk FROM {name}_a),
+        {name} AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY k) - 1 AS k, chunk FROM {name}_b WHERE chunk <> '')"""
+
+
+STRIPPED_SQL = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
+@query(f"WITH RECURSIVE t AS (SELECT doc_id, {STRIPPED_SQL.format('text')} AS s FROM documents WHERE s <> ''), {cut_sql('c', 't', 'doc_id')} SELECT doc_id, CAST(k AS INT) AS chunk_index, chunk FROM c")
 def chunk_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks cut at separators."""
     docs = table(spark, sf_dir, "documents")
     return chunking.exploded(docs, chunking.separated(F.col("text")), ["doc_id"])
 
 
-@query()
+NORMAL_SQL = STRIPPED_SQL.format(r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\f\x0B]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, {NORMAL_SQL} AS s FROM conversations WHERE s <> ''), {cut_sql('c', 't', 'conv_id, turn')},
+        g AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k, chunk) AS n, turn AS page, chunk AS text FROM c),
+        r AS (SELECT conv_id, n, text AS held, page AS first, page AS last, NULL::VARCHAR AS o, page AS o_first, page AS o_last FROM g WHERE n = 1
+              UNION ALL SELECT conv_id, n, CASE WHEN fits THEN joined WHEN led_fits THEN led ELSE text END, CASE WHEN fits THEN first WHEN led_fits THEN last ELSE page END, page,
+                               CASE WHEN NOT fits THEN held END, first, last
+              FROM (SELECT g.*, r.held, r.first, r.last, held || chr(10) || chr(10) || g.text AS joined, length(joined) <= 950 AS fits, {STRIPPED_SQL.format('right(held, 120)')} AS tail,
+                           tail || chr(10) || chr(10) || g.text AS led, tail <> '' AND length(led) <= 950 AS led_fits FROM r JOIN g ON g.conv_id = r.conv_id AND g.n = r.n + 1)),
+        e AS (SELECT conv_id, n, o AS chunk, o_first AS page_start, o_last AS page_end FROM r WHERE o IS NOT NULL
+              UNION ALL SELECT conv_id, n + 1, held, first, last FROM r QUALIFY n = max(n) OVER (PARTITION BY conv_id))
+        SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY n) - 1 AS INT) AS chunk_index, chunk, CAST(page_start AS INT) AS page_start, CAST(page_end AS INT) AS page_end FROM e""")
 def chunk_pages_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as paged documents: turns packed into chunks with their page ranges."""
     pages = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page"), "text")
@@ -147,7 +175,11 @@ def ordered_unique_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("p_brand").alias("k"), F.array_join("values", "|").alias("types"))
 
 
-@query()
+@query("""WITH f AS (SELECT p_partkey, unnest(['p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS field_name,
+                         trim(unnest([p_name, p_brand, p_type, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)])) AS value, unnest([1, 2, 3, 4, 5]) AS n FROM part),
+        r AS (SELECT p_partkey, count(*) FILTER (value <> '') <= 1 AS needs_review, coalesce(string_agg(field_name || '：' || value, chr(10) ORDER BY n) FILTER (value <> ''), '') AS whole FROM f GROUP BY p_partkey)
+        SELECT p_partkey, 'product_full' AS doc_type, 'full' AS field_name, 0 AS chunk_index, p_partkey || '__product_full' AS doc_id, whole AS text, needs_review FROM r
+        UNION ALL SELECT p_partkey, 'product_field', field_name, 0, p_partkey || '__field__' || field_name || '__001', value, needs_review FROM f JOIN r USING (p_partkey) WHERE value <> ''""")
 def product_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as documents: one of all fields and one per field."""
     return chunking.fan_out(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"])

@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.operators import bundle, chunking, entity, fusion, manifest, profile, providers, search
 
 
-def test_split_text_cuts_at_first_separator_in_order():
-    assert chunking.split_text("  short ", 10, 2) == ["short"]
-    # Cut after 。 at 5; the next window begins at 3 and is cut there again; the one from 4 reaches the end.
-    assert chunking.split_text("aaaa。bbbb cccc", 10, 2) == ["aaaa。", "a。", "。bbbb cccc"]
-    crawl = chunking.split_text("x" * 50 + " " + "y" * 2000, 950, 120)
-    assert len(crawl) > 50 and crawl[-1].endswith("y")
+def cut(spark, text: str | None, size: int, overlap: int, **options) -> list[str]:
+    return spark.createDataFrame([(text,)], "t string").select(chunking.separated(F.col("t"), size, overlap, **options).alias("c")).first()["c"]
 
 
-def test_pack_segments_keeps_pages():
-    packed = chunking.pack_segments([("a" * 40, 1), ("b" * 40, 2), ("c" * 90, 3)], 100, 5)
-    assert packed[0] == ("a" * 40 + "\n\n" + "b" * 40, 1, 2)
-    assert packed[1] == ("bbbbb\n\n" + "c" * 90, 2, 3)
+def test_split_text_cuts_at_first_separator_in_order(spark):
+    assert cut(spark, "  short ", 10, 2) == ["short"]
+    assert cut(spark, None, 10, 2) == cut(spark, " \n ", 10, 2) == []
+    # Cut after 。 at 5; the next window begins at 3 and is cut there again; the one from 4 reaches the end.
+    assert cut(spark, "aaaa。bbbb cccc", 10, 2) == ["aaaa。", "a。", "。bbbb cccc"]
+    crawl = cut(spark, "x" * 50 + " " + "y" * 2000, 950, 120)
+    assert len(crawl) > 50 and crawl[-1].endswith("y")
+    assert cut(spark, "a b " * 10, 10, 2, threshold=100) == [("a b " * 10).strip()]
+
+
+def test_windows_end_at_separators_and_cover_the_text(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh。，, \n") for _ in range(rng.randrange(0, 400))).strip() for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunking.separated(F.col("t"), 40, 10).alias("c")).collect()
+    for r in rows:
+        text, at, reached = texts[r["i"]], 0, 0
+        for piece in r["c"]:
+            assert len(piece) <= 40
+            at = text.index(piece, at)
+            assert text[reached:at].strip() == ""
+            reached = max(reached, at + len(piece))
+            assert reached == len(text) or any(text[reached - len(s):reached] == s for s in chunking.SEPARATORS) or text[reached] in " \n" or len(piece) == 40
+        assert text[reached:].strip() == ""
+
+
+def test_pack_segments_keeps_pages(spark):
+    def packed(segments: list[tuple[str, int]], size: int, overlap: int) -> list[tuple]:
+        rows = spark.createDataFrame([(segments,)], "s array<struct<text: string, page: int>>")
+        return [tuple(c) for c in rows.select(chunking.packed(F.col("s"), size, overlap).alias("c")).first()["c"]]
+
+    got = packed([("a" * 40, 1), ("b" * 40, 2), ("c" * 90, 3)], 100, 5)
+    assert got == [("a" * 40 + "\n\n" + "b" * 40, 1, 2), ("bbbbb\n\n" + "c" * 90, 2, 3)]
+    # Without an overlap, or where it doesn't fit, a chunk begins with its own page.
+    assert packed([("a" * 90, 1), ("c" * 95, 3)], 100, 5) == [("a" * 90, 1, 1), ("c" * 95, 3, 3)]
+    assert packed([("a" * 90, 1), ("c" * 20, 3)], 100, 0) == [("a" * 90, 1, 1), ("c" * 20, 3, 3)]
+    assert packed([], 100, 5) == []
 
 
 def test_sliding_last_chunk_may_be_contained(spark):
