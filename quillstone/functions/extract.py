@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from .text import SPACE, distinct_lines, first_nonblank, normalize_space, plain_key, safe_text, spaced_words, strip, truncate, without_signs
+from .text import SPACE, first_nonblank, normalize_space, normalize_text, plain_key, safe_text, spaced_words, strip, truncate, without_signs
 
 #: How product texts label these fields.
 LABELS = {
@@ -88,11 +88,21 @@ def text_quality(c: Column, characters: int = 200, ideographs: int = 40) -> Colu
     return (F.char_length(F.regexp_replace(s, rf"[{SPACE}]", "")) >= characters) & (F.regexp_count(s, F.lit("[一-鿿]")) >= ideographs)
 
 
+#: What an OCR line of at most three characters must not be.
+SHORT_NOISE = r"^([^\p{L}\p{N}]+|\d{1,4}|[A-Za-z]{1,2}|[A-Za-z0-9]{1,3})$"
+
+
+def ocr_noise(line: Column) -> Column:
+    """Whether a line, white space collapsed, is noise: blank, up to three characters that are signs, digits or Latin only, or a single other sign."""
+    n = F.char_length(line)
+    return (n == 0) | ((n <= 3) & line.rlike(SHORT_NOISE)) | ((n == 1) & ~line.rlike(r"[一-鿿A-Za-z0-9]"))
+
+
 def clean_ocr(c: Column, limit: int = 1500) -> Column:
-    """OCR lines without noise (single characters, signs only) and repeats, cut to `limit`."""
-    lines = F.filter(distinct_lines(c), lambda x: (F.char_length(x) > 1) & x.rlike(r"[\p{L}\p{N}]"))
+    """Normalised OCR lines without noise and repeats, cut to `limit`."""
+    lines = F.filter(F.array_distinct(F.transform(F.split(normalize_text(c), r"\n"), normalize_space)), lambda x: ~ocr_noise(x))
     s = F.array_join(lines, "\n")
-    return F.when(F.char_length(s) > limit, F.concat(F.substring(s, 1, limit), F.lit("..."))).otherwise(s)
+    return F.when(F.char_length(s) > limit, F.concat(F.regexp_replace(F.substring(s, 1, limit), rf"[{SPACE}]+$", ""), F.lit("..."))).otherwise(s)
 
 
 def brand_and_series(name: Column) -> Column:

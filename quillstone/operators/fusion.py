@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import strip, truncate
+from quillstone.functions.text import normalize_space, strip, truncate
 
 ROUTES = ("dense", "keyword", "image_text")
 
@@ -45,15 +45,20 @@ def route_maps(hits: DataFrame, k: int = 60) -> DataFrame:
             .agg(F.sum(1.0 / (k + F.col("rank"))).alias("route_score"), F.min("rank").alias("best_rank")))
 
 
+def first_arrivals(hits: DataFrame) -> DataFrame:
+    """Each product's distinct hits (told by route, document and image) as they first arrived, with their order `ord`."""
+    order = F.struct(route_order().alias("route_order"), F.col("rank"))
+    arrived = hits.where((strip(F.col("product_id")) != "") & (F.col("rank") > 0)).withColumn("ord", order)
+    return arrived.groupBy("product_id", "route", "doc_id", "image_id").agg(F.min_by(F.struct(*[c for c in arrived.columns]), "ord").alias("h")).select("h.*")
+
+
 def nested_hits(hits: DataFrame, most: int = 8, best_chars: int = 600) -> DataFrame:
     """Per product: its first `most` distinct hits, images and reports in arrival order, and the best text and image.
 
     A hit is told by route, document and image; an image by source and path.  Only
     the first rows of each product are gathered: ranks are cut before nesting.
     """
-    order = F.struct(route_order().alias("route_order"), F.col("rank"))
-    arrived = hits.where((strip(F.col("product_id")) != "") & (F.col("rank") > 0)).withColumn("ord", order)
-    once = arrived.groupBy("product_id", "route", "doc_id", "image_id").agg(F.min_by(F.struct(*[c for c in arrived.columns]), "ord").alias("h")).select("h.*")
+    once = first_arrivals(hits)
     with_text = once.where(F.coalesce(F.col("source_text"), F.lit("")) != "")
     within = Window.partitionBy("product_id").orderBy("ord")
     docs = (with_text.withColumn("n", F.row_number().over(within)).where(F.col("n") <= most).groupBy("product_id")
@@ -67,6 +72,42 @@ def nested_hits(hits: DataFrame, most: int = 8, best_chars: int = 600) -> DataFr
     return docs.join(pictures, "product_id", "full")
 
 
+#: What image and report resources take from a hit's metadata as it is.
+SOURCE_FIELDS = ("source_kind", "source_file", "source_doc_id", "source_sha1", "source_url", "chunk_index")
+
+
+def distinct_resources(rows: DataFrame, key: Sequence[str], fields: Sequence[Column], name: str, most: int) -> DataFrame:
+    """(product_id, name): the first `most` resources in arrival order, one for each key; keys without any text don't count."""
+    keyed = rows.where(F.concat(*(F.col(k) for k in key)) != "")
+    one = keyed.groupBy("product_id", *key).agg(F.min(F.struct("ord", *fields)).alias("r"))
+    numbered = one.withColumn("n", F.row_number().over(Window.partitionBy("product_id").orderBy("r"))).where(F.col("n") <= most)
+    listed = numbered.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("r").dropFields("ord").alias("r")))).alias("x"))
+    return listed.select("product_id", F.col("x.r").alias(name))
+
+
+def nested_resources(hits: DataFrame, most: int = 8) -> DataFrame:
+    """Per product its images and PDF reports in arrival order, the first report, and the first image's path and url.
+
+    hits have a map of texts `metadata`.  An image is told by source document and path, a
+    report (a hit of doc_type quality_report) by source document and file; at most `most`
+    of each are kept, and resources of which neither is known don't count.
+    """
+    def of(name: str) -> Column:
+        return normalize_space(F.try_element_at("metadata", F.lit(name)))
+
+    once = first_arrivals(hits)
+    known = once.select("product_id", "ord", of("doc_type").alias("doc_type"), *(of(f).alias(f) for f in SOURCE_FIELDS), of("page_start").alias("page_start"), of("page_end").alias("page_end"),
+                        of("supplement_title").alias("supplement_title"), of("image_url").alias("told_url"), *(normalize_space(F.col(c)).alias(c) for c in ("image_id", "image_path", "image_url")))
+    shown = known.where("image_id <> '' OR image_path <> ''").withColumn("image_url", F.coalesce(F.nullif("image_url", F.lit("")), "told_url"))
+    images = distinct_resources(shown, ["source_doc_id", "image_path"], [F.col(c) for c in ("image_id", "image_path", "image_url", *SOURCE_FIELDS)], "images", most)
+    told = known.where("doc_type = 'quality_report'").withColumn("pdf_path", F.col("source_file"))
+    fields = [F.col("source_doc_id"), F.col("pdf_path"), F.col("source_url").alias("pdf_url"), *(F.col(c) for c in ("source_kind", "source_file", "source_sha1", "chunk_index", "page_start", "page_end", "supplement_title"))]
+    reports = distinct_resources(told, ["source_doc_id", "pdf_path"], fields, "pdf_reports", most)
+    both = images.join(reports, "product_id", "full")
+    return both.select("product_id", "images", "pdf_reports", F.try_element_at("pdf_reports", F.lit(1)).alias("best_pdf_hit"),
+                       F.try_element_at("images", F.lit(1))["image_path"].alias("first_image_path"), F.try_element_at("images", F.lit(1))["image_url"].alias("first_image_url"))
+
+
 def rerank_order(candidates: DataFrame, top_n: int, epsilon: float = 1e-6) -> DataFrame:
     """Final order by rerank score in steps of epsilon (half to even), then route count, image-text hit, image path, fusion score, input rank.
 

@@ -87,6 +87,27 @@ def nested_first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.aggregate("doc_hits", F.lit(0).cast("long"), lambda s, h: s + h["doc_id"] * h["n"]).alias("order_sum"))
 
 
+@query(HITS_SQL + """, h AS (SELECT product_id, route_order * 1000 + rank AS o, 's' || doc_id % 5 AS sdoc, CASE WHEN doc_id % 3 = 0 THEN 'i' || doc_id ELSE '' END AS image_id,
+                 CASE WHEN doc_id % 3 = 0 THEN 'p' || doc_id % 4 ELSE '' END AS path, 'f' || doc_id % 7 AS file, doc_id % 2 = 0 AS report FROM hits),
+        i AS (SELECT product_id, sdoc, path, arg_min(image_id, o) AS id, min(o) AS o FROM h WHERE image_id <> '' GROUP BY ALL),
+        r AS (SELECT product_id, sdoc, file, min(o) AS o FROM h WHERE report GROUP BY ALL),
+        ii AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY o) AS n FROM i QUALIFY n <= 8), rr AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY o) AS n FROM r QUALIFY n <= 8),
+        iii AS (SELECT product_id, string_agg(id, ',' ORDER BY n) AS images, arg_min(path, n) AS first_image_path FROM ii GROUP BY product_id),
+        rrr AS (SELECT product_id, string_agg(sdoc || '/' || file, ',' ORDER BY n) AS reports, arg_min(file, n) AS best_report FROM rr GROUP BY product_id)
+        SELECT product_id, images, first_image_path, reports, best_report FROM iii FULL JOIN rrr USING (product_id)""")
+def nested_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images and reports of each product's hits, each once, in arrival order."""
+    d = F.col("doc_id")
+    shown = d % 3 == 0
+    told = {"doc_type": F.when(d % 2 == 0, "quality_report").otherwise("product_full"), "source_doc_id": F.concat(F.lit("s"), d % 5), "source_file": F.concat(F.lit("f"), d % 7)}
+    rows = hits(spark, sf_dir).withColumns({
+        "image_id": F.when(shown, F.concat(F.lit("i"), d)).otherwise(""), "image_path": F.when(shown, F.concat(F.lit("p"), d % 4)).otherwise(""), "image_url": F.lit(""),
+        "metadata": F.create_map(*(x for k, v in told.items() for x in (F.lit(k), v)))})
+    report = F.transform("pdf_reports", lambda r: F.concat_ws("/", r["source_doc_id"], r["pdf_path"]))
+    return fusion.nested_resources(rows).select("product_id", F.array_join("images.image_id", ",").alias("images"), "first_image_path", F.array_join(report, ",").alias("reports"),
+                                                F.col("best_pdf_hit.pdf_path").alias("best_report"))
+
+
 @query(f"WITH {VECTOR_SQL.format(20)} SELECT vec_id, label, score, CAST(rank AS INT) AS rank FROM vt")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors of largest inner product with vector 0."""

@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from quillstone.functions.extract import text_quality
 from quillstone.functions.ids import posix_path, sniff_media
-from quillstone.functions.text import normalize_space, normalize_text, strip
+from quillstone.functions.text import normalize_space, normalize_text, once, strip
 
 CORRUPT = "_corrupt_record"
 
@@ -131,13 +131,27 @@ def vector_dimension(df: DataFrame, column: str = "embedding") -> int | None:
 PREVIEW = "document_id string, title string, source_id string, text string, text_length int"
 
 
+def csv_records(raw: Column) -> Column:
+    """The records of a CSV text as arrays of cells; quoted cells may hold commas, doubled quotes and line ends; blank records go."""
+    lines = F.regexp_extract_all(F.concat(raw, F.lit("\n")), F.lit(r'((?:"(?:[^"]|"")*+"|[^"\r\n])*+)(?:\r\n|\n|\r)'), 1)
+
+    def cells(line: Column) -> Column:
+        found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'((?:\s*+"(?:[^"]|"")*+"[^,]*+)|[^,]*+),'), 1)
+        return F.transform(found, lambda c: F.when(strip(c).startswith('"'), F.replace(F.regexp_replace(strip(c), r'^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+
+    return F.transform(F.filter(lines, lambda x: strip(x) != ""), cells)
+
+
 def preview(kind: Column, raw: Column, title: Column, source_id: Column) -> Column:
     """Documents of a pasted source: plain text gives one, JSON one per object of a list, CSV one per row with `header：cell` lines."""
     items = F.coalesce(F.from_json(F.when(F.trim(raw).startswith("["), raw), "array<string>"), F.when(F.trim(raw).startswith("{"), F.array(raw)), F.array().cast("array<string>"))
-    lines = F.filter(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(x) != "")
-    head = F.split(F.try_element_at(lines, F.lit(1)), ",")
-    table = F.transform(F.slice(lines, 2, 1 << 30), lambda row: F.array_join(F.filter(F.zip_with(head, F.split(row, ","), lambda h, c: F.when(strip(c) != "", F.concat(strip(h), F.lit("："), strip(c)))), lambda x: x.isNotNull()), "\n"))
-    texts = F.when(kind == "json", items).when(kind == "csv", table).otherwise(F.array(raw))
+
+    def rows(records: Column) -> Column:
+        head = F.try_element_at(records, F.lit(1))
+        pairs = F.transform(F.slice(records, 2, 1 << 30), lambda row: F.zip_with(head, row, lambda h, c: F.when(strip(c) != "", F.concat(strip(h), F.lit("："), strip(c)))))
+        return F.transform(pairs, lambda p: F.array_join(F.filter(p, lambda x: x.isNotNull()), "\n"))
+
+    texts = F.when(kind == "json", items).when(kind == "csv", once(csv_records(raw), rows)).otherwise(F.array(raw))
     kept = F.filter(F.transform(texts, strip), lambda x: x != "")
     return F.transform(kept, lambda x, i: F.struct(F.format_string("%s__doc_%04d", source_id, i + 1).alias("document_id"), title.alias("title"), source_id.alias("source_id"), x.alias("text"),
                                                     F.char_length(x).alias("text_length")))
@@ -163,16 +177,28 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, ["xlsx", "xlsm"], content=True).select("path", "content").mapInPandas(cells, "path string, sheet string, row int, column int, value string")
 
 
+#: Words that headers have.
+HEADER_WORDS = ("产品", "包装", "规格", "档次", "定位", "图片", "渠道", "酒质", "酒厂", "寓意", "竞品", "卖点", "设计理念", "故事", "香型")
+
+
 def header_rows(cells: DataFrame, aliases: dict[str, str], first_rows: int = 10) -> DataFrame:
     """(path, sheet, header_row): the row of the first ten that best looks like a header.
 
-    +8 for each mapped header, -2 for each cell over 25 characters, -20 for a row of a single distinct value; at least 10 points and two mapped cells.
+    One point for each distinct text (12 at most), 8 for each mapped cell, 2 for each other
+    cell of up to 20 characters with a header's word, -2 for each of 50 or more; -20 for four
+    cells or more with at most two texts, -50 in all for six or more of one text.  The
+    first row of most points, then most mapped cells, with 10 points and two mapped cells.
     """
+    v = strip(F.col("value"))
     known = F.lower(normalize_space(F.col("value"))).isin(*aliases)
-    row = cells.where(F.col("row") <= first_rows).groupBy("path", "sheet", "row").agg(
-        F.count_if(known).alias("mapped"), F.count_if(F.char_length("value") > 25).alias("long"), F.countDistinct("value").alias("kinds"))
-    scored = row.withColumn("score", 8 * F.col("mapped") - 2 * F.col("long") - F.when(F.col("kinds") < 2, 20).otherwise(0)).where("mapped >= 2 AND score >= 10")
-    return scored.groupBy("path", "sheet").agg(F.max_by("row", F.struct("score", -F.col("row"))).alias("header_row"))
+    said = v.rlike("|".join(HEADER_WORDS)) & (F.char_length(v) <= 20)
+    row = cells.where((F.col("row") <= first_rows) & (v != "")).groupBy("path", "sheet", "row").agg(
+        F.count_if(known).alias("mapped"), F.count_if(~known & said).alias("said"), F.count_if(F.char_length(v) >= 50).alias("long"), F.countDistinct(v).alias("kinds"), F.count("*").alias("n"))
+    points = F.least("kinds", F.lit(12)) + 8 * F.col("mapped") + 2 * F.col("said") - 2 * F.col("long") - F.when((F.col("kinds") <= 2) & (F.col("n") >= 4), 20).otherwise(0)
+    one = (F.col("kinds") == 1) & (F.col("n") >= 6)
+    scored = row.select("path", "sheet", "row", F.when(one, -50).otherwise(points).alias("score"), F.when(one, 0).otherwise(F.col("mapped")).alias("mapped"))
+    best = scored.groupBy("path", "sheet").agg(F.max(F.struct("score", "mapped", (-F.col("row")).alias("up"))).alias("b"))
+    return best.where("b.score >= 10 AND b.mapped >= 2").select("path", "sheet", (-F.col("b.up")).alias("header_row"))
 
 
 def sheet_records(cells: DataFrame, aliases: dict[str, str], name_field: str = "product_name") -> DataFrame:

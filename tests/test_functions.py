@@ -89,3 +89,10 @@ def test_similarity(spark, a, b):
     got = value(spark, similarity(F.col("a"), F.col("b")), a=a, b=b)
     expected = 0.0 if not a or not b else 1.0 if a == b else 0.88 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
     assert got == pytest.approx(expected)
+
+
+def test_ocr_noise_lines(spark):
+    text = "净含量  500ml\n——\n12\nabc\nabcd\n中\n★\n----\n净含量 500ml\n12345\n酒精度\n"
+    got = spark.createDataFrame([(text,), ("",), (None,), ("ab" * 10,)], "t string").select(extract.clean_ocr(F.col("t")).alias("c"), extract.clean_ocr(F.col("t"), 5).alias("s")).collect()
+    assert got[0]["c"].split("\n") == ["净含量 500ml", "abcd", "中", "----", "12345", "酒精度"]
+    assert [r["c"] for r in got[1:3]] == ["", ""] and got[3]["s"] == "ababa..."

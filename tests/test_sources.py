@@ -65,6 +65,26 @@ def test_preview_router(spark):
     assert got[0] == ["a"] and len(got[1]) == 2 and got[2] == ["h1：x\nh2：y", "h2：z"] and got[3] == []
 
 
+def test_preview_of_quoted_cells(spark):
+    raw = 'name,"note, long"\r\n"Tea ""A""", plain \r\n"two\nlines",\r\n\r\nlast,"x"'
+    got = spark.createDataFrame([(raw,)], "raw string").select(readers.csv_records(F.col("raw")).alias("r"), readers.preview(F.lit("csv"), F.col("raw"), F.lit("t"), F.lit("s")).alias("d")).first()
+    assert got["r"] == [["name", "note, long"], ['Tea "A"', " plain "], ["two\nlines", ""], ["last", "x"]]
+    assert [d["text"] for d in got["d"]] == ['name：Tea "A"\nnote, long：plain', "name：two\nlines", "name：last\nnote, long：x"]
+
+
+def test_header_rows_by_their_points(spark):
+    def found(*rows: list[str]) -> int | None:
+        cells = [("f", "s", i, j, v) for i, row in enumerate(rows, 1) for j, v in enumerate(row, 1)]
+        got = readers.header_rows(spark.createDataFrame(cells, "path string, sheet string, row int, column int, value string"), {"品名": "product_name", "规格": "spec", "价格": "price"}).collect()
+        return got[0]["header_row"] if got else None
+
+    assert found(["基础资料", "x"], ["品名", "规格"], ["品名", "规格", "价格"]) == 3
+    assert found(["品名", "规格"], ["品名", "规格"]) == 1  # the first of equals
+    assert found(["品名", "a", "b"]) is None  # one mapped cell
+    assert found(["品名", "规格", "品名", "规格"], ["品名", "规格", "故事"]) == 2  # two texts in four cells: 2 + 32 - 20 against 3 + 16 + 2
+    assert found(["品名"] * 6) is None
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("1", ["a", "b"])], "id string, tags array<string>")
     sinks.csv(df, str(tmp_path / "csv"))
