@@ -39,6 +39,14 @@ def fused_order(fused: DataFrame) -> list[Column]:
     return [F.desc(F.round("score", 12)), F.col("first_seen"), F.col("product_id")]
 
 
+def fuse_queries(hits: DataFrame, most: int = 30, k: int = 60, query_id: str = "query_id") -> DataFrame:
+    """`fuse` for a table of queries: each query's `most` best products with final_rank, in the order of `fused_order`; hits say their query."""
+    found = (hits.where((strip(F.col("product_id")) != "") & (F.col("rank") > 0))
+             .groupBy(query_id, "product_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.array_sort(F.collect_set("route")).alias("routes"),
+                                                  F.min(F.struct(route_order().alias("route_order"), "rank")).alias("first_seen")))
+    return found.withColumn("final_rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*fused_order(found)))).where(F.col("final_rank") <= most)
+
+
 def route_maps(hits: DataFrame, k: int = 60) -> DataFrame:
     """(product_id, route, route_score, best_rank)."""
     return (hits.where((strip(F.col("product_id")) != "") & (F.col("rank") > 0)).groupBy("product_id", "route")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions import extract, ids, text
+from quillstone.functions import extract, ids, metadata, text
 from quillstone.operators import chunking, profile
 
 from .registry import query, table
@@ -183,3 +183,18 @@ def ordered_unique_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part as documents: one of all fields and one per field."""
     return chunking.fan_out(table(spark, sf_dir, "part"), "p_partkey", ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+
+
+@query("""WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN left(props, 5) WHEN 2 THEN '{"meta": ' || props || ', "tags": ["a", ' || user_id || '], "event_type": "told"}' ELSE '[' || props || ']' END AS m,
+                            CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS event_type FROM events),
+        o AS (SELECT *, CASE WHEN json_valid(m) AND json_type(CASE WHEN json_valid(m) THEN m ELSE '0' END) = 'OBJECT' THEN m ELSE '{}' END AS j FROM p)
+        SELECT event_id, coalesce(nullif(event_type, ''), json_extract_string(j, '$.event_type')) AS event_type, json_extract_string(j, '$.k') AS k,
+               CAST(json_extract_string(j, '$.meta.k') AS BIGINT) AS deep, json_extract_string(j, '$.tags[1]') AS tag FROM o""")
+def metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain, malformed, nested and listed metadata of every event, read by path and laid under the row."""
+    n, props = F.col("event_id") % 4, F.col("props")
+    nested = F.concat(F.lit('{"meta": '), props, F.lit(', "tags": ["a", '), F.col("user_id").cast("string"), F.lit('], "event_type": "told"}'))
+    m = F.when(n == 0, props).when(n == 1, F.substring(props, 1, 5)).when(n == 2, nested).otherwise(F.concat(F.lit("["), props, F.lit("]")))
+    rows = table(spark, sf_dir, "events").select("event_id", m.alias("m"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")).alias("event_type"))
+    out = metadata.overlaid(rows, "m", ["event_type", "k"]).withColumn("v", metadata.metadata(F.col("m")))
+    return out.select("event_id", "event_type", "k", metadata.field(F.col("v"), "$.meta.k", "bigint").alias("deep"), metadata.field(F.col("v"), "$.tags[1]").alias("tag"))

@@ -72,6 +72,31 @@ def rrf_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.row_number().over(Window.orderBy(*fusion.fused_order(top))).alias("final_rank"))
 
 
+def question_hits(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
+    """Both routes of every benchmark passage: by its words, and by the vector of its number."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    vectors, docs = table(spark, sf_dir, "embeddings"), texts(spark, sf_dir)
+    shown = asked.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
+    v = search.vector_topk_join(vectors, shown.select("query_id", "query_vector"), most).join(vectors.select("vec_id", "label"), "vec_id")
+    v = v.select("query_id", F.lit("dense").alias("route"), "rank", F.concat(F.lit("src"), F.col("label")).alias("product_id"))
+    k = search.keyword_bm25(docs, asked, most).join(docs.select("doc_id", "source"), "doc_id")
+    return v.unionByName(k.select("query_id", F.lit("keyword").alias("route"), "rank", F.col("source").alias("product_id")))
+
+
+@query(f"""WITH qs AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), {bm25_sql('kw', 'documents', 'qs', 50)},
+        qv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
+        vs AS (SELECT query_id, vec_id, label, round(list_inner_product(embedding::DOUBLE[], v), 6) AS score FROM embeddings, qv),
+        vt AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM vs QUALIFY rank <= 50),
+        hits AS (SELECT query_id, 'dense' AS route, 1 AS o, rank, 'src' || label AS product_id FROM vt UNION ALL SELECT query_id, 'keyword', 2, rank, source FROM kw JOIN documents USING (doc_id)),
+        f AS (SELECT query_id, product_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min({{'o': o, 'r': rank}}) AS seen, count(DISTINCT route) AS n_routes FROM hits GROUP BY ALL)
+        SELECT query_id, product_id, round(score, 6) AS score, CAST(n_routes AS INT) AS n_routes,
+               CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen, product_id) AS INT) AS final_rank FROM f QUALIFY final_rank <= 30""")
+def rrf_every_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search of all benchmark passages in one plan: each query's 30 best products."""
+    fused = fusion.fuse_queries(question_hits(spark, sf_dir))
+    return fused.select("query_id", "product_id", F.round("score", 6).alias("score"), F.size("routes").alias("n_routes"), "final_rank")
+
+
 @query(HITS_SQL + " SELECT product_id, route, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS route_score, CAST(min(rank) AS INT) AS best_rank FROM hits GROUP BY ALL")
 def rrf_route_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.route_maps(hits(spark, sf_dir)).withColumn("route_score", F.round("route_score", 6))
