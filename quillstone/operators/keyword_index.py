@@ -82,6 +82,61 @@ def build_keyword_index(docs: DataFrame, path: str, id_col: str = "doc_id", text
     return index
 
 
+#: Postings that are put into lists at a time.
+BATCH = 1 << 18
+
+
+def posting_lists(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (folder, term, segment, range, id, tf, len), sorted by term and segment, as rows of the index; a term's postings in a segment may span batches."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in rows:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BATCH:
+            table = pa.Table.from_batches(held).combine_chunks()
+            cut = int(starts(table)[-1])
+            if cut:
+                yield from lists_of(table.slice(0, cut))
+            held, n = table.slice(cut).to_batches(), table.num_rows - cut
+    if n:
+        yield from lists_of(pa.Table.from_batches(held).combine_chunks())
+
+
+def starts(table: pa.Table) -> np.ndarray:
+    """The first row of each term in a segment."""
+    term = table.column("term").combine_chunks().dictionary_encode()
+    codes = (term.combine_chunks() if isinstance(term, pa.ChunkedArray) else term).indices.to_numpy()
+    segment = table.column("segment").to_numpy()
+    return np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (segment[1:] != segment[:-1])])
+
+
+def lists_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows of the index from whole groups of postings."""
+    first = starts(table)
+    size = np.diff(np.append(first, table.num_rows))
+    group = np.repeat(np.arange(len(first)), size)
+    block = group * RANGES + table.column("range").to_numpy()
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    heads = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    tf, length = table.column("tf").to_numpy()[order], table.column("len").to_numpy()[order]
+    per_post = pa.array(np.append(first, table.num_rows).astype(np.int32))
+    per_block = pa.array(np.searchsorted(block[heads] // RANGES, np.arange(len(first) + 1)).astype(np.int32))
+    at = pa.array(first)
+
+    def lists(cuts: pa.Array, values: np.ndarray | pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(cuts, values if isinstance(values, pa.Array) else pa.array(values.astype(np.int32)))
+
+    ids = table.column("id").combine_chunks().take(pa.array(order))
+    columns = {
+        "segment": table.column("segment").combine_chunks().take(at), "term": table.column("term").combine_chunks().take(at), "df": pa.array(size.astype(np.int64)),
+        "ranges": lists(per_block, block[heads] % RANGES), "sizes": lists(per_block, np.diff(np.append(heads, len(block)))),
+        "most": lists(per_block, np.maximum.reduceat(tf, heads)), "shortest": lists(per_block, np.minimum.reduceat(length, heads)),
+        "ids": lists(per_post, ids), "tfs": lists(per_post, tf), "lens": lists(per_post, length), "folder": table.column("folder").combine_chunks().take(at)}
+    yield from pa.table(columns).to_batches(max_chunksize=1 << 14)
+
+
 def append_documents(index: KeywordIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Add documents as segments of their own; their ids mustn't be in the index (see remove_documents)."""
     spark = docs.sparkSession
@@ -93,14 +148,10 @@ def append_documents(index: KeywordIndex, docs: DataFrame, id_col: str = "doc_id
     rows = rows.select("id", "words", F.size("words").alias("len"), (F.lit(base) + F.pmod(h, F.lit(segments))).alias("segment"),
                        F.pmod(F.shiftright(h, 40), F.lit(RANGES)).cast("int").alias("range"))
     postings = term_counts(rows).withColumns({"folder": folder_of(F.col("term")), "lot": F.floor(F.col("segment") / LOT)})
-    dealt = postings.repartition("folder", "lot")  # both groupings below keep to this partitioning
-    blocks = dealt.groupBy("folder", "lot", "segment", "term", "range").agg(
-        F.max("tf").alias("most"), F.min("len").alias("shortest"), F.array_sort(F.collect_list(F.struct("id", "tf", "len"))).alias("p"))
-    lists = blocks.groupBy("folder", "lot", "segment", "term").agg(F.array_sort(F.collect_list(F.struct("range", "most", "shortest", "p"))).alias("b"))
-    flat = lists.select("segment", "term", "folder", "b", F.flatten("b.p").alias("p"))
-    out = flat.select("segment", "term", F.size("p").cast("long").alias("df"), F.col("b.range").alias("ranges"), F.transform("b", lambda x: F.size(x["p"])).alias("sizes"),
-                      F.col("b.most").alias("most"), F.col("b.shortest").alias("shortest"), F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"), "folder")
-    out.sortWithinPartitions("folder", "term", "segment").write.mode("append").partitionBy("folder").parquet(f"{index.path}/postings")
+    # All postings of a term in a segment lie together, whatever task holds them.
+    ordered = postings.repartition("folder", "lot").sortWithinPartitions("folder", "term", "segment").select("folder", "term", "segment", "range", "id", "tf", "len")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.postings(spark).schema.fields)
+    ordered.mapInArrow(posting_lists, schema).write.mode("append").partitionBy("folder").parquet(f"{index.path}/postings")
     # Documents are listed last: until then the new segments have no statistics and a repeated call takes other numbers.
     rows.select("segment", "id", "len").write.mode("append").parquet(f"{index.path}/documents")
 
