@@ -1,6 +1,7 @@
 """Training-data pipeline operators.
 
-Ten corpus operators (deduplication, URL filtering, sharding, media columns,
-tokenisation, language identification, packing).  Nothing else in the library
+Thirteen corpus operators (deduplication, URL filtering, sharding, media columns,
+tokenisation, language identification, packing, periodic runs, importance
+resampling, toxicity).  Nothing else in the library
 imports this subpackage; ``queries`` exposes them under the driver contract.
 """
