@@ -151,23 +151,26 @@ def encode_payloads(payloads: list[bytes], sizes: list[int]) -> list[bytes]:
 
 
 class Image(NamedTuple):
-    """What the markers of one file say, and its scan data."""
+    """What the markers of one file say (restart: MCUs an interval; dc, ac: a Huffman table for each component), and its scan data."""
 
     width: int
     height: int
     mcus: int
     payload_mcus: int
     quant0: int
+    restart: int
     dc: tuple
     ac: tuple
     scan: np.ndarray
 
 
 def parse(blob: bytes) -> Image:
-    """Walk the markers of a baseline file with three unsampled components."""
+    """Walk the markers of a baseline file with one scan of three unsampled 8-bit components; others raise ValueError."""
     if blob[:2] != bytes([0xFF, SOI]) or blob[-2:] != bytes([0xFF, EOI]):
         raise ValueError("not a JPEG file")
-    at, tables, quant, width, height, note = 2, {}, 1, 0, 0, b""
+    at, tables, steps, restart, note = 2, {}, {}, 0, b""
+    width = height = 0
+    parts: list[tuple[int, int]] = []
     while True:
         if blob[at] != 0xFF:
             raise ValueError("a marker is missing")
@@ -177,28 +180,50 @@ def parse(blob: bytes) -> Image:
         if marker == COM:
             note = body
         elif marker == DQT:
-            quant = body[1]
+            while body:
+                wide = body[0] >> 4
+                steps[body[0] & 15] = int.from_bytes(body[1:2 + wide], "big")
+                body = body[1 + 64 * (1 + wide):]
         elif marker == SOF0:
             height, width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             if body[0] != 8 or body[5] != 3 or any(body[7 + 3 * i] != 0x11 for i in range(3)):
                 raise ValueError("only three unsampled 8-bit components are read")
+            parts = [(body[6 + 3 * i], body[8 + 3 * i]) for i in range(3)]
         elif marker == DHT:
             while body:
                 n = sum(body[1:17])
                 tables[body[0]] = (tuple(body[1:17]), tuple(body[17:17 + n]))
                 body = body[17 + n:]
+        elif marker == DRI:
+            restart = int.from_bytes(body[:2], "big")
         elif marker == SOS:
             break
-        elif marker not in (DRI, *range(0xE0, 0xF0)):
+        elif marker not in range(0xE0, 0xF0):
             raise ValueError(f"marker {marker:02x} isn't baseline")
-    mcus = (width // 8) * (height // 8)
+    if len(body) != 10 or body[0] != 3 or [body[1 + 2 * i] for i in range(3)] != [i for i, _ in parts] or body[7:] != bytes([0, 63, 0]):
+        raise ValueError("only one scan of all components is read")
+    chosen = [body[2 + 2 * i] for i in range(3)]
+    try:
+        dc, ac = (tuple(tables[kind + part] for part in each) for kind, each in ((0x00, [c >> 4 for c in chosen]), (0x10, [c & 15 for c in chosen])))
+        step = steps[parts[0][1]]
+    except KeyError as missing:
+        raise ValueError(f"table {missing} isn't given") from missing
+    mcus = -(-width // 8) * -(-height // 8)
     stored = int(note.split()[3]) if note.startswith(b"payload ") else mcus
-    return Image(width, height, mcus, stored, quant, tables[0x00], tables[0x10], np.frombuffer(blob, np.uint8)[at:-2])
+    return Image(width, height, mcus, stored, step, restart or mcus, dc, ac, np.frombuffer(blob, np.uint8)[at:-2])
+
+
+def table_stack(images: list[Image]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The images' distinct Huffman tables as lookups, and each image's DC and AC table numbers by component."""
+    names = list(dict.fromkeys(t for i in images for t in (*i.dc, *i.ac)))
+    number = {t: n for n, t in enumerate(names)}
+    stack = np.stack([lookup(list(counts), list(symbols)) for counts, symbols in names])
+    return stack, *(np.array([[number[t] for t in kind] for kind in each]) for each in ([i.dc for i in images], [i.ac for i in images]))
 
 
 def decode_scans(images: list[Image]) -> list[np.ndarray]:
-    """Coefficients of each image, shape (MCUs, 192); images share Huffman tables."""
-    dc, ac = (lookup(list(c), list(s)) for c, s in (images[0].dc, images[0].ac))
+    """Coefficients of each image, shape (MCUs, 192); the restart intervals of all images are decoded side by side."""
+    stack, dc_of, ac_of = table_stack(images)
     data = np.concatenate([*(i.scan for i in images), np.zeros(1, np.uint8)])
     lengths = np.array([len(i.scan) for i in images])
     starts_of = np.cumsum(lengths) - lengths
@@ -208,23 +233,30 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
     drop = np.zeros(len(data), bool)
     drop[escape[after == 0] + 1] = True
     drop[restart] = drop[restart + 1] = True
+    mcus, per = (np.array([getattr(i, f) for i in images]) for f in ("mcus", "restart"))
+    intervals = -(-mcus // per)
+    if (np.searchsorted(restart, starts_of + lengths) - np.searchsorted(restart, starts_of) != intervals - 1).any():
+        raise ValueError("the scan has other restart intervals than its header says")
     begin = np.sort(np.concatenate([starts_of, restart + 2]))
     kept_before = np.concatenate([[0], np.cumsum(~drop)])
     begin = kept_before[begin]
     clean = np.concatenate([data[:-1][~drop[:-1]], np.full(16, 0xFF, np.uint8)])
     wide = (clean[:-3].astype(np.uint32) << 24) | (clean[1:-2].astype(np.uint32) << 16) | (clean[2:-1].astype(np.uint32) << 8) | clean[3:]
-    n = len(begin)
-    out = np.zeros((n, MCU), np.int16)
+    image = np.repeat(np.arange(len(images)), intervals)
+    nth = np.arange(len(image)) - (np.cumsum(intervals) - intervals)[image]
+    first = (np.cumsum(mcus) - mcus)[image] + nth * per[image]
+    count = np.minimum(per[image], mcus[image] - nth * per[image])
+    out = np.zeros((int(mcus.sum()), MCU), np.int16)
     bit = begin.astype(np.int64) * 8
-    place = np.zeros(n, np.int64)  # next coefficient of each MCU
-    rows = np.arange(n)
+    place = np.zeros(len(begin), np.int64)  # next coefficient of each interval
+    rows = np.arange(len(begin))
     while len(rows):
-        p, k = bit[rows], place[rows]
+        p, k, of = bit[rows], place[rows], image[rows]
         word = wide[p >> 3].astype(np.uint64) << np.uint64(8) | clean[(p >> 3) + 4]
         word = (word << (p & 7).astype(np.uint64)) & np.uint64(0xFFFFFFFFFF)  # 33 bits or more of the stream, left-aligned in 40
         top = (word >> np.uint64(24)).astype(np.int64)
-        is_dc = k % 64 == 0
-        entry = np.where(is_dc, dc[top], ac[top])
+        is_dc, part = k % 64 == 0, k // 64 % 3
+        entry = stack[np.where(is_dc, dc_of[of, part], ac_of[of, part]), top]
         if (entry == 0).any():
             raise ValueError("the scan has a code that no table holds")
         used, symbol = entry >> 8, entry & 255
@@ -234,19 +266,27 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
         eob = ~is_dc & (symbol == 0)
         zrl = ~is_dc & (symbol == 0xF0)
         to = k + run
+        if (~eob & (to // 64 != k // 64)).any():
+            raise ValueError("a run leaves its block")
         put = ~eob & ~zrl & (size > 0)
-        out[rows[put], to[put]] = value[put]
+        out[first[rows[put]] + to[put] // MCU, to[put] % MCU] = value[put]
         bit[rows] = p + used + size
         place[rows] = np.where(eob, (k // 64 + 1) * 64, to + 1)
-        rows = rows[place[rows] < MCU]
-    ends = np.cumsum([i.mcus for i in images])
+        rows = rows[(place[rows] < count[rows] * MCU) & (bit[rows] >> 3 < len(clean) - 16 + 1)]
+    if (place < count * MCU).any() or (-(-bit // 8) > np.append(begin[1:], len(clean) - 16)).any():
+        raise ValueError("the scan ends early")
+    # A DC coefficient is stored as its difference from the one before in its interval.
+    total = np.cumsum(out[:, ::64], axis=0, dtype=np.int64)
+    before = np.concatenate([np.zeros((1, 3), np.int64), total])[first]
+    out[:, ::64] = total - np.repeat(before, count, axis=0)
+    ends = np.cumsum(mcus)
     return [out[e - i.mcus:e] for i, e in zip(images, ends, strict=True)]
 
 
 def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:
     """DC-only luminance: one sample per MCU."""
     y = np.clip((coefficients[:, 0].astype(np.int64) * image.quant0 + 4) // 8 + 128, 0, 255)
-    return y.reshape(image.height // 8, image.width // 8).astype(np.uint8)
+    return y.reshape(-(-image.height // 8), -(-image.width // 8)).astype(np.uint8)
 
 
 def average_hash(thumb: np.ndarray) -> str:
