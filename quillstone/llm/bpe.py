@@ -46,7 +46,8 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, id_col: s
     """One row per input row: doc_id, ids array<int> and, if asked for, starts array<int>.
 
     starts holds the byte of the text at which each id begins.  Null texts count
-    as empty and have no ids.  Other columns are not read.
+    as empty and have no ids.  Null ids and repeated rows are encoded like any
+    other row.  Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

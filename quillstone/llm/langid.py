@@ -159,6 +159,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     Whole texts are read.  Null texts and texts without a letter get ``und`` with
     score 0, as does every text if no language was learnt.  Only text is an input.
+    Of languages of equal loss the first by name is taken; null ids and repeated rows
+    are judged like any other row.
     """
     sent = list(dict.fromkeys([id_col, text_col, *keep]))
     kinds = {c: docs.schema[c].dataType.simpleString() for c in sent}

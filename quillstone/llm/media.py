@@ -303,7 +303,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per input row: doc_id, n_bytes, media (a JPEG file).
 
     The payload is the text in UTF-8 (null: empty) with bytes 32 appended up to a
-    positive multiple of 192.
+    positive multiple of 192.  Null ids and repeated rows are stored like any other
+    row; other columns aren't read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -334,7 +335,8 @@ def slices(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
 def features(media: DataFrame) -> DataFrame:
     """One row per input row (doc_id, n_bytes, media): the payload read back, as digests, and the image's features.
 
-    feature is `width x height : average hash : CRC-32 of the thumbnail`.
+    feature is `width x height : average hash : CRC-32 of the thumbnail`.  Null ids and
+    repeated rows are read like any other row.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

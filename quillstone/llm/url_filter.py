@@ -181,6 +181,8 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str =
     rule's path; of fitting rules the one with the longest host and path wins.
     Urls without `://`, and null urls, have empty host and path and fit no rule.
     A url that fits none gets the cascade's answer for unlisted keys, `unlisted`.
+    Of equally long fitting rules the one with the longer path wins; of rules with the same
+    host and path the last one given.  Null ids and repeated rows are judged like any other row.
     """
     host, path = parsed(pages, url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
