@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import answer as answers
-from quillstone.operators import bundle, chunking, fusion, manifest, search
-from quillstone.operators.providers import HashProvider, Provider
+from quillstone.operators import bundle, chunking, fusion, keyword_index, manifest, search, vector_index
+from quillstone.operators.providers import HashProvider, Provider, with_retry
 
 #: Retrieval depths: dense, keyword and image-text hits, fused, reranked, answered.
 DEPTHS = {"dense": 50, "keyword": 50, "image_text": 30, "fused": 30, "reranked": 10, "answered": 5}
@@ -29,6 +29,9 @@ class Engine:
 
     text_docs: doc_id, product_id, doc_type, field_name, status, source_text, embedding.
     image_text_docs (optional): image_id, product_id, image_path, image_url, source_text, embedding.
+    text_vectors and text_words (optional): indexes of text_docs by doc_id, which the dense
+    and the keyword route then search instead of scanning the table; the hits are the same.
+    answer_model (optional): who writes the answer where the caller confirms it.
     """
 
     spark: SparkSession
@@ -38,6 +41,9 @@ class Engine:
     image_model: Provider | None = None
     image_index: DataFrame | None = None
     image_urls: DataFrame | None = None
+    text_vectors: vector_index.VectorIndex | None = None
+    text_words: keyword_index.KeywordIndex | None = None
+    answer_model: Provider | None = None
 
     def __post_init__(self) -> None:
         self.text_model = self.text_model or HashProvider()
@@ -46,16 +52,24 @@ class Engine:
     def health(self) -> dict[str, Any]:
         return {"ok": True, "spark": self.spark.version, "text_model": self.text_model.name, "has_images": self.image_text_docs is not None}
 
+    def text_hits(self, route: str, top: DataFrame) -> DataFrame:
+        """Ranked doc_ids as hits of a route, with their product and text; rows without a product go."""
+        found = top.join(self.text_docs.select("doc_id", "product_id", "source_text"), "doc_id").where("product_id <> ''")
+        return found.select(F.lit(route).alias("route"), "rank", "product_id", F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("image_id"), F.lit("").alias("image_path"),
+                            F.lit("").alias("image_url"), "source_text")
+
     def dense_route(self, query: str, k: int) -> DataFrame:
-        top = search.vector_topk(self.text_docs, self.text_model.embed([query])[0], k, "doc_id")
-        return top.where("product_id <> ''").select(F.lit("dense").alias("route"), "rank", "product_id", F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("image_id"),
-                                                    F.lit("").alias("image_path"), F.lit("").alias("image_url"), "source_text")
+        vector = self.text_model.embed([query])[0]
+        if self.text_vectors is not None:
+            asked = self.spark.createDataFrame([(1, vector)], "query_id int, query_vector array<double>")
+            return self.text_hits("dense", vector_index.index_topk(self.text_vectors, asked, k, exact=True, id_col="doc_id").select("doc_id", "rank"))
+        return self.text_hits("dense", search.vector_topk(self.text_docs, vector, k, "doc_id").select("doc_id", "rank"))
 
     def keyword_route(self, query: str, k: int) -> DataFrame:
         asked = self.spark.createDataFrame([(1, query)], "query_id int, query_text string")
-        top = search.keyword_bm25(self.text_docs, asked, k, "doc_id", "source_text").join(self.text_docs.select("doc_id", "product_id", "source_text"), "doc_id")
-        return top.where("product_id <> ''").select(F.lit("keyword").alias("route"), "rank", "product_id", F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("image_id"),
-                                                    F.lit("").alias("image_path"), F.lit("").alias("image_url"), "source_text")
+        if self.text_words is not None:
+            return self.text_hits("keyword", keyword_index.keyword_topk(self.text_words, asked, k).select("doc_id", "rank"))
+        return self.text_hits("keyword", search.keyword_bm25(self.text_docs, asked, k, "doc_id", "source_text").select("doc_id", "rank"))
 
     def image_route(self, query: str, k: int) -> DataFrame:
         return self.image_route_by_vector(self.image_model.embed([query])[0], k)
@@ -99,11 +113,22 @@ class Engine:
         return bundle.bundles(self.text_docs.join(wanted, "product_id", "left_semi"))
 
     def answer(self, query: str, top_k: int = DEPTHS["answered"], token: str = "") -> DataFrame:
-        """One row with the extractive answer; calling a model provider instead needs the confirmation."""
+        """One row with the answer: the model's where there is one and the caller confirms it, else, or if the model fails or says nothing, the extractive one.
+
+        The model gets the contexts of at most five products, 1,200 characters each.
+        """
         if not 1 <= top_k <= 10:
             raise ValueError("top_k must be 1 to 10")
         best = self.rerank(query).where(F.col("final_rank") <= min(top_k, DEPTHS["answered"])).drop("product_rank").withColumnRenamed("final_rank", "product_rank")
-        return answers.extractive_answer(best)
+        if self.answer_model is None or not token:
+            return answers.extractive_answer(best)
+        confirm("answer", token)
+        told = answers.context(best).select("product_rank", "context_text").orderBy("product_rank").collect()
+        try:
+            said = with_retry(lambda: self.answer_model.answer(query, "\n\n".join(r["context_text"] for r in told)), sleep=0.1) if told else ""
+        except Exception:  # whatever the service raises, the offline answer stands in for it
+            said = ""
+        return self.spark.createDataFrame([(said.strip(),)], "answer string") if said and said.strip() else answers.extractive_answer(best)
 
     def search_by_image(self) -> dict[str, Any]:
         """Not offered: like the interface it follows, this only says so."""
