@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from quillstone.operators import answer as answers
 from quillstone.operators import bundle, chunking, fusion, keyword_index, manifest, search, vector_index
 from quillstone.operators.providers import HashProvider, Provider, with_retry
+from quillstone.sources import readers, sinks
 
 #: Retrieval depths: dense, keyword and image-text hits, fused, reranked, answered.
 DEPTHS = {"dense": 50, "keyword": 50, "image_text": 30, "fused": 30, "reranked": 10, "answered": 5}
 #: Words that actions which write or call models must be given.
 TOKENS = {"embed": "YES_EMBED", "push": "YES_PUSH", "answer": "YES_ANSWER"}
 
+#: What a run's report says.
+RUN_MESSAGES = {"mode": "v1 页面暂不开放真实入库，请走后续确认版本", "preflight": "preflight blocked，禁止执行入库", "done": "dry-run 完成，未写入向量库"}
+
 
 def confirm(action: str, token: str) -> None:
     if token != TOKENS[action]:
@@ -143,6 +147,20 @@ class StagedIngest:
     size: int = chunking.DEFAULT_SIZE
     overlap: int = 120
 
+    def parse(self, sources: DataFrame) -> DataFrame:
+        """Documents of pasted sources (kind: text, json or csv; raw, title, source_id): document_id, title, source_id, text, text_length."""
+        made = readers.preview(F.col("kind"), F.col("raw"), F.col("title"), F.col("source_id"))
+        sound = F.col("kind").isin("text", "csv") | ((F.col("kind") == "json") & F.try_parse_json("raw").isNotNull())
+        return sources.where(sound).select(F.explode(made).alias("d")).select("d.*")
+
+    def problems(self, sources: DataFrame) -> DataFrame:
+        """(source_id, problem) of the sources that give no documents: empty, malformed or unsupported."""
+        raw, kind = F.coalesce("raw", F.lit("")), F.coalesce("kind", F.lit(""))
+        valid = F.try_parse_json(raw).isNotNull()
+        problem = (F.when(~kind.isin("text", "json", "csv"), "unsupported").when(F.trim(raw) == "", "empty").when((kind == "json") & ~valid, "malformed")
+                   .when(F.size(readers.preview(kind, raw, F.lit(""), F.lit(""))) == 0, "empty"))
+        return sources.select("source_id", problem.alias("problem")).where("problem IS NOT NULL")
+
     def chunks(self, documents: DataFrame) -> DataFrame:
         """documents: document_id, source_id, text."""
         cut = chunking.chunks(documents, "document_id", "text", self.size, self.overlap).join(documents.select("document_id", "source_id"), "document_id")
@@ -161,3 +179,24 @@ class StagedIngest:
                   "documents_check": blocked(F.col("documents") == 0), "chunks_check": blocked(F.coalesce("chunk_count", F.lit(0)) == 0), "source_check": blocked(F.col("missing_source") > 0),
                   "empty_check": blocked(F.coalesce("empty_text", F.lit(0)) > 0), "duplicate_check": F.when(F.col("duplicate_hashes") > 0, "warning").otherwise("pass")}
         return one.withColumns(checks).withColumn("status", manifest.severity(*(F.col(c) for c in checks)))
+
+    def report(self, batch_id: str, sources: DataFrame, target: str, started_at: str, run_mode: str = "dry_run") -> DataFrame:
+        """One row about a run of all stages: its status and message, documents, problems, chunks and the checks' status; nothing is embedded, pushed or deleted."""
+        documents = self.parse(sources)
+        checked = self.preflight(documents, target, run_mode).select("documents", F.coalesce("chunk_count", F.lit(0)).alias("chunks"), F.col("status").alias("preflight_status"))
+        one = checked.crossJoin(self.problems(sources).agg(F.count("*").alias("problems")))  # single rows
+        blocked = F.when(F.lit(run_mode != "dry_run"), RUN_MESSAGES["mode"]).when(F.col("preflight_status") == "blocked", RUN_MESSAGES["preflight"])
+        return one.select(F.lit(batch_id).alias("batch_id"), F.lit(started_at).alias("started_at"), F.lit(run_mode).alias("run_mode"), F.lit(target).alias("target"),
+                          F.when(blocked.isNull(), "success").otherwise("blocked").alias("status"), F.coalesce(blocked, F.lit(RUN_MESSAGES["done"])).alias("message"),
+                          "documents", "problems", "chunks", "preflight_status", *(F.lit(False).alias(c) for c in ("embedding_called", "push_executed", "delete_executed")))
+
+    def run(self, root: str, batch_id: str, sources: DataFrame, target: str, started_at: str, run_mode: str = "dry_run") -> DataFrame:
+        """Write a batch's documents, chunks and report below root, stage by stage, and return the report."""
+        documents = self.parse(sources)
+        sinks.artifact(documents, root, batch_id, "documents")
+        sinks.artifact(self.chunks(documents), root, batch_id, "chunks")
+        return self.spark.read.json(sinks.artifact(self.report(batch_id, sources, target, started_at, run_mode), root, batch_id, "run"))
+
+    def runs(self, root: str, n: int = 20) -> DataFrame:
+        """The n latest runs' reports."""
+        return sinks.last_runs(self.spark.read.json(f"{root.rstrip('/')}/*/run"), n)
