@@ -7,7 +7,8 @@ document, which bound what the block can add to a score whatever the corpus's
 statistics have become.  Rows lie in folders by a hash of the term and are sorted by
 term, so a search reads the blocks of its own words and never the documents.  In a
 segment a query takes the ranges of the largest summed bounds first and leaves those
-that can't reach its k-th score.
+that can't reach its k-th score.  The documents themselves are the postings of an empty
+term, with their lengths for frequencies, so one write adds a segment whole.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quillstone.functions.text import tokens
 SEGMENT, RANGES, FOLDERS, LOT = 8192, 64, 64, 64
 #: Query terms that are broadcast at a time, and how many are pushed down to the scan as a list.
 TERMS, PUSHED = 200_000, 2000
+#: The term that every document has.
+EVERY = ""
 #: Scores are compared after rounding to six digits, so bounds leave room for that.
 SLACK = 2e-6
 
@@ -37,13 +40,18 @@ class KeywordIndex(NamedTuple):
     id_type: str
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        schema = (f"segment long, term string, df long, ranges array<int>, sizes array<int>, most array<int>, shortest array<int>, "
+        schema = (f"segment long, term string, df long, total long, ranges array<int>, sizes array<int>, most array<int>, shortest array<int>, "
                   f"ids array<{self.id_type}>, tfs array<int>, lens array<int>, folder int")
         return spark.read.schema(schema).parquet(f"{self.path}/postings")
 
     def documents(self, spark: SparkSession) -> DataFrame:
         """segment, id, len of every document ever added."""
-        return spark.read.schema(f"segment long, id {self.id_type}, len int").parquet(f"{self.path}/documents")
+        rows = self.segments(spark).select("segment", F.explode(F.arrays_zip("ids", "lens")).alias("d"))
+        return rows.select("segment", F.col("d.ids").alias("id"), F.col("d.lens").alias("len"))
+
+    def segments(self, spark: SparkSession) -> DataFrame:
+        """The rows of the empty term: df documents of total length in each segment."""
+        return self.postings(spark).where((F.col("folder") == folder_of(F.lit(EVERY))) & (F.col("term") == EVERY))
 
     def gone(self, spark: SparkSession) -> DataFrame:
         """segment, id, len of the documents that were removed."""
@@ -55,7 +63,7 @@ def folder_of(term: Column) -> Column:
 
 
 def term_counts(words: DataFrame) -> DataFrame:
-    """words (an array column `words` beside others) with one row per distinct word and its number `tf`; documents without words go.
+    """words (an array column `words` beside others) with one row per distinct word and its number `tf`, and one for EVERY with all words' number.
 
     Words are sorted within their document and the lengths of equal stretches taken, so nothing is shuffled.
     """
@@ -66,8 +74,9 @@ def term_counts(words: DataFrame) -> DataFrame:
     first = ordered.select("*", F.zip_with("s", before, lambda a, b: ~a.eqNullSafe(b)).alias("new"))
     heads = first.select("*", F.filter(F.transform("new", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()).alias("heads"))
     after = F.concat(F.slice("heads", F.lit(2), F.size("heads")), F.array(F.size("s")))
-    counted = heads.select(*keep, F.array_distinct("s").alias("term"), F.zip_with("heads", after, lambda i, j: j - i).alias("tf"))
-    pairs = counted.select(*keep, F.explode(F.arrays_zip("term", "tf")).alias("p"))
+    counted = heads.select(*keep, "s", F.array_distinct("s").alias("term"), F.zip_with("heads", after, lambda i, j: j - i).alias("tf"))
+    every = F.array(F.struct(F.lit(EVERY).alias("term"), F.size("s").alias("tf")))
+    pairs = counted.select(*keep, F.explode(F.concat(every, F.arrays_zip("term", "tf"))).alias("p"))
     return pairs.select(*keep, "p.term", "p.tf").where("term IS NOT NULL")
 
 
@@ -75,8 +84,7 @@ def build_keyword_index(docs: DataFrame, path: str, id_col: str = "doc_id", text
     """Index all documents in `path`, a new folder that all executors share.  Rows without an id aren't indexed; ids must differ."""
     spark = docs.sparkSession
     index = KeywordIndex(path, docs.schema[id_col].dataType.simpleString())
-    for name in ("documents", "gone"):
-        spark.createDataFrame([], f"segment long, id {index.id_type}, len int").write.parquet(f"{path}/{name}")
+    spark.createDataFrame([], f"segment long, id {index.id_type}, len int").write.parquet(f"{path}/gone")
     spark.createDataFrame([], "segment long").write.parquet(f"{path}/postings")
     append_documents(index, docs, id_col, text_col)
     return index
@@ -131,6 +139,7 @@ def lists_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
     ids = table.column("id").combine_chunks().take(pa.array(order))
     columns = {
         "segment": table.column("segment").combine_chunks().take(at), "term": table.column("term").combine_chunks().take(at), "df": pa.array(size.astype(np.int64)),
+        "total": pa.array(np.add.reduceat(tf, first, dtype=np.int64)),
         "ranges": lists(per_block, block[heads] % RANGES), "sizes": lists(per_block, np.diff(np.append(heads, len(block)))),
         "most": lists(per_block, np.maximum.reduceat(tf, heads)), "shortest": lists(per_block, np.minimum.reduceat(length, heads)),
         "ids": lists(per_post, ids), "tfs": lists(per_post, tf), "lens": lists(per_post, length), "folder": table.column("folder").combine_chunks().take(at)}
@@ -141,7 +150,7 @@ def append_documents(index: KeywordIndex, docs: DataFrame, id_col: str = "doc_id
     """Add documents as segments of their own; their ids mustn't be in the index (see remove_documents)."""
     spark = docs.sparkSession
     known = docs.where(F.col(id_col).isNotNull())
-    base = (index.documents(spark).agg(F.max("segment")).first()[0] or 0) + 1
+    base = (index.segments(spark).agg(F.max("segment")).first()[0] or 0) + 1
     segments = max(1, -(-known.count() // SEGMENT))
     h = F.xxhash64(F.col("id"))
     rows = known.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
@@ -152,8 +161,6 @@ def append_documents(index: KeywordIndex, docs: DataFrame, id_col: str = "doc_id
     ordered = postings.repartition("folder", "lot").sortWithinPartitions("folder", "term", "segment").select("folder", "term", "segment", "range", "id", "tf", "len")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.postings(spark).schema.fields)
     ordered.mapInArrow(posting_lists, schema).write.mode("append").partitionBy("folder").parquet(f"{index.path}/postings")
-    # Documents are listed last: until then the new segments have no statistics and a repeated call takes other numbers.
-    rows.select("segment", "id", "len").write.mode("append").parquet(f"{index.path}/documents")
 
 
 def remove_documents(index: KeywordIndex, ids: DataFrame, id_col: str = "doc_id") -> None:
@@ -243,14 +250,15 @@ def block_topk(index: KeywordIndex, asked: DataFrame, k: int, all_terms: bool, i
     held = [(r["query"], r["terms"]) for r in asked.collect()]
     terms = sorted({t for _, ts in held for t in ts})
     gone = index.gone(spark)
-    stats = index.documents(spark).select("len", F.lit(1).alias("n")).union(gone.select(-F.col("len"), F.lit(-1))).agg(F.sum("n").alias("n"), F.sum("len").alias("total")).first()
-    n_docs = stats["n"] or 0
-    average = (stats["total"] or 0) / n_docs if n_docs else 0.0
+    lost = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total")).first()
+    stats = index.segments(spark).agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+    n_docs = stats["n"] - lost["n"]
+    average = (stats["total"] - lost["total"]) / n_docs if n_docs else 0.0
     names = spark.createDataFrame([(t,) for t in terms], "term string")
     folders = [r[0] for r in names.select(folder_of(F.col("term"))).distinct().collect()]
     rows = index.postings(spark).where(F.col("folder").isin(folders))
     rows = rows.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else rows.join(F.broadcast(names), "term", "left_semi")
-    removed = gone.limit(1).count() > 0
+    removed = lost["n"] > 0
     df = rows.groupBy("term").agg(F.sum("df").alias("df"))
     if removed:
         # Postings of removed documents don't count; only segments that have some are opened for it.
