@@ -68,7 +68,7 @@ def ordered_unique(rows: DataFrame, key: str, value: str, order: Sequence[str])
     return firsts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias("values"))
 
 
-#: Retention rules in order: test on the path, category, action.
+#: Retention rules in order, a test on the path, category and action.
 RETENTION = (
     (r"^(src|web|config|docs)/", "protected", "keep"),
     (r"^scripts/.*\.py$", "protected", "keep"),
