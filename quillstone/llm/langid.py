@@ -146,12 +146,16 @@ def train(docs: DataFrame, sample_rows: int = 2400, id_col: str = "doc_id", text
                      pa.array([h[s].astype("<i4").tobytes() for h, s in zip(hist, sparse, strict=True)], pa.binary())],
                     names=["lang", "slots", "counts"])
 
-    got = arrow_map(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, slots binary, counts binary").collect()
-    counts = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        counts[i, np.frombuffer(r["slots"], "<i4")] = np.frombuffer(r["counts"], "<i4")
-    order = np.lexsort((counts.sum(1), [r["lang"] for r in got])) if got else np.zeros(0, int)
-    return fit(counts[order], [got[i]["lang"] for i in order])
+    got = arrow_map(drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), count, "lang string, slots binary, counts binary").toArrow()
+    langs = got.column("lang").to_pylist()
+    sparse = [(np.frombuffer(s.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<i4")) for s, c in zip(got.column("slots"), got.column("counts"), strict=True)]
+    order = np.lexsort((np.array([c.sum() for _, c in sparse], np.float32), langs)) if langs else np.zeros(0, int)
+    # The dense histograms are the sample's only copy on the driver.
+    counts = np.zeros((len(langs), BUCKETS), np.float32)
+    for row, i in enumerate(order):
+        slots, n = sparse[i]
+        counts[row, slots] = n
+    return fit(counts, [langs[i] for i in order])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
