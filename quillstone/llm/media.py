@@ -247,16 +247,24 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
     first = (np.cumsum(mcus) - mcus)[image] + nth * per[image]
     count = np.minimum(per[image], mcus[image] - nth * per[image])
     out = np.zeros((int(mcus.sum()), MCU), np.int16)
+    flat, base, limit = out.reshape(-1), first * MCU, count * MCU
+    # As a rule all images and components have one table of each kind.
+    alike = (dc_of == dc_of[0, 0]).all() and (ac_of == ac_of[0, 0]).all()
+    tables = stack.reshape(-1)
     bit = begin.astype(np.int64) * 8
     place = np.zeros(len(begin), np.int64)  # next coefficient of each interval
     rows = np.arange(len(begin))
     while len(rows):
-        p, k, of = bit[rows], place[rows], image[rows]
+        p, k = bit[rows], place[rows]
         word = wide[p >> 3].astype(np.uint64) << np.uint64(8) | clean[(p >> 3) + 4]
         word = (word << (p & 7).astype(np.uint64)) & np.uint64(0xFFFFFFFFFF)  # 33 bits or more of the stream, left-aligned in 40
         top = (word >> np.uint64(24)).astype(np.int64)
-        is_dc, part = k % 64 == 0, k // 64 % 3
-        entry = stack[np.where(is_dc, dc_of[of, part], ac_of[of, part]), top]
+        is_dc = (k & 63) == 0
+        if alike:
+            entry = tables[np.where(is_dc, dc_of[0, 0] << 16, ac_of[0, 0] << 16) + top]
+        else:
+            of, part = image[rows], k // 64 % 3
+            entry = tables[(np.where(is_dc, dc_of[of, part], ac_of[of, part]) << 16) + top]
         if (entry == 0).any():
             raise ValueError("the scan has a code that no table holds")
         used, symbol = entry >> 8, entry & 255
@@ -266,14 +274,14 @@ def decode_scans(images: list[Image]) -> list[np.ndarray]:
         eob = ~is_dc & (symbol == 0)
         zrl = ~is_dc & (symbol == 0xF0)
         to = k + run
-        if (~eob & (to // 64 != k // 64)).any():
+        if (~eob & ((to ^ k) > 63)).any():
             raise ValueError("a run leaves its block")
         put = ~eob & ~zrl & (size > 0)
-        out[first[rows[put]] + to[put] // MCU, to[put] % MCU] = value[put]
-        bit[rows] = p + used + size
-        place[rows] = np.where(eob, (k // 64 + 1) * 64, to + 1)
-        rows = rows[(place[rows] < count[rows] * MCU) & (bit[rows] >> 3 < len(clean) - 16 + 1)]
-    if (place < count * MCU).any() or (-(-bit // 8) > np.append(begin[1:], len(clean) - 16)).any():
+        flat[base[rows[put]] + to[put]] = value[put]
+        p, k = p + used + size, np.where(eob, (k | 63) + 1, to + 1)
+        bit[rows], place[rows] = p, k
+        rows = rows[(k < limit[rows]) & (p >> 3 < len(clean) - 15)]
+    if (place < limit).any() or (-(-bit // 8) > np.append(begin[1:], len(clean) - 16)).any():
         raise ValueError("the scan ends early")
     # A DC coefficient is stored as its difference from the one before in its interval.
     total = np.cumsum(out[:, ::64], axis=0, dtype=np.int64)
