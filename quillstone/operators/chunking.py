@@ -65,24 +65,31 @@ def windows(text: Column, size: int, overlap: int, separators: Sequence[str] = S
     """A stripped text as windows of at most `size` characters that end at separators; each next one begins `overlap` before the end, one character on at least.
 
     Windows follow from one another, so they are a fold over a number of steps.  As a
-    rule twice the windows of full length will do; only texts that take more are folded
-    again with as many steps as they have characters.
+    rule twice the windows of full length will do; texts that take more are folded again
+    with 16 times as many steps, and then with as many as they have characters.
     """
-    def fold(steps: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            def grown(window: Column) -> Column:
-                final = state["start"] + size >= F.char_length(text)
-                end = F.when(final, F.char_length(window)).otherwise(end_of_window(window, separators))
-                piece = strip(F.substring(window, F.lit(1), end))
-                after = F.when(final, F.char_length(text)).otherwise(F.greatest(state["start"] + end - overlap, state["start"] + 1))
-                return F.struct(F.when(piece == "", state["pieces"]).otherwise(F.concat(state["pieces"], F.array(piece))).alias("pieces"), after.alias("start"))
+    def folded(t: Column) -> Column:
+        body, n = t["body"], t["n"]
 
-            return F.when(state["start"] >= F.char_length(text), state).otherwise(once(F.substring(text, state["start"] + 1, F.lit(size)), grown))
+        def fold(steps: Column) -> Column:
+            def step(state: Column, _: Column) -> Column:
+                def grown(window: Column) -> Column:
+                    final = state["start"] + size >= n
+                    end = F.when(final, F.char_length(window)).otherwise(end_of_window(window, separators))
+                    piece = strip(F.substring(window, F.lit(1), end))
+                    after = F.when(final, n).otherwise(F.greatest(state["start"] + end - overlap, state["start"] + 1))
+                    return F.struct(F.when(piece == "", state["pieces"]).otherwise(F.concat(state["pieces"], F.array(piece))).alias("pieces"), after.alias("start"))
 
-        return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("start")), step)
+                return F.when(state["start"] >= n, state).otherwise(once(F.substring(body, state["start"] + 1, F.lit(size)), grown))
 
-    few = (F.char_length(text) / max(1, size - overlap)).cast("int") * 2 + 4
-    return once(fold(few), lambda r: F.when(r["start"] >= F.char_length(text), r["pieces"]).otherwise(fold(F.char_length(text))["pieces"]))
+            return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.array().cast("array<string>").alias("pieces"), F.lit(0).alias("start")), step)
+
+        few = (n / max(1, size - overlap)).cast("int") * 2 + 4
+        many = once(fold(F.least(16 * few, n)), lambda r: F.when(r["start"] >= n, r["pieces"]).otherwise(fold(n)["pieces"]))
+        return once(fold(few), lambda r: F.when(r["start"] >= n, r["pieces"]).otherwise(many))
+
+    # The length is counted once, not in every step.
+    return once(F.struct(text.alias("body"), F.char_length(text).alias("n")), folded)
 
 
 def separated(text: Column, size: int = 950, overlap: int = 120, threshold: int | None = None) -> Column:
