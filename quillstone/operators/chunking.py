@@ -13,6 +13,9 @@ DEFAULT_SIZE = 900
 #: Where a window may be cut, in order of preference.
 SEPARATORS = ("\n\n", "\n", "；", "。", "，", ",", "、", " ")
 
+#: What `strip` takes from the ends of a text, character by character: control characters, U+0085 and the separators of Unicode.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 
 def sliding(text: Column, size: int = DEFAULT_SIZE, overlap: int = 120) -> Column:
     """Windows of `size` characters (100 at least) that begin size - overlap apart until the text ends; blank texts give none."""
@@ -75,10 +78,13 @@ def windows(text: Column, size: int, overlap: int, separators: Sequence[str] = S
             def step(state: Column, _: Column) -> Column:
                 def grown(window: Column) -> Column:
                     final = state["start"] + size >= n
-                    end = F.when(final, F.char_length(window)).otherwise(end_of_window(window, separators))
-                    piece = strip(F.substring(window, F.lit(1), end))
-                    after = F.when(final, n).otherwise(F.greatest(state["start"] + end - overlap, state["start"] + 1))
-                    return F.struct(F.when(piece == "", state["pieces"]).otherwise(F.concat(state["pieces"], F.array(piece))).alias("pieces"), after.alias("start"))
+
+                    def added(end: Column) -> Column:
+                        piece = F.array_remove(F.array(F.btrim(F.substring(window, F.lit(1), end), F.lit(SPACES))), "")
+                        after = F.when(final, n).otherwise(F.greatest(state["start"] + end - overlap, state["start"] + 1))
+                        return F.struct(F.concat(state["pieces"], piece).alias("pieces"), after.alias("start"))
+
+                    return once(F.when(final, F.char_length(window)).otherwise(end_of_window(window, separators)), added)
 
                 return F.when(state["start"] >= n, state).otherwise(once(F.substring(body, state["start"] + 1, F.lit(size)), grown))
 
