@@ -27,8 +27,8 @@ PATTERN = public_tokenizers.PATTERN
 
 @functools.lru_cache(1)
 def codec(path: str, pattern: str) -> Pieces:
-    CACHES[__name__] = pieces = Pieces(ranks_tokenizer(path), pattern)
-    return pieces
+    CACHES[__name__] = codec.cache_clear
+    return Pieces(ranks_tokenizer(path), pattern)
 
 
 @functools.lru_cache(2)

@@ -7,6 +7,7 @@ code runs per character or per word.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -21,8 +22,8 @@ P1, P2, P3, P4, P5 = (np.uint64(p) for p in (
 CHUNK_BYTES = 1 << 19
 
 
-#: Caches that a Python worker keeps between tasks, by the module whose tasks use them.
-CACHES: dict[str, dict] = {}
+#: What empties the caches that a Python worker keeps between tasks, by the module whose tasks use them.
+CACHES: dict[str, Callable[[], None]] = {}
 
 
 def release() -> None:
@@ -36,9 +37,10 @@ def release() -> None:
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(f, schema) whose tasks drop other operators' caches first and release what they have freed when they end."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owner, cache in CACHES.items():
-            if owner != f.__module__:
-                cache.clear()
+        for owner in [x for x in CACHES if x != f.__module__]:
+            CACHES.pop(owner)()
+            gc.collect()
+            release()
         try:
             yield from f(rows)
         finally:
@@ -192,6 +194,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return data + (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)
 
 
+def sliced(rows: Iterable[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of whole rows whose text column holds about `limit` bytes."""
+    for batch in rows:
+        for chunk in text_chunks(batch.column(text), limit):
+            yield batch.slice(chunk.lo, chunk.hi - chunk.lo)
+
+
 def batches(rows: Iterable[pa.RecordBatch], limit: int = 8 << 20, text: str = "text") -> Iterator[pa.Table]:
     """Join small Arrow batches until their text column holds about `limit` bytes."""
     held: list[pa.RecordBatch] = []

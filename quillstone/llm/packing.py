@@ -39,8 +39,8 @@ END = 0
 
 @functools.lru_cache(1)
 def codec(path: str, pattern: str) -> Pieces:
-    CACHES[__name__] = pieces = Pieces(Tokenizer.from_file(path), pattern)
-    return pieces
+    CACHES[__name__] = codec.cache_clear
+    return Pieces(Tokenizer.from_file(path), pattern)
 
 
 class Statistics(NamedTuple):

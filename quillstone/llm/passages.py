@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import P1, P2, Chunk, arrow_map, batches, mix, rotl, split_words, text_chunks, words8, xxh64
+from .bytesops import P1, P2, Chunk, arrow_map, batches, mix, rotl, sliced, split_words, text_chunks, words8, xxh64
 from .scratch import Scratch, parts
 
 LAST = (1 << 63) - 1
@@ -241,7 +241,13 @@ def unpacked(rows: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[str,
             out["size"].append(np.frombuffer(row["size"], "<u4"))
             out["blob"].append(np.frombuffer(row["blob"], np.uint8))
     empty = {"rank": "<i8", "th": "<i8", "known": bool, "size": "<u4", "blob": np.uint8, **kinds}
-    return {c: np.concatenate([*v, np.zeros(0, empty[c])]) for c, v in out.items()}
+    return {c: np.concatenate([*out.pop(c), np.zeros(0, empty[c])]) for c in list(out)}  # what is joined goes at once
+
+
+def drained(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a list, which lets go of each one."""
+    while held:
+        yield held.pop(0)
 
 
 def send_back(slots: int, rank: np.ndarray, th: np.ndarray, pairs: np.ndarray, ask: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
@@ -285,8 +291,10 @@ def apart(batch_rows: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], l
     return told, asked
 
 
-#: Bytes of text whose pieces are combined at once.
-BATCH = 2 << 20
+#: Bytes of text whose pieces are combined at once; larger Arrow batches are cut, as a task's arrays are many times this.
+BATCH = 1 << 20
+#: Arrow batches of the steps that are written.
+SENT = "2m"
 #: Distinct pieces an anchor may have without being dealt window by window.
 FREQUENT = 2048
 #: Neighbouring pieces that are judged as one at most.
@@ -406,7 +414,7 @@ def seeds(rows: DataFrame, slots: int, how: Judge) -> DataFrame:
         raise ValueError("a window holds at most 255 grams")
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(batch_rows, BATCH):
+        for table in batches(sliced(batch_rows, BATCH), BATCH // 2):
             found, blobs, base = [], [], 0
             for chunk in text_chunks(table.column("text"), 1 << 17):
                 units = units_of(chunk, spec)
@@ -427,9 +435,7 @@ def seeds(rows: DataFrame, slots: int, how: Judge) -> DataFrame:
     def judge(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, asked = apart(batch_rows)
         yield from passed_on(slots, known)
-        del known
-        a = unpacked(asked, {"h": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u2"})
-        del asked
+        a = unpacked(drained(asked), {"h": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u2"})
         order, group, first = groups(a["h"], a["ph"])
         if not len(order):
             return
@@ -466,7 +472,7 @@ def told(slots: int, e: Entries, entry: np.ndarray, lo: np.ndarray, number: np.n
 
 
 def passed_on(slots: int, known: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k = unpacked(known, {"lo": "<u4", "n": "u1"})
+    k = unpacked(drained(known), {"lo": "<u4", "n": "u1"})
     if len(k["lo"]):
         yield from send_back(slots, k["rank"], k["th"], np.stack([k["lo"], k["n"]], 1))
 
@@ -485,7 +491,7 @@ def gather(rows: DataFrame, candidates: DataFrame, slots: int, how: Judge) -> Da
     kinds = {"key": "<u8", "ph": "<u8", "lo": "<u4", "n": "u1", "count": "<u4"}
 
     def emit(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(batch_rows, BATCH):
+        for table in batches(sliced(batch_rows, BATCH), BATCH // 2):
             rank, th = table.column("rank").to_numpy(), table.column("th").to_numpy()
             lists = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in table.column("ask").to_pylist()]
             found, blobs, base = [], [], 0
@@ -523,9 +529,7 @@ def gather(rows: DataFrame, candidates: DataFrame, slots: int, how: Judge) -> Da
     def judge(batch_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, asked = apart(batch_rows)
         yield from passed_on(slots, known)
-        del known
-        a = unpacked(asked, kinds)
-        del asked
+        a = unpacked(drained(asked), kinds)
         begin = np.cumsum(a["size"], dtype=np.int64) - a["size"]
         order, group, first = groups(a["key"], a["ph"])
         if not len(order):
@@ -575,9 +579,9 @@ def removals(docs: DataFrame, spec: Spec, earlier: bool, resolve: Resolver, name
     rows = keyed(docs, id_col, text_col, places)
     slots = parts(spark)
     how = Judge(spec, earlier, resolve, shard_bytes)
-    seeded = scratch.keep(seeds(rows, slots, how))
+    seeded = scratch.keep(seeds(rows, slots, how), SENT)
     scratch.settle()
-    judged = scratch.keep(gather(rows, seeded.where("ask IS NOT NULL").select("rank", "th", "ask"), slots, how))
+    judged = scratch.keep(gather(rows, seeded.where("ask IS NOT NULL").select("rank", "th", "ask"), slots, how), SENT)
     scratch.settle()
     whole = seeded.where("cut IS NOT NULL").select("rank", "th", F.col("cut").alias("whole"))
     kept = [f"kept_{i}" for i in range(len(keep))]
