@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from .bytesops import CACHES, arrow_map, batches, mix, text_chunks
-from .pieces import Pieces
+from .pieces import Pieces, classes
 from .scratch import Scratch, parts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,8 +39,15 @@ END = 0
 
 @functools.lru_cache(1)
 def codec(path: str, pattern: str) -> Pieces:
-    CACHES[__name__] = codec.cache_clear
-    return Pieces(Tokenizer.from_file(path), pattern)
+    pieces = Pieces(Tokenizer.from_file(path), pattern, 400_000)
+    CACHES[__name__] = forget
+    return pieces
+
+
+def forget() -> None:
+    """Let go of the codec, tokenizer and table of classes included."""
+    codec.cache_clear()
+    classes.cache_clear()
 
 
 class Statistics(NamedTuple):
@@ -176,9 +183,9 @@ def pack_documents(docs: DataFrame, path: str = TOKENIZER, pattern: str = PATTER
         pieces = codec(path, pattern)
         df = np.zeros(size, np.int64)
         for table in batches(rows):
-            for part in text_chunks(table.column("text")):
+            for part in text_chunks(table.column("text"), 1 << 20):
                 t = table.slice(part.lo, part.hi - part.lo)
-                each = [np.append(ids, END).astype(unit) for ids in pieces.all_ids([x or "" for x in t.column("text").to_pylist()])]
+                each = [np.append(ids, END).astype(unit) for ids in pieces.chunk_ids(part.data, part.offsets)]
                 df += np.bincount(frequencies(each)[1], minlength=size)
                 n = len(each)
                 yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([len(x) for x in each], pa.int64()),
