@@ -87,7 +87,7 @@ def most_rows(df) -> int:
     return most
 
 
-@pytest.mark.parametrize("name", ["identity_map", "identity_map_blocks", "review_score", "overlap_classify"])
+@pytest.mark.parametrize("name", ["identity_map", "identity_map_blocks", "review_score", "overlap_classify", "overlap_classify_blocks"])
 def test_a_hot_block_lists_no_pairs(spark, tmp_path, name):
     """2,000 new and 2,000 known parts of one block would be 4,000,000 pairs."""
     from quillstone.catalogue import QUERIES
