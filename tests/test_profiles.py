@@ -97,3 +97,14 @@ def test_a_hot_block_lists_no_pairs(spark, tmp_path, name):
     df = QUERIES[name](spark, str(tmp_path))
     rows = df.collect()
     assert len(rows) == 2000 and 0 < most_rows(df) <= 40_000
+
+
+def test_copies_of_names_list_no_pairs(spark, tmp_path):
+    """1,000 new and 1,000 known parts of four names: the pairs of rows are 1,000,000."""
+    from quillstone.catalogue import QUERIES
+
+    part = spark.range(2000).selectExpr("id AS p_partkey", "elt(1 + id div 2 % 2, 'red ring', 'blue bolt') AS p_name", "'Brand#1' AS p_brand", "'LARGE' AS p_type", "1 AS p_size", "900.0D AS p_retailprice")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["overlap_classify_names"](spark, str(tmp_path))
+    rows = df.collect()
+    assert len(rows) == 1000 and {r["needs_review"] for r in rows} == {True, False} and 0 < most_rows(df) <= 20_000
